@@ -31,3 +31,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.bpe import bpe_table
 
     return bpe_table(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.secret_scan import secret_table
+
+    return secret_table(table(spark, sf_dir, "documents"))
