@@ -38,3 +38,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.secret_scan import secret_table
 
     return secret_table(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.simhash import simhash_table
+
+    return simhash_table(table(spark, sf_dir, "documents"))
