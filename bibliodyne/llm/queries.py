@@ -45,3 +45,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.simhash import simhash_table
 
     return simhash_table(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.mixing import mix_table
+
+    return mix_table(table(spark, sf_dir, "documents"))
