@@ -52,3 +52,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.mixing import mix_table
 
     return mix_table(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.pii import pii_table
+
+    return pii_table(table(spark, sf_dir, "documents"))
