@@ -59,3 +59,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.pii import pii_table
 
     return pii_table(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.langid import langid_table
+
+    return langid_table(table(spark, sf_dir, "documents"))
