@@ -66,3 +66,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.langid import langid_table
 
     return langid_table(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.quality import quality_table
+
+    return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
