@@ -73,3 +73,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.quality import quality_table
 
     return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.warc import warc_table
+
+    return warc_table(table(spark, sf_dir, "pages"))
