@@ -80,3 +80,10 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.warc import warc_table
 
     return warc_table(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.ann import neighbours_table
+
+    return neighbours_table(table(spark, sf_dir, "embeddings"))
