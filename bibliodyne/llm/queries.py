@@ -87,3 +87,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.ann import neighbours_table
 
     return neighbours_table(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.nndescent import links_table
+
+    return links_table(table(spark, sf_dir, "embeddings"))
