@@ -215,3 +215,18 @@ def round_trip(text: Column, path: str) -> Column:
 def bpe_table(docs: DataFrame, path: str, digest: Callable[[Column, str], Column] = round_trip) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (needs doc_id, text)."""
     return docs.select("doc_id", digest(F.col("text"), path).alias("r")).select("doc_id", "r.*")
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with the text replaced by ``ids`` (array of int), ``n_tokens`` and the digest of what the
+    ids decode to; all other columns stay."""
+
+    @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
+    def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocab = vocabulary(path)
+        for texts in batches:
+            found = [(np.frombuffer(p, dtype="<u4").astype("int32"), len(p) // 4, hashlib.sha256(decode_ids(vocab, p).encode()).hexdigest()) for p in _encoded(path, texts)]
+            yield pd.DataFrame(found, columns=["ids", "n_tokens", "decoded_sha256"])
+
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(*others, rows(F.col("text")).alias("_r")).select(*others, "_r.*")
