@@ -157,6 +157,28 @@ def ner_mentions(spans: DataFrame) -> DataFrame:
     return typed.select("doi", F.lower(F.trim("text")).alias("canonical_id"), "type", F.lit("ner").alias("source"), F.lit("abstract").alias("field"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "confidence")
 
 
+MODEL_ANSWER = "new_entities array<struct<text:string,type:string,start:int,end:int>>, validations array<struct<text:string,keep:boolean,start:int,end:int>>"
+
+
+def model_mentions(answers: DataFrame, confidence: float = 0.85) -> DataFrame:
+    """Mentions of a model's answers (doi, answer JSON): its new entities, and the spans it confirms, as
+    materials. Answers that are no JSON give none."""
+    parsed = answers.select("doi", F.from_json("answer", MODEL_ANSWER).alias("a"))
+    new = parsed.select("doi", F.explode("a.new_entities").alias("x")).select("doi", "x.text", "x.type", "x.start", "x.end")
+    kept = parsed.select("doi", F.explode("a.validations").alias("x")).filter("x.keep").select("doi", "x.text", F.lit("material").alias("type"), "x.start", "x.end")
+    both = new.unionByName(kept).filter(F.coalesce(F.trim("text"), F.lit("")) != "")
+    return both.select("doi", F.lower(F.trim("text")).alias("canonical_id"), "type", F.lit("llm_cloud").alias("source"), F.lit("abstract").alias("field"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.lit(confidence).alias("confidence"))
+
+
+def build_mentions(schema_mentions: DataFrame, spans: DataFrame, answers: DataFrame) -> DataFrame:
+    """Mentions of all three makers, repeats dropped."""
+    from bibliodyne.operators.relational import mentions_merge
+
+    none = F.lit(None)
+    first = schema_mentions.select("doi", F.col("canonical_id").cast("string").alias("canonical_id"), "type", "source", "field", none.cast("int").alias("span_start"), none.cast("int").alias("span_end"), F.lit(1.0).alias("confidence"))
+    return mentions_merge(first, ner_mentions(spans), model_mentions(answers))
+
+
 #: Extraction fields and the predicate each gives.
 FIELD_PREDICATES = {"depends_on": "DEPENDS_ON", "proposes": "PROPOSES", "limitations": "LIMITED_BY", "introduces": "INTRODUCES", "open_questions": "RAISES_QUESTION"}
 TYPE_PRIORITY = ("method", "material", "topic", "keyword")

@@ -1,4 +1,4 @@
 """All registered queries of the library."""
 
-from bibliodyne.plans import graph, relational, sinks, texts, vectors  # noqa: F401
+from bibliodyne.plans import graph, relational, sinks, streams, texts, vectors  # noqa: F401
 from bibliodyne.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -98,3 +98,22 @@ left join (select distinct surface as a, concat('canon ', surface) as canonical
                                  t.entities.filter("surface like 's%'").select(F.lit("topic").alias("type"), "surface", F.concat(F.lit("canon "), "surface").alias("canonical")).distinct()).drop("source"))
 query("er_ner_mentions", "select doi, surface as canonical_id, case when label = 'DISEASE' then 'topic' else 'method' end as type, line as span_start from (select doi, lower(surface) as surface, line, case source when 'A' then 'DISEASE' when 'N' then 'TECHNIQUE' else 'GENE' end as label from mentions m join entities e on m.canonical_id = e.canonical_id) where label <> 'GENE'")(
     lambda t: G.ner_mentions(t.mentions.join(t.entities.select("canonical_id", "surface"), "canonical_id").selectExpr("doi", "surface as text", "case source when 'A' then 'disease' when 'N' then 'TECHNIQUE' else 'GENE' end as label", "line as start", "line + 5 as end", "confidence")).select("doi", "canonical_id", "type", "span_start"))
+NAMED = "named as (select m.doi, lower(e.surface) as canonical_id, m.line, m.source as src, m.field from mentions m join entities e on m.canonical_id = e.canonical_id)"
+
+
+def _named(t):
+    return t.mentions.join(t.entities.select("canonical_id", F.col("surface").alias("text")), "canonical_id").select("doi", "text", "line", "source", "field", "confidence")
+
+
+def _answers(t):
+    item = "concat('{\"text\": \"', text, '\", \"type\": \"topic\", \"start\": ', line, ', \"end\": 9}')"
+    check = "concat('{\"text\": \"', text, '\", \"keep\": ', field = 'F', ', \"start\": ', line, ', \"end\": 9}')"
+    return _named(t).filter("source <> 'R'").select("doi", F.expr(f"case when line = 7 then '{{bad' else concat('{{\"new_entities\": [', {item}, '], \"validations\": [', {check}, ']}}') end").alias("answer"))
+
+
+MODEL = "select doi, canonical_id, 'topic' as type, line as span_start from named where src <> 'R' and line <> 7 union all select doi, canonical_id, 'material', line from named where src <> 'R' and line <> 7 and field = 'F'"
+query("er_model_mentions", f"with {NAMED} {MODEL}")(lambda t: G.model_mentions(_answers(t)).select("doi", "canonical_id", "type", "span_start"))
+query("er_build_mentions", f"""with {NAMED} select count(*) as n, count(distinct canonical_id) as n_entities from (select distinct doi, canonical_id, 'schema' as source, field, cast(null as int) as span_start from named
+union all select distinct doi, canonical_id, 'ner', 'abstract', line from named where src = 'A' union all select distinct doi, canonical_id, 'llm', 'abstract', span_start from ({MODEL}))""")(
+    lambda t: G.build_mentions(_named(t).select("doi", F.lower("text").alias("canonical_id"), F.lit("topic").alias("type"), F.lit("schema").alias("source"), "field"),
+                               _named(t).filter("source = 'A'").selectExpr("doi", "text", "'METHOD' as label", "line as start", "9 as end", "confidence"), _answers(t)).agg(F.count("*").alias("n"), F.countDistinct("canonical_id").alias("n_entities")))
