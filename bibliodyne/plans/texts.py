@@ -109,11 +109,16 @@ count(*) filter (field = 'F' and canonical_id % 6 <> 0) as fabrications, round(a
     lambda t: Q.model_comparison(t.mentions.selectExpr("source as model", "line < 3 as required", "case when canonical_id % 6 = 0 then '' else 'v' end as value", "field = 'F' as expected_null", "supplier as seconds")).withColumn("mean_seconds", F.round("mean_seconds", 6)))
 query("flt_failed_phases", "select doi, 'a' as phases from papers where key % 8 = 1")(
     lambda t: Q.failed_phases(t.papers.withColumn("extraction", F.expr("case key % 8 when 1 then '{\"_phase_errors\": {\"a\": \"timeout\", \"b\": \"\"}}' when 2 then '{\"_phase_errors\": {}}' when 3 then '{bad' else '{}' end"))).withColumn("phases", F.array_join("phases", ",")))
-query("qa_schema_drift", "select side, column_name from (values ('missing', 'journal'), ('unknown', 'extra'), ('retyped', 'year')) d(side, column_name) where (select count(*) from papers) > 0")(lambda t: _drift(t))
+query("qa_schema_drift", """select 'missing' as side, 'journal' as column_name, count(journal) as n_filled from papers union all select 'unknown', 'extra', count(extraction) from papers union all select 'retyped', 'year', count(year) from papers""")(lambda t: _drift(t))
 
 
 def _drift(t):
-    """Differences between a changed projection of papers and the table itself."""
-    found = Q.schema_drift(t.papers.drop("journal").withColumn("extra", F.lit(1)).withColumn("year", F.col("year").cast("string")).schema, t.papers.schema)
-    rows = t.spark.createDataFrame([(side, c) for side, columns in found.items() for c in columns], "side string, column_name string")
-    return rows.join(t.papers.limit(1).select(F.lit(True).alias("any")), F.lit(True), "left_semi")
+    """Differences between a changed projection of papers and the table itself, with the values at stake."""
+    written = t.papers.drop("journal").withColumn("extra", F.col("extraction")).withColumn("year", F.col("year").cast("string"))
+    found = Q.schema_drift(written.schema, t.papers.schema)
+    out = None
+    for side, columns in found.items():
+        for c in columns:
+            rows = (t.papers if side == "missing" else written).agg(F.count(c).alias("n_filled")).select(F.lit(side).alias("side"), F.lit(c).alias("column_name"), "n_filled")
+            out = rows if out is None else out.union(rows)
+    return out

@@ -42,7 +42,13 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier call has returned."""
-    return f"{shared_root(spark)}/bibliodyne/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/bibliodyne/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete everything this application has written to the shared folder; call it when its results
+    have been read or stored elsewhere."""
+    drop_path(spark, f"{shared_root(spark)}/bibliodyne/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,3 +65,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns and all columns as one struct ``_row``, which no other name can clash with."""
+    from pyspark.sql import functions as F
+
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*needed, F.struct(*[quoted(c) for c in df.columns]).alias("_row"))
