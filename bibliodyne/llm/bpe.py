@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibliodyne.session import packed
+
 # Fixed value: the published split pattern of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct words a worker remembers before it starts over.
@@ -219,7 +221,7 @@ def bpe_table(docs: DataFrame, path: str, digest: Callable[[Column, str], Column
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with the text replaced by ``ids`` (array of int), ``n_tokens`` and the digest of what the
-    ids decode to; all other columns stay."""
+    ids decode to; all other columns stay, but for those of these names."""
 
     @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -228,5 +230,6 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             found = [(np.frombuffer(p, dtype="<u4").astype("int32"), len(p) // 4, hashlib.sha256(decode_ids(vocab, p).encode()).hexdigest()) for p in _encoded(path, texts)]
             yield pd.DataFrame(found, columns=["ids", "n_tokens", "decoded_sha256"])
 
-    others = [c for c in docs.columns if c != "text"]
-    return docs.select(*others, rows(F.col("text")).alias("_r")).select(*others, "_r.*")
+    made = ("ids", "n_tokens", "decoded_sha256")
+    others = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("text", *made)]
+    return packed(docs, "text").select("_row", rows(F.col("text")).alias("_r")).select(*others, *[F.col("_r")[c].alias(c) for c in made])

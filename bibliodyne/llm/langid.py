@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibliodyne.session import packed
+
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 #: Rows of the hashed feature table.
 BUCKETS = 1 << 16
@@ -244,4 +246,5 @@ def langid_table(docs: DataFrame, **options: float) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5, **options: float) -> DataFrame:
     """``docs`` without the rows whose language cannot be told: no letter, or a score below ``least``."""
     model = fit(docs, **options)
-    return docs.withColumn("_lang", predict(docs, model)).filter((F.col("_lang.lang_pred") != UNDETERMINED) & (F.col("_lang.score") >= least)).drop("_lang")
+    labelled = packed(docs, "text").withColumn("p", predict(docs, model))
+    return labelled.filter((F.col("p.lang_pred") != UNDETERMINED) & (F.col("p.score") >= least)).select("_row.*")

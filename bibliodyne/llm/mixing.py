@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bibliodyne.session import materialize
+from bibliodyne.session import materialize, packed
 
 #: No document is taken more often than this.
 MOST = 3
@@ -149,8 +149,8 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5) -> DataFrame:
     """``docs`` with every row as many times as the mix takes it (not at all, or up to ``MOST``)."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    units = mixed_units(sized.select("doc_id", F.col("source").cast("string").alias("source"), F.col("_size").alias("size")), weights, seed)
+    sized = packed(docs, "doc_id", "source", "text").select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), "_row")
+    units = mixed_units(sized.select("doc_id", "source", "size"), weights, seed)
     chosen = units.filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    return sized.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))
+    return sized.join(chosen, same).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
