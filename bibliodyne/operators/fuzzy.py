@@ -21,7 +21,7 @@ def may_match(a: Column, b: Column, least: float) -> Column:
     """A native test that every pair of ratio >= ``least`` passes."""
     total = F.length(a) + F.length(b)
     near = F.least(F.length(a), F.length(b)) * 200 >= least * total
-    limit = F.floor((1 - least / 100) * total).cast("int")
+    limit = F.floor((100 - least) * total / 100 + 1e-9).cast("int")
     return near & (F.levenshtein(a, b) <= limit)
 
 
@@ -37,8 +37,9 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float, same: bool = Fa
 
     Deleting or inserting a character spoils two bigrams at most, and a pair has at most
     (1 - r / 100) * (|a| + |b|) of these. So a string's prefix of 2 * edits + 1 rarest bigrams meets its
-    partner's; strings too short for that share a common length class instead. With ``same`` the
-    sides are one table and each pair comes once, a < b.
+    partner's. Strings that have no more bigrams than that (all of them below a ratio of about 82) are
+    compared with every string of like length instead, which is as exact but grows with the square of
+    the distinct strings. With ``same`` the sides are one table and each pair comes once, a < b.
     """
     def prefixed(x: str) -> DataFrame:
         rows = (left if x == "a" else right).select(x).filter(f"{x} IS NOT NULL").distinct()
@@ -51,7 +52,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float, same: bool = Fa
         order = W.partitionBy(x).orderBy("n", "g")
         ranked = grams.join(rarity, "g").withColumn("r", F.row_number().over(order)).withColumn("total", F.count("*").over(W.partitionBy(x)))
         # The longest partner has |x| * (200 - r) / r characters.
-        edits = F.floor((1 - least / 100) * F.length(x) * (1 + (200 - least) / least))
+        edits = F.floor((100 - least) * 2 * F.length(x) / least + 1e-9)
         kept = ranked.filter(F.col("r") <= 2 * edits + 1).select(x, "g")
         short = ranked.filter(F.col("total") <= 2 * edits).select(x, F.lit("").alias("g")).distinct()
         return kept.unionByName(short)
