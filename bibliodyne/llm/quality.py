@@ -21,10 +21,11 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibliodyne.llm.langid import held_out
+from bibliodyne.session import materialize, packed
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 STATS = (
@@ -106,16 +107,21 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(x) + self.offset, -500, 500)))
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(quality, x array<double>) of all rows to learn from."""
+def statistics_of(text: Column) -> Column:
+    """The statistics of a text column, as an array of double."""
 
     @F.pandas_udf("array<double>")
     def stats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(list(_stacked(texts)), dtype=object)
 
+    return stats(text)
+
+
+def labelled(seen: DataFrame, labels: DataFrame) -> DataFrame:
+    """(quality, x) of all rows to learn from; only statistics are shuffled, not texts."""
     marked = labels.select(F.col("doc_id").alias("_d"), "quality").filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), 4, 2))
-    return docs.join(marked, F.col("doc_id") == F.col("_d")).select("quality", stats(F.col("text")).alias("x"))
+    return seen.join(marked, F.col("doc_id") == F.col("_d")).select("quality", "x")
 
 
 def _partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,11 +139,9 @@ def _partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"quality": [c], "v": [total[c]]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, bins: int = 400) -> Discriminant:
-    """Learn from all labelled rows outside the held-out fold; only sums reach the driver."""
-    from bibliodyne.session import materialize
-
-    seen = materialize(labelled_statistics(docs, labels), "quality")
+def fit(statistics_table: DataFrame, labels: DataFrame, bins: int = 400) -> Discriminant:
+    """Learn from all labelled rows (doc_id, x) outside the held-out fold; only sums reach the driver."""
+    seen = materialize(labelled(statistics_table, labels), "quality")
     d = len(STATS)
     parts = seen.mapInPandas(_partial_sums, "quality int, v array<double>")
     added = parts.select("quality", F.posexplode("v").alias("i", "v")).groupBy("quality", "i").agg(F.sum("v").alias("v")).collect()
@@ -175,23 +179,26 @@ def _fit_curve(model: Discriminant, seen: DataFrame, bins: int) -> None:
     model.slope, model.offset = max(a, 1e-3), b
 
 
-def scores(docs: DataFrame, model: Discriminant) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scores(spark: SparkSession, model: Discriminant, x: Column) -> Column:
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(shared.value.score(_stacked(texts)))
+        for rows in batches:
+            yield pd.Series(shared.value.score(np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, len(STATS)))))
 
-    return scored(F.col("text"))
+    return scored(x)
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (needs doc_id, text)."""
-    scored = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), scores(docs, fit(docs, labels)).alias("score"))
+    seen = materialize(docs.select("doc_id", statistics_of(F.col("text")).alias("x")), "quality-statistics")
+    scored = seen.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), scores(docs.sparkSession, fit(seen, labels), F.col("x")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``docs`` without rows that score below the threshold."""
-    return docs.withColumn("_score", scores(docs, fit(docs, labels))).filter(F.col("_score") >= threshold).drop("_score")
+    model = fit(docs.select("doc_id", statistics_of(F.col("text")).alias("x")), labels)
+    scored = packed(docs, "text").withColumn("score", scores(docs.sparkSession, model, statistics_of(F.col("text"))))
+    return scored.filter(F.col("score") >= threshold).select("_row.*")
