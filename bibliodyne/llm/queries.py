@@ -82,6 +82,18 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_table(table(spark, sf_dir, "pages"))
 
 
+# Five hexadecimal digits are four base-32 digits.
+ORACLE_SQL["op2_warc_bundles"] = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select html, min(page_id) as first_id from p group by html)
+select page_id, cast(strlen(p.html) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((cast('0x' || substr(h, 5 * (i // 4) + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31), 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from p join f on p.html = f.html"""
+
+
 @query
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.ann import neighbours_table
@@ -94,3 +106,14 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibliodyne.llm.nndescent import links_table
 
     return links_table(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op10_embedding_links"] = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select a, min(b) as component_id from reach group by a),
+n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n.n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings left join n on n.a = vec_id join c on c.a = vec_id"""
