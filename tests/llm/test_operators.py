@@ -337,6 +337,17 @@ def test_language_forward_backward_equals_enumeration():
     assert np.allclose(pairs, want_pairs)
 
 
+def test_language_segments_equal_one_pass():
+    rng = np.random.default_rng(0)
+    for labels in (1, 2, 4):
+        emissions = [(3 * rng.normal(size=(n, labels))).astype(np.float32) for n in (1, 5, 48, 49, 96, 97, 300, 2)]
+        t = rng.normal(size=(labels, labels))
+        for x, got in zip(emissions, langid.segmented_posteriors(emissions, t), strict=True):
+            want, _ = langid.forward_backward(x[None].astype(float), np.array([len(x)]), t)
+            assert np.allclose(want[0], got, atol=1e-9)
+    assert langid.segmented_posteriors([], np.zeros((4, 4))) == []
+
+
 def test_language_of_switched_words(documents):
     model = langid.fit(documents)
     found = dict(langid.label_words(model, "the and of that with schlich ungkeit verschlich der und"))
