@@ -24,18 +24,18 @@ from struct import pack
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from bibliodyne.session import packed
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 # Fixed value: the published split pattern of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct words a worker remembers before it starts over.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 250_000
 #: Texts of one Arrow batch that are split together; bounds what a batch holds besides its rows.
-BLOCK = 256
+BLOCK = 128
 
 
 def byte_characters() -> dict[str, int]:
@@ -65,7 +65,7 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.text_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.adjacent = lru_cache(maxsize=1 << 19)(self._adjacent)
+        self.adjacent = lru_cache(maxsize=1 << 17)(self._adjacent)
 
     def merged(self, data: bytes) -> list[bytes]:
         """BPE by its definition: the lowest-ranked adjacent pair first, leftmost among equals."""
@@ -200,36 +200,45 @@ def decode(ids: Column, path: str) -> Column:
     return texts(ids)
 
 
-def round_trip(text: Column, path: str) -> Column:
-    """Struct(n_tokens, ids_sha256, decoded_sha256) of encoding a text and decoding its ids again,
-    without moving ids between processes."""
+def _per_block(docs: DataFrame, path: str, others: list[str], made: StructType, arrays: Callable[[Vocabulary, list[bytes]], list[pa.Array]]) -> DataFrame:
+    """The ``others`` columns of ``docs`` as they are, and the ``made`` ones that ``arrays`` gives for the packed
+    ids of a block of texts. Blocks are short, so that the ids of a whole batch are never held at once."""
+    schema = StructType([*[docs.schema[c] for c in others], *made.fields])
+    names = [*[docs.schema[c].name for c in others], "text"]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vocab, sha = vocabulary(path), hashlib.sha256
-        for texts in batches:
-            rows = [(len(p) // 4, sha(p).hexdigest(), sha(decode_ids(vocab, p).encode()).hexdigest()) for p in _encoded(path, texts)]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                packed = coder.batch([t or "" for t in part.column(len(names) - 1).to_pylist()])
+                kept = [part.column(i) for i in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*kept, *arrays(coder.vocab, packed)], names=schema.names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in others], F.col("text")).mapInArrow(run, schema)
 
-    return digests(text)
 
+def bpe_table(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (needs doc_id, text); each text is
+    encoded and its ids decoded again."""
 
-def bpe_table(docs: DataFrame, path: str, digest: Callable[[Column, str], Column] = round_trip) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (needs doc_id, text)."""
-    return docs.select("doc_id", digest(F.col("text"), path).alias("r")).select("doc_id", "r.*")
+    def digests(vocab: Vocabulary, packed: list[bytes]) -> list[pa.Array]:
+        sha = hashlib.sha256
+        return [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p).hexdigest() for p in packed], pa.string()), pa.array([sha(decode_ids(vocab, p).encode()).hexdigest() for p in packed], pa.string())]
+
+    made = StructType().add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
+    return _per_block(docs, path, ["doc_id"], made, digests)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with the text replaced by ``ids`` (array of int), ``n_tokens`` and the digest of what the
     ids decode to; all other columns stay, but for those of these names."""
 
-    @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
-    def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vocab = vocabulary(path)
-        for texts in batches:
-            found = [(np.frombuffer(p, dtype="<u4").astype("int32"), len(p) // 4, hashlib.sha256(decode_ids(vocab, p).encode()).hexdigest()) for p in _encoded(path, texts)]
-            yield pd.DataFrame(found, columns=["ids", "n_tokens", "decoded_sha256"])
+    def tokens(vocab: Vocabulary, packed: list[bytes]) -> list[pa.Array]:
+        n = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+        return [ids, pa.array(n), pa.array([hashlib.sha256(decode_ids(vocab, p).encode()).hexdigest() for p in packed], pa.string())]
 
-    made = ("ids", "n_tokens", "decoded_sha256")
-    others = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("text", *made)]
-    return packed(docs, "text").select("_row", rows(F.col("text")).alias("_r")).select(*others, *[F.col("_r")[c].alias(c) for c in made])
+    made = StructType().add("ids", ArrayType(IntegerType())).add("n_tokens", LongType()).add("decoded_sha256", StringType())
+    return _per_block(docs, path, [c for c in docs.columns if c not in ("text", *made.names)], made, tokens)
