@@ -33,20 +33,25 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 BUCKETS = 1 << 16
 #: Characters of a word that features are taken from, at each end; the lexicon has it whole.
 ENDS = 24
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
+#: Words per segment when texts are labelled.
+SEGMENT = 48
 #: Words per training sequence.
 SEQUENCE = 48
 UNDETERMINED = "und"
+#: Languages that a model can tell apart; more are an error, since weights and sample grow with them.
+MOST_LABELS = 256
 
 
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Feature rows of a lower-cased word: affixes, n-grams and whether the lexicon has it."""
+    """Feature rows of a lower-cased word: affixes and trigrams of its marked bytes, and whether the lexicon
+    has it. The start value of the checksum tells the families apart."""
     w = word if len(word) <= 2 * ENDS else word[:ENDS] + word[-ENDS:]
-    names = [f"p{w[:n]}" for n in (1, 2, 3) if len(w) >= n] + [f"s{w[-n:]}" for n in (1, 2, 3, 4) if len(w) >= n]
-    padded = f"^{w}$"
-    names += [f"b{padded[i : i + 2]}" for i in range(len(padded) - 1)] + [f"t{padded[i : i + 3]}" for i in range(len(padded) - 2)]
-    names.append(f"l{w}" if word in lexicon else "l")
-    return [crc32(x.encode()) % BUCKETS for x in names]
+    b = f"^{w}$".encode()
+    rows = [crc32(b[:n], n) % BUCKETS for n in (2, 3, 4)] + [crc32(b[-n:], 16 + n) % BUCKETS for n in (2, 3, 4, 5)]
+    rows += [crc32(b[i : i + 3], 64) % BUCKETS for i in range(len(b) - 2)]
+    rows.append(crc32(b, 128) % BUCKETS if word in lexicon else crc32(b"", 256) % BUCKETS)
+    return rows
 
 
 def forward_backward(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, want_pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -105,22 +110,65 @@ class Model:
         return [np.array([memo[w] for w in text], dtype=np.float32) for text in words]
 
     def posteriors(self, words: list[list[str]]) -> list[np.ndarray]:
-        """Posteriors (words, labels) of texts with a word each, in blocks of like length."""
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        out: list[np.ndarray] = [np.zeros(0)] * len(words)
-        at = 0
-        while at < len(order):
-            longest = len(words[order[at]])
-            block = order[at : at + max(1, 400_000 // longest)]
-            at += len(block)
-            padded = np.zeros((len(block), longest, len(self.labels)))
-            for j, x in enumerate(self.emissions([words[i] for i in block])):
-                padded[j, : len(x)] = x
-            lengths = np.array([len(words[i]) for i in block])
-            post, _ = forward_backward(padded, lengths, self.transition)
-            for j, i in enumerate(block):
-                out[i] = post[j, : lengths[j]]
-        return out
+        """Posteriors (words, labels) of texts with a word each."""
+        return segmented_posteriors(self.emissions(words), self.transition)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def segmented_posteriors(emissions: list[np.ndarray], transition: np.ndarray) -> list[np.ndarray]:
+    """The posteriors of ``forward_backward`` for texts of any lengths, in few vector steps.
+
+    Texts are cut into segments. What a segment does to a message is a small matrix, the product of
+    its steps; these are combined along each text, and then all segments run at once from the messages
+    that reach them. The steps are those within a segment and those between segments of the longest
+    text, not the words of the longest text.
+    """
+    if not emissions:
+        return []
+    labels = transition.shape[0]
+    order = sorted(range(len(emissions)), key=lambda i: -len(emissions[i]))
+    counts = np.array([-(-len(emissions[i]) // SEGMENT) for i in order])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    e = np.zeros((first[-1], SEGMENT, labels))
+    valid = np.zeros((first[-1], SEGMENT), dtype=bool)
+    for i, at, n in zip(order, first, counts, strict=False):
+        x = emissions[i].astype(np.float64)
+        e[at : at + n].reshape(-1, labels)[: len(x)] = np.exp(x - x.max(axis=1, keepdims=True))
+        valid[at : at + n].reshape(-1)[: len(x)] = True
+    m = np.exp(transition - transition.max())
+    start = np.zeros(first[-1], dtype=bool)
+    start[first[:-1]] = True
+    # Products of steps per segment; the first word of a text has no transition, padding does nothing.
+    product = np.broadcast_to(np.eye(labels), (first[-1], labels, labels)).copy()
+    for t in range(SEGMENT):
+        moved = (product.sum(axis=2, keepdims=True) if t == 0 else 0) * start[:, None, None] + (product @ m) * (~start if t == 0 else np.ones_like(start))[:, None, None]
+        product = np.where(valid[:, t, None, None], moved * e[:, t, None, :], product)
+        product /= product.max(axis=(1, 2), keepdims=True)
+    entering, leaving = np.full((first[-1], labels), 1.0 / labels), np.full((first[-1], labels), 1.0 / labels)
+    alive = [int(np.searchsorted(-counts, -j, side="left")) for j in range(int(counts.max(initial=0)) + 1)]  # texts with more than j segments
+    for j in range(1, len(alive) - 1):
+        k = first[: alive[j]] + j
+        entering[k] = _scaled((entering[k - 1][:, None, :] @ product[k - 1])[:, 0])
+    for j in range(len(alive) - 2, 0, -1):
+        k = first[: alive[j]] + j
+        leaving[k - 1] = _scaled((product[k] @ leaving[k][:, :, None])[:, :, 0])
+    alpha, beta = np.zeros_like(e), np.zeros_like(e)
+    message = entering
+    for t in range(SEGMENT):
+        stepped = _scaled(np.where((start & (t == 0))[:, None], 1.0, message @ m) * np.where(valid[:, t, None], e[:, t], 1.0))
+        message = alpha[:, t] = np.where(valid[:, t, None], stepped, message)
+    message = leaving
+    for t in range(SEGMENT - 1, -1, -1):
+        beta[:, t] = message
+        message = np.where(valid[:, t, None], _scaled((message * np.where(valid[:, t, None], e[:, t], 1.0)) @ m.T), message)
+    post = _scaled(alpha * beta + 1e-300)
+    out: list[np.ndarray] = [np.zeros(0)] * len(order)
+    for i, at, n in zip(order, first, counts, strict=False):
+        out[i] = post[at : at + n].reshape(-1, labels)[: len(emissions[i])]
+    return out
 
 
 def words_of(text: str | None) -> list[str]:
@@ -188,10 +236,13 @@ def sample(docs: DataFrame, sample_docs: int = 400, sample_words: int = 120_000)
     # The smallest hashes per language without sorting a language's rows in one task: the threshold
     # keeps a few times the wanted number of the language's rows.
     sizes = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    if sizes.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages")
     near = keyed.join(sizes, "lang").filter(F.pmod(F.col("h"), F.lit(1 << 30)).cast("double") < F.lit(float(1 << 30)) * 4 * sample_docs / F.col("n"))
     order = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "doc_id"))
     chosen = near.withColumn("r", order).filter(F.col("r") <= sample_docs).select("doc_id", F.col("lang").alias("chosen_lang"), "r")
-    picked = rows.join(F.broadcast(chosen) if sample_docs <= 10_000 else chosen, "doc_id").filter(F.col("lang") == F.col("chosen_lang"))
+    # At most MOST_LABELS * sample_docs ids.
+    picked = rows.join(F.broadcast(chosen), "doc_id").filter(F.col("lang") == F.col("chosen_lang"))
     found = picked.select("r", "doc_id", "lang", "text").collect()
     texts, langs, words = [], [], Counter()
     for r in sorted(found, key=lambda r: (r.r, r.lang, str(r.doc_id), r.text)):
@@ -216,14 +267,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
         for texts in batches:
             out = [(UNDETERMINED, 0.0)] * len(texts)
             values = texts.tolist()
-            for start in range(0, len(values), 512):
-                split = [words_of(t) for t in values[start : start + 512]]
+            for start in range(0, len(values), 256):
+                split = [words_of(t) for t in values[start : start + 256]]
                 live = [i for i, x in enumerate(split) if x] if crf else []
                 for i, post in zip(live, crf.posteriors([split[i] for i in live]) if live else [], strict=True):
                     mean = post.mean(axis=0, dtype=np.float64)
                     best = int(mean.argmax())
                     out[start + i] = (crf.labels[best], min(1.0, float(mean[best] / mean.sum())))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
+        if crf:
+            crf.__dict__.pop("memo", None)  # the worker lives on and may run other operators
 
     return labelled(F.col(text))
 
@@ -243,8 +296,11 @@ def langid_table(docs: DataFrame, **options: float) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), predict(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, **options: float) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told: no letter, or a score below ``least``."""
+def keep_identified(docs: DataFrame, least: float = 0.35, **options: float) -> DataFrame:
+    """``docs`` without the rows whose language cannot be told: no letter, or a score below ``least``.
+
+    A short text with a licence line or a key in it has a score near one half and is still told apart, so
+    the bound lies below that."""
     model = fit(docs, **options)
     labelled = packed(docs, "text").withColumn("p", predict(docs, model))
     return labelled.filter((F.col("p.lang_pred") != UNDETERMINED) & (F.col("p.score") >= least)).select("_row.*")
