@@ -14,7 +14,7 @@ from bibliodyne.session import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told (no letter, or a mean posterior below one half)."""
+    """Drops documents whose language cannot be told (no letter, or no label with a mean posterior of 0.35)."""
     return langid.keep_identified(docs)
 
 
