@@ -3,10 +3,12 @@
 Exact copies collapse to one node first. Neighbour lists start from blocks of rows that share a prefix
 of random hyperplane signs in one of several tables (blocks are split when they grow too large), and are
 refined: the neighbours and reverse neighbours of a node are compared with each other, and whoever
-finds a nearer one takes it into its list. A list whose entries all reach the threshold is saturated
-and gets four times the room. Rounds end when few entries change; then an audit compares the links
-found for some nodes with those of a brute-force count, and if too many are missing, further tables
-and rounds follow. Links are the list entries at or above the threshold, in both directions.
+finds a nearer one takes it into its list. Every table and every round cuts what is too large anew. A
+list whose entries all reach the threshold is saturated and gets four times the room. Rounds end when
+few entries change; then an audit compares the links found for some nodes, with and without links, with
+those of a brute-force count, and if too many are missing, further tables and rounds follow. Labels that
+still lack links after that are counted exactly, like dense groups. Links are the list entries at or
+above the threshold, in both directions.
 
 Lists that stay saturated at ``MOST_ROOM`` entries belong to dense groups, whose pairs are not listed:
 their nodes are compared with all nodes of the label in blocks that return counts, the pairs with
@@ -37,7 +39,8 @@ TABLES, BITS = 8, 30
 LEAF, SPLIT = 96, 256
 #: Neighbours of one node that are compared with each other in one piece.
 PIECE = 64
-AUDITED = 512
+#: Audited nodes with links, and at least and at most so many without.
+AUDITED, MOST_AUDITED = 512, 8192
 LIST = "id long, nb array<struct<s:double,id:long>>"
 
 
@@ -85,7 +88,7 @@ def _starting_lists(nodes: DataFrame, first_table: int, tables: int) -> DataFram
     rows = materialize(sized.mapInPandas(coded, f"id long, label {label}, v array<double>, t int, code long"), "nn-codes")
     key = ["label", "t", "code"]
     pieces = rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select(*key, F.ceil(F.col("n") / LEAF).alias("pieces"))
-    split = rows.join(pieces, key, "left").withColumn("piece", F.pmod(F.xxhash64(F.lit(1), "id"), F.coalesce("pieces", F.lit(1))))
+    split = rows.join(pieces, key, "left").withColumn("piece", F.pmod(F.xxhash64(F.lit(1), "t", "id"), F.coalesce("pieces", F.lit(1))))
 
     def block(b: pd.DataFrame) -> pd.DataFrame:
         found = list(_lists(b.id.to_numpy(), matrix(b.v), np.full(len(b), ROOM), np.full(len(b), -np.inf)))
@@ -94,12 +97,12 @@ def _starting_lists(nodes: DataFrame, first_table: int, tables: int) -> DataFram
     return split.groupBy(*key, "piece").applyInPandas(block, LIST)
 
 
-def _refined(nodes: DataFrame, lists: DataFrame, total: int) -> DataFrame:
-    """(id, nb) of nearer neighbours found among neighbours of neighbours."""
+def _refined(nodes: DataFrame, lists: DataFrame, total: int, turn: int) -> DataFrame:
+    """(id, nb) of nearer neighbours found among neighbours of neighbours; each turn cuts crowds anew."""
     entries = lists.select("id", F.explode("nb").alias("e")).select(F.col("id").alias("u"), F.col("e.id").alias("x"))
     around = entries.union(entries.select(F.col("x").alias("u"), F.col("u").alias("x"))).distinct()
     crowded = around.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") > PIECE).select("u", F.ceil(F.col("n") / PIECE).alias("pieces"))
-    piece = F.pmod(F.xxhash64(F.lit(2), "x", "u"), F.coalesce("pieces", F.lit(1)))
+    piece = F.pmod(F.xxhash64(F.lit(2), F.lit(turn), "x", "u"), F.coalesce("pieces", F.lit(1)))
     least = F.when(F.size("nb") < F.col("room"), F.lit(-2.0)).otherwise(F.array_min(F.transform("nb", lambda e: e["s"])))
     state = nodes.select("id", "v").join(lists.select("id", "room", least.alias("least")), "id")
     rows = around.join(crowded, "u", "left").withColumn("piece", piece).drop("pieces").join(state, F.col("x") == F.col("id")).drop("x")
@@ -125,26 +128,46 @@ def _saturated(threshold: float) -> Column:
     return (F.size("nb") >= F.col("room")) & F.forall("nb", lambda e: _linked(e["s"], threshold))
 
 
-def _missing_share(nodes: DataFrame, lists: DataFrame, threshold: float) -> float:
-    """Share of the links of some audited, unsaturated nodes that the lists lack."""
-    some = lists.filter(~_saturated(threshold)).join(nodes.select("id", "label", "v"), "id").orderBy(F.xxhash64(F.lit(4), "id"), "id").limit(AUDITED)
-    asked = some.select("id", "label", "v", F.size(F.filter("nb", lambda e: _linked(e["s"], threshold))).alias("found")).toPandas()
+def _audit(nodes: DataFrame, lists: DataFrame, threshold: float, missing: float, turn: int) -> tuple[float, list]:
+    """Share of the links of unsaturated nodes that the lists lack, and the labels where some lack.
+
+    Nodes with and without listed links are sampled apart and weighted by their numbers. Without, so many
+    are taken (``MOST_AUDITED`` at most) that a share of over ``missing`` would show.
+    """
+    rest = lists.filter(~_saturated(threshold)).select("id", F.size(F.filter("nb", lambda e: _linked(e["s"], threshold))).alias("found"))
+    n, linked, links = rest.agg(F.count("*"), F.coalesce(F.sum((F.col("found") > 0).cast("int")), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
+    enough = int(min(MOST_AUDITED, max(AUDITED, 3 * (n - linked) / (missing * max(1, links)))))
+    some = lambda part, k: rest.filter(part).orderBy(F.xxhash64(F.lit(4), F.lit(turn), "id"), "id").limit(k)
+    asked = some("found > 0", AUDITED).union(some("found = 0", enough)).join(nodes.select("id", "label", "v"), "id").toPandas()
     if not len(asked):
-        return 0.0
-    a, ids, labels = matrix(asked.v), asked.id.to_numpy(), asked.label.to_numpy()
+        return 0.0, []
+    a, ids, labels, found = matrix(asked.v), asked.id.to_numpy(), asked.label.to_numpy(), asked.found.to_numpy()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hit = (a @ matrix(b.v).T >= threshold) & (labels[:, None] == b.label.to_numpy()[None]) & (ids[:, None] != b.id.to_numpy()[None])
-            yield pd.DataFrame({"id": ids, "n": hit.sum(axis=1)})
+            x, label, own = matrix(b.v), b.label.to_numpy(), b.id.to_numpy()
+            for s in range(0, len(ids), AUDITED):
+                at = slice(s, s + AUDITED)
+                hit = (a[at] @ x.T >= threshold) & (labels[at, None] == label[None]) & (ids[at, None] != own[None])
+                yield pd.DataFrame({"id": ids[at], "n": hit.sum(axis=1)})
 
     true = dict(nodes.select("id", "label", "v").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False))
-    all_links = sum(true.values())
-    return sum(max(0, true.get(i, 0) - f) for i, f in zip(ids, asked.found, strict=True)) / max(1, all_links)
+    true = np.array([true.get(i, 0) for i in ids])
+    lacking = np.maximum(0, true - found)
+    weight = np.where(found > 0, linked / max(1, (found > 0).sum()), (n - linked) / max(1, (found == 0).sum()))
+    return float((weight * lacking).sum() / max(1, (weight * true).sum())), asked.label[lacking > 0].unique().tolist()
+
+
+def _without_room(lists: DataFrame, these: Column) -> DataFrame:
+    none = F.expr("cast(array() as array<struct<s:double,id:long>>)")
+    return lists.select("id", F.when(these, none).otherwise(F.col("nb")).alias("nb"), F.when(these, F.lit(0)).otherwise(F.col("room")).alias("room"))
 
 
 def neighbour_lists(nodes: DataFrame, threshold: float = THRESHOLD, missing: float = 0.01, rounds: int = 4, attempts: int = 3) -> DataFrame:
-    """(id, nb, room) after refinement; nodes have id, label and v (a unit vector in double)."""
+    """(id, nb, room) after refinement; nodes have id, label and v (a unit vector in double).
+
+    A list without room is left to the exact count of ``_dense``: its label failed the last audits.
+    """
     total = nodes.count()
     room = F.coalesce("room", F.lit(ROOM))
     empty = nodes.select("id", F.expr("cast(array() as array<struct<s:double,id:long>>)").alias("nb"), F.lit(ROOM).alias("room"))
@@ -152,17 +175,24 @@ def neighbour_lists(nodes: DataFrame, threshold: float = THRESHOLD, missing: flo
     for attempt in range(attempts):
         started = _starting_lists(nodes, attempt * TABLES, TABLES).withColumn("room", F.lit(0))
         lists = materialize(_merged(started.unionByName(lists), room), "nn-lists")
-        for _ in range(rounds):
+        for turn in range(rounds):
             # Saturated lists get room for four times as many, before the round that may fill it.
             roomy = lists.withColumn("room", F.when(_saturated(threshold), F.least(F.lit(MOST_ROOM), 4 * F.col("room"))).otherwise(F.col("room")))
-            found = materialize(_refined(nodes, roomy, total).withColumn("room", F.lit(0)), "nn-found")
+            found = materialize(_refined(nodes, roomy, total, attempt * rounds + turn).withColumn("room", F.lit(0)), "nn-found")
             changed = found.agg(F.sum(F.size("nb"))).first()[0] or 0
             lists = materialize(_merged(found.unionByName(roomy), room), "nn-lists")
             if changed <= 0.002 * total * ROOM:
                 break
-        if _missing_share(nodes, lists, threshold) <= missing:
-            break
-    return lists
+        share, short = _audit(nodes, lists, threshold, missing, attempt)
+        if share <= missing:
+            return lists
+    # Labels seen to lack links are counted exactly, and if the others fail again and again, all are.
+    for turn in range(attempts, attempts + 3):
+        lists = materialize(_without_room(lists.join(nodes.select("id", "label"), "id"), F.col("label").isin(short)), "nn-lists")
+        share, short = _audit(nodes, lists, threshold, missing, turn)
+        if share <= missing:
+            return lists
+    return _without_room(lists, F.lit(True))
 
 
 def _dense(nodes: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
