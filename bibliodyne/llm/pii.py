@@ -1,24 +1,26 @@
 """Personal data: certain formats, and terms that disclose them by co-occurrence.
 
 Certain formats (e-mail, IP, card and phone numbers) are found by patterns. Their values are the
-protected entities. A term next to an entity may give it away too, and how far is a matter of
+protected entities. A term in a document with an entity may give it away too, and how far is a matter of
 information: with document frequencies over all documents, the pointwise mutual information of term
 and entity, log(N * n_te / (n_t * n_e)), against the information of the entity itself, log(N / n_e), is
-the share of the entity that the term discloses. From ``GENERALISE`` on a term is generalised in the
-documents where it stands by that entity, from ``REMOVE`` on it is removed. Pairs seen in fewer than
+the share of the entity that the term discloses. From ``GENERALISE`` on a term is generalised wherever
+it stands in the documents that hold that entity, from ``REMOVE`` on it is removed. Pairs seen in fewer than
 ``SUPPORT`` documents say nothing yet. Documents without an entity are never changed.
 
 Everything is DataFrame expressions. Patterns are written with possessive runs and guards, which
 match the same spans in time linear in the text and without deep recursion. Spans come from cutting a
-text at its matches, as lengths of the pieces. Term counts are combined before the shuffle; only text
-keys, entities and terms of windows around entities are exchanged, never texts, and equal texts
-share one row of the term join.
+text at its matches, as lengths of the pieces. Term counts are combined before the shuffle. A share of
+``GENERALISE`` or more bounds a term's document frequency by the entity's, so only terms within that
+bound are paired with entities. Only texts that hold an entity are exchanged, equal ones once.
 
 Null texts count as empty: no spans, and ``sanitize`` leaves the null. Equal rows get equal results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,15 @@ PATTERNS = {
 }
 #: A cheap test that every match of a kind passes.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Code points on each side of an entity whose terms count as next to it.
-WINDOW = 64
 SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.95
 TERM = r"[\p{L}\p{N}]{3,}"
+#: Terms in over one of so many documents are left out by a broadcast list, if no bound admits them.
+COMMON = 200
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct(s, e, v)> of the pattern's matches: code points, end exclusive."""
+def _matches(text: Column, pattern: str, kept: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct(s, e, v)> of the pattern's matches (whose value is ``kept``): code points, end exclusive."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     kind = "struct<s:int,e:int,v:string>"
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
@@ -50,7 +52,8 @@ def _matches(text: Column, pattern: str) -> Column:
     def step(acc: Column, pair: Column) -> Column:
         s = acc["at"] + F.length(pair["p"])
         e = s + F.length(pair["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("v")))).alias("out"))
+        out = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("v"))))
+        return F.struct(e.alias("at"), (out if kept is None else F.when(kept(pair["m"]), out).otherwise(acc["out"])).alias("out"))
 
     # One more piece than matches; zipping pads the last match with null, which is dropped.
     pairs = F.filter(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: x["m"].isNotNull())
@@ -103,54 +106,66 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_base", spans).withColumn("_key", F.sha2(text, 256))
 
 
-def window_terms(based: DataFrame) -> DataFrame:
-    """(key, entity, term, s, e): terms within ``WINDOW`` of an entity, once per distinct text.
+def with_entities(based: DataFrame) -> DataFrame:
+    """Adds ``_entities``: the distinct entities of the certain spans."""
+    entity = lambda b: F.concat_ws(":", b["k"], F.when(b["k"] == "email", F.lower(b["v"])).when(b["k"] == "ip", b["v"]).otherwise(_digits(b["v"])))
+    return based.withColumn("_entities", F.array_distinct(F.transform("_base", entity)))
 
-    Terms that a cut border or another certain span runs through are left out.
-    """
-    texts = based.filter(F.size("_base") > 0).groupBy("_key").agg(F.first("_near").alias("near"), F.first("_base").alias("base"))
-    sides = texts.select("_key", "base", F.explode("near").alias("w"))
-    found = sides.select("_key", "base", F.col("w.entity").alias("entity"), F.col("w.at").alias("at"), F.explode(_matches(F.col("w.text"), TERM)).alias("t"), F.col("w.left").alias("left"), F.length("w.text").alias("width"))
-    at = found.select(
-        "_key", "base", "entity", F.lower("t.v").alias("term"), (F.col("at") + F.col("t.s")).alias("s"), (F.col("at") + F.col("t.e")).alias("e"),
-        # The far end of a window may cut a word.
-        ((F.col("left") & (F.col("t.s") == 0) & (F.col("at") > 0)) | (~F.col("left") & (F.col("t.e") == F.col("width")) & (F.col("width") == WINDOW))).alias("cut"),
-    )
-    clear = ~F.exists("base", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"]))
-    return at.filter(~F.col("cut") & clear).select("_key", "entity", "term", "s", "e")
 
+def _clear_terms(text: Column, base: Column) -> Column:
+    """Distinct lower-case terms of a text that no certain span runs through."""
+    edge = r"[\p{L}\p{N}]"
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("cut"), F.expr("cast(array() as array<string>)").alias("out"))
 
-def with_near(based: DataFrame) -> DataFrame:
-    """Adds ``_near``: per certain span its entity and the text on both sides."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    entity = lambda b: F.concat_ws(":", b["k"], F.when(b["k"] == "email", F.lower(b["v"])).when(b["k"] == "ip", b["v"]).otherwise(_digits(b["v"])))
-    side = lambda b, left: F.struct(
-        entity(b).alias("entity"), F.lit(left).alias("left"),
-        (F.greatest(b["s"] - WINDOW, F.lit(0)) if left else b["e"]).alias("at"),
-        (F.substring(text, F.greatest(b["s"] - WINDOW, F.lit(0)) + 1, F.least(b["s"], F.lit(WINDOW))) if left else F.substring(text, b["e"] + 1, F.lit(WINDOW))).alias("text"),
-    )
-    near = F.flatten(F.transform("_base", lambda b: F.array(side(b, True), side(b, False))))
-    return based.withColumn("_near", near)
+    def piece(acc: Column, part: Column) -> Column:
+        return F.when(acc["cut"], F.regexp_replace(part, f"^{edge}++", "")).otherwise(part)
+
+    def step(acc: Column, b: Column) -> Column:
+        # A run of letters that goes on into the span is no term; overlapping spans are passed as one.
+        left = piece(acc, F.substring(text, acc["at"] + 1, F.greatest(b["s"] - acc["at"], F.lit(0))))
+        left = F.when(F.substring(text, b["s"] + 1, 1).rlike(edge), F.regexp_replace(left, f"(?<!{edge}){edge}++$", "")).otherwise(left)
+        cut = F.when(b["e"] > acc["at"], F.substring(text, b["e"], 1).rlike(edge)).otherwise(acc["cut"])
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), cut.alias("cut"), F.concat(acc["out"], F.array(left)).alias("out"))
+
+    ordered = F.array_sort(F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
+    pieces = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.array(piece(acc, F.substring(text, acc["at"] + 1, F.length(text))))))
+    return F.array_distinct(F.transform(F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(TERM), F.lit(0)))), F.lower))
+
+
+def _held_texts(docs: DataFrame) -> DataFrame:
+    """(key, text, base) of the distinct texts with a certain span."""
+    return with_base(docs.select("text")).filter(F.size("_base") > 0).groupBy(F.col("_key").alias("key")).agg(F.first("text").alias("text"), F.first("_base").alias("base"))
 
 
 def disclosing_spans(docs: DataFrame, small: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(key, terms array<struct(s, e, share)>): spans of terms that disclose an entity of their text.
 
-    ``small`` has a row for each row of ``docs``: key, base, near (materialised, without texts).
+    ``small`` has a row for each row of ``docs``: key, base, entities (materialised, without texts).
     """
     total = small.count()
-    terms = materialize(window_terms(small.withColumnsRenamed({"key": "_key", "base": "_base", "near": "_near"})), "pii-terms")
-    copies = small.filter(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("copies"))
-    pairs = terms.select("_key", "entity", "term").distinct().join(copies, F.col("_key") == F.col("key")).groupBy("entity", "term").agg(F.sum("copies").alias("n_te")).filter(F.col("n_te") >= support)
-    values = small.filter(F.size("near") > 0).select("key", F.explode(F.array_distinct(F.transform("near", lambda w: w["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = materialize(pairs.join(values, "entity"), "pii-pairs")
+    n = float(max(total, 1))
+    entities = small.filter(F.size("base") > 0).select("key", F.explode("entities").alias("entity"))
+    # share >= generalise and n_te <= n_e leave a term's document frequency at most this.
+    most = F.col("n_e") * F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9)
+    values = entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e").between(support, total - 1)).withColumn("most", most)
+    held = materialize(entities.groupBy("key", "entity").agg(F.count("*").alias("copies")).join(values, "entity"), "pii-held")
+    top = held.agg(F.max("most")).first()[0] or 0.0
     # Document frequency of the terms over the whole corpus, combined in each partition first.
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term")
-    share = F.log(F.col("n_te") * float(max(total, 1)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    flagged = pairs.join(frequency, "term").withColumn("share", F.when(F.col("n_e") < total, share).otherwise(0.0)).filter(F.col("share") >= generalise - 1e-12).select("entity", "term", F.least("share", F.lit(1.0)).alias("share"))
-    spans = terms.join(flagged, ["entity", "term"]).groupBy("_key", "s", "e").agg(F.max("share").alias("share"))
-    return materialize(spans.groupBy(F.col("_key").alias("term_key")).agg(F.array_sort(F.collect_list(F.struct("s", "e", "share"))).alias("terms")), "pii-spans")
+    frequency = materialize(words.groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= support), "pii-frequency")
+    common = F.broadcast(frequency.filter(F.col("n_t") > max(top, n / COMMON)).select("term"))
+    inside = _held_texts(docs).join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode(_clear_terms(F.col("text"), F.col("base"))).alias("term"))
+    rare = inside.join(common, "term", "left_anti").join(frequency.filter(F.col("n_t") <= top), "term")
+    pairs = materialize(rare.join(held, "key").filter(F.col("n_t") <= F.col("most")), "pii-pairs")
+    share = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(n) / F.col("n_e"))
+    counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).filter(F.col("n_te") >= support)
+    flagged = counted.withColumn("share", share).filter(F.col("share") >= generalise - 1e-12).select("entity", "term", F.least("share", F.lit(1.0)).alias("share"))
+    chosen = pairs.select("key", "entity", "term").join(flagged, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+    chosen = materialize(chosen.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "pii-chosen")
+    marked = _matches(F.col("text"), TERM, lambda v: F.map_contains_key("shares", F.lower(v)))
+    clear = lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
+    spans = F.transform(F.filter(marked, clear), lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.col("shares")[F.lower(t["v"])].alias("share")))
+    return materialize(_held_texts(docs).join(chosen, "key").select(F.col("key").alias("term_key"), spans.alias("terms")), "pii-spans")
 
 
 def _joined(spans: Column) -> Column:
@@ -159,8 +174,8 @@ def _joined(spans: Column) -> Column:
 
 def pii_table(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms for every row of ``docs``."""
-    based = with_near(with_base(docs.select("doc_id", "text")))
-    small = materialize(based.select("doc_id", F.col("_key").alias("key"), F.col("_base").alias("base"), F.col("_near").alias("near")), "pii-base")
+    based = with_entities(with_base(docs.select("doc_id", "text")))
+    small = materialize(based.select("doc_id", F.col("_key").alias("key"), F.col("_base").alias("base"), F.col("_entities").alias("entities")), "pii-base")
     found = small.join(disclosing_spans(docs, small, support, generalise), F.col("key") == F.col("term_key"), "left")
     none = F.expr("cast(array() as array<struct<k:string,s:int,e:int>>)")
     terms = F.coalesce(F.transform("terms", lambda t: F.struct(F.lit("term").alias("k"), t["s"].alias("s"), t["e"].alias("e"))), none)
@@ -180,8 +195,8 @@ def sanitize(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     """
     columns = docs.columns
     docs = packed(docs, "text")
-    based = with_near(with_base(docs))
-    small = materialize(based.select(F.col("_key").alias("key"), F.col("_base").alias("base"), F.col("_near").alias("near")), "pii-base")
+    based = with_entities(with_base(docs))
+    small = materialize(based.select(F.col("_key").alias("key"), F.col("_base").alias("base"), F.col("_entities").alias("entities")), "pii-base")
     spans = disclosing_spans(docs, small, support, generalise)
     joined = with_base(docs).join(spans, F.col("_key") == F.col("term_key"), "left")
     text = F.col("text")
