@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from math import inf
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,11 +31,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 BASE = ("assign", "access", "hex")
 
-# The weak parts. Possessive runs keep each pattern linear on adversarial text.
-IDENT = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20?[:=]\x20?["']?([A-Za-z0-9._@-]{3,64})(?![A-Za-z0-9._@-])""", re.ASCII | re.IGNORECASE)
-PHRASE = re.compile(r"""(?<![A-Za-z0-9_])(?:pwd|pass|passphrase|private_?key|credential|auth)["']?\x20?[:=]\x20?["']?([^\s"']{6,128})(?![^\s"'])""", re.ASCII | re.IGNORECASE)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", re.ASCII)
-ENDPOINT = re.compile(r"""(?:https?|jdbc:[a-z]{2,12}|s3|amqp|redis|mongodb|postgres(?:ql)?)://[^\s"'<>]{4,256}|(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20?[:=]\x20?["']?[A-Za-z0-9.-]{3,128}(?::[0-9]{1,5})?""", re.ASCII | re.IGNORECASE)
+# The weak parts, of any length. Possessive runs keep each pattern linear on adversarial text.
+IDENT = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20?[:=]\x20?["']?([A-Za-z0-9._@-]{3,}+)""", re.ASCII | re.IGNORECASE)
+PHRASE = re.compile(r"""(?<![A-Za-z0-9_])(?:pwd|pass|passphrase|private_?key|credential|auth)["']?\x20?[:=]\x20?["']?(-----BEGIN\x20[A-Z0-9\x20]++-----[^-]*+(?:-(?!----)[^-]*+)*+-----END\x20[A-Z0-9\x20]++-----|[^\s"']{6,}+)""", re.ASCII | re.IGNORECASE)
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40,}+={0,2}+(?![A-Za-z0-9+/=_-])", re.ASCII)
+ENDPOINT = re.compile(r"""(?:https?|jdbc:[a-z]{2,}+|s3|amqp|redis|mongodb|postgres(?:ql)?)://[^\s"'<>]{4,}+|(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20?[:=]\x20?["']?[A-Za-z0-9.-]{3,}+(?::[0-9]++)?""", re.ASCII | re.IGNORECASE)
 WEAK = ("weak_id", "weak_secret", "endpoint")
 BLANK = re.compile(r"\n[ \t\r]*\n")
 #: Code points between complementary parts of one credential.
@@ -66,29 +68,29 @@ def near(parts: list[Span], others: list[Span], scopes: list[int]) -> list[Span]
     """The parts that have one of the others within reach in their scope: a sweep over starts."""
     if not parts or not others:
         return []
-    others = sorted(others, key=lambda s: s[1])
-    starts = [s[1] for s in others]
     scope = lambda at: bisect_left(scopes, at)
+    others = sorted({(scope(s), s, e) for _, s, e in others})
+    # The two largest ends so far within a scope: spans may nest, and one of them may be the part itself.
+    largest: list[tuple[tuple[int, int], ...]] = []
+    for at, (block, s, e) in enumerate(others):
+        before = largest[-1] if at and others[at - 1][0] == block else ()
+        largest.append(tuple(sorted([*before, (e, s)], reverse=True)[:2]))
     kept = []
     for part in parts:
-        at = bisect_left(starts, part[1])
-        # Parts of one kind do not overlap, so the nearest on each side decide (two, as the part itself may stand there).
-        for other in others[max(0, at - 2) : at + 2]:
-            gap = max(other[1] - part[2], part[1] - other[2])
-            if other[1:] != part[1:] and gap <= REACH and scope(other[1]) == scope(part[1]):
-                kept.append(part)
-                break
+        at = bisect_right(others, (scope(part[1]), part[2] + REACH, inf)) - 1
+        if at >= 0 and others[at][0] == scope(part[1]) and any((s, e) != part[1:] and e >= part[1] - REACH for e, s in largest[at]):
+            kept.append(part)
     return kept
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak parts that complete a credential; none overlaps a certain span."""
     taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
 
     def free(span: Span) -> bool:
         at = bisect_left(starts, span[2])
-        return all(e <= span[1] or s >= span[2] for s, e in taken[max(0, at - 3) : at])
+        return not at or ends[at - 1] <= span[1]
 
     weak = [s for s in weak_parts(text) if free(s)]
     if not weak:
@@ -97,8 +99,8 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     of = lambda *kinds: [s for s in [*base, *weak] if s[0] in kinds]
     ids = near(of("weak_id", "access"), of("weak_secret", "assign", "hex"), scopes)
     secrets = near(of("weak_secret", "assign", "hex"), of("weak_id", "access"), scopes)
-    ends = near(of("endpoint"), [*ids, *secrets], scopes)
-    return sorted({s for s in [*ids, *secrets, *ends] if s[0] in WEAK}, key=lambda s: (s[1], WEAK.index(s[0])))
+    hosts = near(of("endpoint"), [*ids, *secrets], scopes)
+    return sorted({s for s in [*ids, *secrets, *hosts] if s[0] in WEAK}, key=lambda s: (s[1], WEAK.index(s[0])))
 
 
 def joined(spans: list[Span]) -> str:
