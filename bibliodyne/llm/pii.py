@@ -10,7 +10,9 @@ it stands in the documents that hold that entity, from ``REMOVE`` on it is remov
 
 Everything is DataFrame expressions. Patterns are written with possessive runs and guards, which
 match the same spans in time linear in the text and without deep recursion. Spans come from cutting a
-text at its matches, as lengths of the pieces. Term counts are combined before the shuffle. A share of
+text at its matches, as prefix sums of the pieces' lengths; prefix sums run in blocks, so that no array
+grows by one element at a time. Which terms overlap a certain span is told by a window over both, sorted
+by start. Term counts are combined before the shuffle. A share of
 ``GENERALISE`` or more bounds a term's document frequency by the entity's, so only terms within that
 bound are paired with entities. Only texts that hold an entity are exchanged, equal ones once.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bibliodyne.session import materialize, packed
@@ -39,25 +42,42 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.95
 TERM = r"[\p{L}\p{N}]{3,}"
+#: Elements of a prefix sum's block, and code points of a text's piece.
+RUN, PIECE = 128, 4096
 #: Terms in over one of so many documents are left out by a broadcast list, if no bound admits them.
 COMMON = 200
 
 
-def _matches(text: Column, pattern: str, kept: Callable[[Column], Column] | None = None) -> Column:
-    """array<struct(s, e, v)> of the pattern's matches (whose value is ``kept``): code points, end exclusive."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of int the ``op`` (sum or maximum) of all elements before it, 0 for the first."""
+    none = F.expr("cast(array() as array<int>)")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    step = lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def scanned(v: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+        blocks = F.transform(F.when(F.size(v) > 0, cuts).otherwise(none), lambda i: F.aggregate(F.slice(v, i * RUN + 1, F.lit(RUN)), start, step))
+        offsets = lambda b: F.aggregate(b, start, lambda acc, x: step(acc, x["at"]), lambda acc: acc["out"])
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, offsets(b), lambda x, o: F.transform(x["out"], lambda y: op(y, o)))))
+
+    return _let(values, scanned)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """array<struct(s, e, v)> of the pattern's matches: code points, end exclusive."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind = "struct<s:int,e:int,v:string>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["p"])
-        e = s + F.length(pair["m"])
-        out = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("v"))))
-        return F.struct(e.alias("at"), (out if kept is None else F.when(kept(pair["m"]), out).otherwise(acc["out"])).alias("out"))
+    def spans(pairs: Column) -> Column:
+        steps = F.transform(pairs, lambda x: F.length(x["p"]) + F.length(x["m"]))
+        return F.zip_with(pairs, _before(steps, lambda a, b: a + b), lambda x, at: F.struct((at + F.length(x["p"])).alias("s"), (at + F.length(x["p"]) + F.length(x["m"])).alias("e"), x["m"].alias("v")))
 
     # One more piece than matches; zipping pads the last match with null, which is dropped.
-    pairs = F.filter(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: x["m"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return _let(F.filter(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: x["m"].isNotNull()), spans)
 
 
 def _digits(value: Column) -> Column:
@@ -112,24 +132,24 @@ def with_entities(based: DataFrame) -> DataFrame:
     return based.withColumn("_entities", F.array_distinct(F.transform("_base", entity)))
 
 
-def _clear_terms(text: Column, base: Column) -> Column:
-    """Distinct lower-case terms of a text that no certain span runs through."""
-    edge = r"[\p{L}\p{N}]"
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("cut"), F.expr("cast(array() as array<string>)").alias("out"))
+def _shape(term: Column) -> Column:
+    """What a generalised term becomes."""
+    return F.when(term.rlike(r"\p{N}"), "<NUMBER>").when(term.rlike(r"^\p{Lu}"), "<NAME>").otherwise("<TERM>")
 
-    def piece(acc: Column, part: Column) -> Column:
-        return F.when(acc["cut"], F.regexp_replace(part, f"^{edge}++", "")).otherwise(part)
 
-    def step(acc: Column, b: Column) -> Column:
-        # A run of letters that goes on into the span is no term; overlapping spans are passed as one.
-        left = piece(acc, F.substring(text, acc["at"] + 1, F.greatest(b["s"] - acc["at"], F.lit(0))))
-        left = F.when(F.substring(text, b["s"] + 1, 1).rlike(edge), F.regexp_replace(left, f"(?<!{edge}){edge}++$", "")).otherwise(left)
-        cut = F.when(b["e"] > acc["at"], F.substring(text, b["e"], 1).rlike(edge)).otherwise(acc["cut"])
-        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), cut.alias("cut"), F.concat(acc["out"], F.array(left)).alias("out"))
+def _clear_occurrences(held: DataFrame, keep: DataFrame) -> DataFrame:
+    """(key, term, s, e, n_t, shape): where the terms of ``keep`` (term, n_t) stand in held texts outside certain spans.
 
-    ordered = F.array_sort(F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
-    pieces = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.array(piece(acc, F.substring(text, acc["at"] + 1, F.length(text))))))
-    return F.array_distinct(F.transform(F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(TERM), F.lit(0)))), F.lower))
+    A term is a whole run of letters and digits, so one that a certain span runs through overlaps it.
+    """
+    terms = held.select("key", F.explode(_matches(F.col("text"), TERM)).alias("x")).select("key", F.lower("x.v").alias("term"), "x.s", "x.e", _shape(F.col("x.v")).alias("shape")).join(keep, "term")
+    spans = held.select("key", F.explode("base").alias("x")).select("key", F.lit(None).cast("string").alias("term"), "x.s", "x.e", F.lit(None).cast("long").alias("n_t"), F.lit(None).cast("string").alias("shape"))
+    by_start = W.partitionBy("key").orderBy("s", F.col("term").isNotNull())
+    base_end, base_start = F.when(F.col("term").isNull(), F.col("e")), F.when(F.col("term").isNull(), F.col("s"))
+    before = F.max(base_end).over(by_start.rowsBetween(W.unboundedPreceding, W.currentRow))
+    after = F.min(base_start).over(by_start.rowsBetween(W.currentRow, W.unboundedFollowing))
+    placed = terms.select("key", "term", "s", "e", "n_t", "shape").union(spans).withColumn("before", before).withColumn("after", after).filter("term IS NOT NULL")
+    return placed.filter((F.coalesce("before", F.lit(0)) <= F.col("s")) & (F.col("after").isNull() | (F.col("after") >= F.col("e")))).drop("before", "after")
 
 
 def _held_texts(docs: DataFrame) -> DataFrame:
@@ -138,7 +158,7 @@ def _held_texts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_spans(docs: DataFrame, small: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(key, terms array<struct(s, e, share)>): spans of terms that disclose an entity of their text.
+    """(key, terms array<struct(s, e, share, shape)>): spans of terms that disclose an entity of their text.
 
     ``small`` has a row for each row of ``docs``: key, base, entities (materialised, without texts).
     """
@@ -153,19 +173,19 @@ def disclosing_spans(docs: DataFrame, small: DataFrame, support: int = SUPPORT,
     # Document frequency of the terms over the whole corpus, combined in each partition first.
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     frequency = materialize(words.groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= support), "pii-frequency")
+    # Terms that some entity's bound admits.
     common = F.broadcast(frequency.filter(F.col("n_t") > max(top, n / COMMON)).select("term"))
-    inside = _held_texts(docs).join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode(_clear_terms(F.col("text"), F.col("base"))).alias("term"))
-    rare = inside.join(common, "term", "left_anti").join(frequency.filter(F.col("n_t") <= top), "term")
-    pairs = materialize(rare.join(held, "key").filter(F.col("n_t") <= F.col("most")), "pii-pairs")
+    admitted = frequency.join(common, "term", "left_anti").filter(F.col("n_t") <= top)
+    texts = _held_texts(docs).join(held.select("key").distinct(), "key", "left_semi")
+    clear = materialize(_clear_occurrences(texts, admitted), "pii-clear")
+    pairs = clear.select("key", "term", "n_t").distinct().join(held, "key").filter(F.col("n_t") <= F.col("most"))
+    pairs = materialize(pairs, "pii-pairs")
     share = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(n) / F.col("n_e"))
     counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).filter(F.col("n_te") >= support)
     flagged = counted.withColumn("share", share).filter(F.col("share") >= generalise - 1e-12).select("entity", "term", F.least("share", F.lit(1.0)).alias("share"))
     chosen = pairs.select("key", "entity", "term").join(flagged, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
-    chosen = materialize(chosen.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "pii-chosen")
-    marked = _matches(F.col("text"), TERM, lambda v: F.map_contains_key("shares", F.lower(v)))
-    clear = lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
-    spans = F.transform(F.filter(marked, clear), lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.col("shares")[F.lower(t["v"])].alias("share")))
-    return materialize(_held_texts(docs).join(chosen, "key").select(F.col("key").alias("term_key"), spans.alias("terms")), "pii-spans")
+    spans = clear.join(chosen, ["key", "term"]).groupBy(F.col("key").alias("term_key")).agg(F.array_sort(F.collect_list(F.struct("s", "e", "share", "shape"))).alias("terms"))
+    return materialize(spans, "pii-spans")
 
 
 def _joined(spans: Column) -> Column:
@@ -200,19 +220,27 @@ def sanitize(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     spans = disclosing_spans(docs, small, support, generalise)
     joined = with_base(docs).join(spans, F.col("_key") == F.col("term_key"), "left")
     text = F.col("text")
-    term = lambda t: F.substring(text, t["s"] + 1, t["e"] - t["s"])
-    shape = lambda v: F.when(v.rlike(r"\p{N}"), "<NUMBER>").when(v.rlike(r"^\p{Lu}"), "<NAME>").otherwise("<TERM>")
     marks = F.concat(
         F.transform("_base", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), F.concat(F.lit("<"), F.upper(b["k"]), F.lit(">")).alias("m"))),
-        F.coalesce(F.transform("terms", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.when(t["share"] >= remove, "").otherwise(shape(term(t))).alias("m"))), F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")),
+        F.coalesce(F.transform("terms", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.when(t["share"] >= remove, "").otherwise(t["shape"]).alias("m"))), F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["m"])).alias("out"))
-        return F.when(x["s"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate(F.array_sort("_marks"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(pieces: Column, start: Column, stop: Column) -> Column:
+        """The code points from start to stop, from fixed pieces: counting from the text's start each time
+        would take the square of its length."""
+        first, last = F.floor(start / PIECE).cast("int"), F.floor((stop - 1) / PIECE).cast("int")
+        head = F.substring(F.get(pieces, first), start % PIECE + 1, F.least(stop - start, F.lit(PIECE)))
+        more = F.concat(F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.get(pieces, last), F.lit(1), stop - last * PIECE))
+        return F.when(stop <= start, "").when(first == last, head).otherwise(F.concat(head, more))
+
+    def rewritten(marked: Column) -> Column:
+        ends = _before(F.transform(marked, lambda x: x["e"]), F.greatest)
+        placed = F.filter(F.arrays_zip(marked.alias("x"), ends.alias("at")), lambda y: y["x"]["s"] >= y["at"])
+        end = F.array_max(F.transform(marked, lambda x: x["e"]))
+        return _let(parts, lambda p: F.concat(F.array_join(F.transform(placed, lambda y: F.concat(cut(p, y["at"], y["x"]["s"]), y["x"]["m"])), ""), cut(p, end, F.length(text))))
+
+    clean = _let(F.array_sort("_marks"), rewritten)
     done = joined.withColumn("_marks", marks).withColumn("text", F.when(F.size("_marks") > 0, clean).otherwise(text))
     quoted = lambda c: F.col("text") if c == "text" else F.col("_row")[c].alias(c)
     return done.select(*[quoted(c) for c in columns])
