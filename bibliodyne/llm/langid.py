@@ -2,16 +2,20 @@
 
 Each word of a text gets a label: its language. Emission weights come from affixes, character n-grams
 and a lexicon of the sampled texts' words; transition weights between the labels of neighbouring words
-are learned with them, by gradient ascent on the likelihood (forward-backward on word sequences). A
+are learned with them, by gradient ascent on the likelihood (forward-backward on word sequences, part of
+them spliced from two languages, so that switches are learned, too). A
 text's language is the label with the largest mean posterior over its words, its score that mean, so
 a code-switched text scores lower and ``label_words`` gives its labels word by word.
 
-Learning uses at most ``sample_docs`` documents per language (a documented parameter; chosen by hash,
-so that reruns agree), whole texts cut into sequences. Every text is labelled whole. A word's emission
+Learning uses at most ``sample_docs`` documents and about ``sample_words`` words per language (documented
+parameters; documents are distinct ids chosen by hash, so that reruns agree; with very many languages
+``TOTAL_WORDS`` bounds the whole sample). Texts are cut into sequences. Every text is labelled whole: a
+word is a run of letters however long, and in scripts without spaces one character. A word's emission
 depends on the word alone and is computed once per distinct word that a worker remembers.
 
 A text that is null or has no letter is ``und`` with score 0. If nothing can be learned (no labelled
-row), all are ``und``. Repeated rows get equal results.
+row), all are ``und``. Repeated rows get equal results, ties go to the first language by code point, an
+empty table gives no rows, and columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -26,28 +30,30 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibliodyne.session import packed
+from bibliodyne.session import materialize, packed
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
+#: Characters that are words of their own, since their scripts put no spaces between words.
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+SPLIT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*|[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
 #: Rows of the hashed feature table.
 BUCKETS = 1 << 16
-#: Characters of a word that features are taken from, at each end; the lexicon has it whole.
-ENDS = 24
 MEMO_WORDS = 150_000
 #: Words per segment when texts are labelled.
 SEGMENT = 48
 #: Words per training sequence.
 SEQUENCE = 48
 UNDETERMINED = "und"
-#: Languages that a model can tell apart; more are an error, since weights and sample grow with them.
-MOST_LABELS = 256
+#: Words of all languages together that a model is fitted on at most.
+TOTAL_WORDS = 8_000_000
+#: Share of the training sequences that are spliced with one of another language.
+SPLICED = 0.25
 
 
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
     """Feature rows of a lower-cased word: affixes and trigrams of its marked bytes, and whether the lexicon
     has it. The start value of the checksum tells the families apart."""
-    w = word if len(word) <= 2 * ENDS else word[:ENDS] + word[-ENDS:]
-    b = f"^{w}$".encode()
+    b = f"^{word}$".encode()
     rows = [crc32(b[:n], n) % BUCKETS for n in (2, 3, 4)] + [crc32(b[-n:], 16 + n) % BUCKETS for n in (2, 3, 4, 5)]
     rows += [crc32(b[i : i + 3], 64) % BUCKETS for i in range(len(b) - 2)]
     rows.append(crc32(b, 128) % BUCKETS if word in lexicon else crc32(b"", 256) % BUCKETS)
@@ -172,7 +178,10 @@ def segmented_posteriors(emissions: list[np.ndarray], transition: np.ndarray) ->
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    words = WORD.findall(text.lower()) if text else []
+    if words and not text.isascii() and UNSPACED.search(text):
+        return [x for w in words for x in (SPLIT.findall(w) if UNSPACED.search(w) else [w])]
+    return words
 
 
 def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128, rate: float = 0.3, decay: float = 1e-6, seed: int = 8) -> Model | None:
@@ -184,11 +193,16 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128,
     counts = Counter(w for x in split for w in x)
     lexicon = frozenset(w for w, n in counts.items() if n >= 5)
     at = {x: i for i, x in enumerate(labels)}
-    chunks = [(x[i : i + SEQUENCE], at[y]) for x, y in zip(split, langs, strict=True) for i in range(0, len(x), SEQUENCE)]
+    pieces = [(x[i : i + SEQUENCE], at[y]) for x, y in zip(split, langs, strict=True) for i in range(0, len(x), SEQUENCE)]
     known = {w: np.array(features(w, lexicon)) for w in counts}
     w, t = np.zeros((BUCKETS, len(labels))), np.zeros((len(labels), len(labels)))
     gw, gt = np.full(w.shape, 1e-6), np.full(t.shape, 1e-6)
     rng = np.random.default_rng(seed)
+    chunks = [(x, [y] * len(x)) for x, y in pieces]
+    # Code-switched sequences: the head of one sequence and the tail of another one.
+    for i, j in rng.integers(0, max(1, len(pieces)), (int(SPLICED * len(pieces)), 2)):
+        (a, y), (b, z) = pieces[i], pieces[j]
+        chunks.append((a[: len(a) // 2] + b[len(b) // 2 :], [y] * (len(a) // 2) + [z] * (len(b) - len(b) // 2)))
     for _ in range(epochs if chunks else 0):
         order = rng.permutation(len(chunks))
         for start in range(0, len(order), batch):
@@ -203,21 +217,19 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128,
             post, pairs = forward_backward(padded, lengths, t, True)
             truth = np.zeros_like(post)
             for j, (_, y) in enumerate(part):
-                truth[j, : lengths[j], y] = 1
+                truth[j, np.arange(lengths[j]), y] = 1
             error = (truth - post)[mask] / lengths.sum()
             grad = np.zeros_like(w)
             np.add.at(grad, flat, np.repeat(error, np.diff(ends), axis=0))
             grad -= decay * w
             seen = np.zeros_like(t)
-            for j, (_, y) in enumerate(part):
-                seen[y, y] += lengths[j] - 1
+            for _, y in part:
+                np.add.at(seen, (y[:-1], y[1:]), 1)
             step = (seen - pairs) / lengths.sum()
             gw += grad**2
             gt += step**2
             w += rate * grad / np.sqrt(gw)
             t += rate * step / np.sqrt(gt)
-            # A bound keeps one-language training texts from making a switch impossible.
-            np.clip(t, -2.0, 2.0, out=t)
     return Model(labels, w.astype(np.float32), t, lexicon)
 
 
@@ -227,30 +239,31 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def sample(docs: DataFrame, sample_docs: int = 400, sample_words: int = 120_000) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from: per language the first ``sample_docs`` in hash order, and of
-    these as many whole texts as ``sample_words`` words allow (at least one)."""
+    """Texts and languages to learn from: per language the first ``sample_docs`` distinct ids in hash order,
+    and of these as many as ``sample_words`` words allow (at least one). An id that is repeated with a
+    language gives its smallest text; of a text with more words than that, the first ``sample_words`` are
+    learned from. Only these texts reach the driver."""
     from pyspark.sql import Window as W
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
-    keyed = rows.select("doc_id", "lang", F.xxhash64(F.lit(8), F.col("doc_id").cast("string")).alias("h"))
-    # The smallest hashes per language without sorting a language's rows in one task: the threshold
-    # keeps a few times the wanted number of the language's rows.
-    sizes = keyed.groupBy("lang").agg(F.count("*").alias("n"))
-    if sizes.limit(MOST_LABELS + 1).count() > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} languages")
-    near = keyed.join(sizes, "lang").filter(F.pmod(F.col("h"), F.lit(1 << 30)).cast("double") < F.lit(float(1 << 30)) * 4 * sample_docs / F.col("n"))
-    order = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "doc_id"))
-    chosen = near.withColumn("r", order).filter(F.col("r") <= sample_docs).select("doc_id", F.col("lang").alias("chosen_lang"), "r")
-    # At most MOST_LABELS * sample_docs ids.
+    keyed = rows.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(8), F.col("doc_id").cast("string")), F.lit(1 << 30)).alias("h"))
+    # One row a language; it goes to every task, where it leaves a few times the wanted number of ids.
+    sizes = materialize(keyed.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")), "langid-sizes")
+    labels = sizes.count()
+    sample_words = max(1, min(sample_words, TOTAL_WORDS // max(1, labels)))
+    near = keyed.join(F.broadcast(sizes), "lang").filter(F.col("h").cast("double") < F.lit(float(1 << 30)) * 4 * sample_docs / F.col("n"))
+    ids = near.select("lang", "doc_id", "h").distinct()
+    ranked = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= sample_docs)
+    chosen = materialize(ranked.select("doc_id", F.col("lang").alias("chosen_lang"), "r"), "langid-ids")
+    # At most ``sample_docs`` ids a language.
     picked = rows.join(F.broadcast(chosen), "doc_id").filter(F.col("lang") == F.col("chosen_lang"))
-    found = picked.select("r", "doc_id", "lang", "text").collect()
-    texts, langs, words = [], [], Counter()
-    for r in sorted(found, key=lambda r: (r.r, r.lang, str(r.doc_id), r.text)):
-        if words[r.lang] < sample_words:
-            texts.append(r.text)
-            langs.append(r.lang)
-            words[r.lang] += r.text.count(" ") + 1
-    return texts, langs
+    few = F.when(F.regexp_count("text", F.lit(r"\s+")) < sample_words, F.col("text")).otherwise(F.array_join(F.slice(F.split("text", r"\s+"), 1, sample_words), " "))
+    texts = materialize(picked.groupBy("lang", "r").agg(F.min(few).alias("text")).withColumn("words", F.regexp_count("text", F.lit(r"\s+")) + 1), "langid-texts")
+    before = F.coalesce(F.sum("words").over(W.partitionBy("lang").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wanted = texts.select("lang", "r", before.alias("before")).filter(F.col("before") < sample_words)
+    found = texts.join(F.broadcast(wanted), ["lang", "r"]).select("lang", "r", "text").collect()
+    found.sort(key=lambda r: (r.r, r.lang))
+    return [r.text for r in found], [r.lang for r in found]
 
 
 def fit(docs: DataFrame, sample_docs: int = 400, sample_words: int = 120_000, **options: float) -> Model | None:
