@@ -8,8 +8,10 @@ factors that are computed once and sent with the task, plus log determinants and
 a logistic curve whose slope and offset are fitted on the same rows' log-density differences.
 
 Null and empty texts are scored like any other (their statistics are those of no words). Repeated rows
-get equal scores. If one class has no labelled row, all scores are that of the other: 0 or 1, and
-0.5 if no row is labelled.
+get equal scores. If a class has fewer than two labelled rows (no covariance), all scores are that of the
+other: 0 or 1, and 0.5 if no row is labelled. Labelled rows that are all alike leave a covariance of zero,
+whose ridge has an absolute floor: their score is then the share of the classes. Columns of ``docs`` and
+``labels`` other than the named ones are never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ KINDS[: len(UPPER)][UPPER] = 1
 for _kind, _chars in ((2, "0123456789"), (3, ".,;:!?'\"()-’"), (4, "#$%&*")):
     KINDS[[ord(c) for c in _chars]] = _kind
 
+#: Floor of the mean variance that the ridge is taken from.
+LEAST_SCALE = 1e-4
+
 
 def logit(x: float) -> float:
     return float(np.log((x + 0.01) / (1.01 - x)))
@@ -87,7 +92,7 @@ class Discriminant:
         self.mean = sums / n[:, None]
         covariance = [squares[c] / n[c] - np.outer(self.mean[c], self.mean[c]) for c in (0, 1)]
         pooled = (n[0] * covariance[0] + n[1] * covariance[1]) / n.sum()
-        scale = np.trace(pooled) / d
+        scale = max(float(np.trace(pooled)) / d, LEAST_SCALE)
         # The fewer rows a class has, the more of the pooled covariance it takes.
         weight = [min(1.0, shrink + d / (d + n[c])) for c in (0, 1)]
         kept = [(1 - weight[c]) * covariance[c] + weight[c] * pooled + ridge * scale * np.eye(d) for c in (0, 1)]
