@@ -10,13 +10,15 @@ those of a brute-force count, and if too many are missing, further tables and ro
 still lack links after that are counted exactly, like dense groups. Links are the list entries at or
 above the threshold, in both directions.
 
-Lists that stay saturated at ``MOST_ROOM`` entries belong to dense groups, whose pairs are not listed:
-their nodes are compared with all nodes of the label in blocks that return counts, the pairs with
-unsaturated nodes, and a spanning forest of the rest, so links and components are whole while no
-group's pairs are written out. The work for such a group still grows with its square.
+Lists that stay saturated at ``MOST_ROOM`` entries belong to dense groups, whose pairs are not listed. A link
+of such a node with one whose list is not saturated stands in the latter's list. Dense nodes are compared
+with each other only, within their label, in blocks that return counts and a spanning forest, so links and
+components are whole while no group's pairs are written out. That work still grows with the square of
+the dense nodes of a label (not with the label's other rows).
 
 Vectors that are null, zero, not finite or of an uncommon length, and rows without label or id, link
-with nothing: no links, a component of their own. Rows that repeat an id repeat its vector.
+with nothing: no links, a component of their own. Rows that repeat an id repeat its vector. An empty table
+gives no rows; columns other than vec_id, label and embedding are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,27 +44,54 @@ LEAF, SPLIT = 96, 256
 PIECE = 64
 #: Audited nodes with links, and at least and at most so many without.
 AUDITED, MOST_AUDITED = 512, 8192
+#: Dense nodes of a label in a block that is compared with another one.
+DENSE = 2048
 LIST = "id long, nb array<struct<s:double,id:long>>"
+#: Rows of a bucket of blocks that a task takes together, on average.
+BUCKET = 4096
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _lists(ids: np.ndarray, x: np.ndarray, room: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, list[dict]]]:
-    """For each row its nearest others, ``room`` at most, that are nearer than ``least``."""
+def _entries(ids: np.ndarray, x: np.ndarray, room: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, similarity, other) of each row's nearest others, ``room`` at most, that are nearer than ``least``."""
     s = x @ x.T
     s[ids[:, None] == ids[None]] = -np.inf
-    for i, row in enumerate(s):
-        k = min(int(room[i]), len(row) - 1)
-        if k <= 0:
-            continue
-        some = np.argpartition(-row, k - 1)[:k]
-        some = some[row[some] > least[i] + 1e-12]
-        if len(some):
-            # Row products do not depend on where a row stands, so equal pairs compare equal later.
-            exact = dots(np.broadcast_to(x[i], (len(some), x.shape[1])), x[some])
-            yield int(ids[i]), [{"s": float(e), "id": int(j)} for e, j in zip(exact, ids[some], strict=True)]
+    k = min(int(room.max(initial=0)), len(ids) - 1)
+    if k <= 0:
+        return ids[:0], np.zeros(0), ids[:0]
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(s, top, axis=1)
+    order = np.argsort(-near, axis=1)
+    near, top = np.take_along_axis(near, order, axis=1), np.take_along_axis(top, order, axis=1)
+    i, j = np.nonzero((np.arange(k) < room[:, None]) & (near > least[:, None] + 1e-12))
+    other = top[i, j]
+    # Row products do not depend on where a row stands, so equal pairs compare equal later.
+    return ids[i], dots(x[i], x[other]), ids[other]
+
+
+def _blocks(b: pa.Table, key: list[str], room: str | None, least: str | None) -> pa.Table:
+    """Lists found within each block of a bucket; rows of a block have equal keys."""
+    b = b.sort_by([(k, "ascending") for k in key])
+    keys = np.stack([b.column(k).to_numpy() for k in key], axis=1) if len(b) else np.zeros((0, len(key)))
+    ids, x = b.column("id").to_numpy(), _vectors(b.column("v"))
+    rooms = b.column(room).to_numpy() if room else np.full(len(b), ROOM)
+    low = b.column(least).to_numpy() if least else np.full(len(b), -np.inf)
+    ends = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(b)]])
+    found = [_entries(ids[s:e], x[s:e], rooms[s:e], low[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True) if e - s > 1]
+    owner, near, other = (np.concatenate(c) for c in zip(*found, (ids[:0], np.zeros(0), ids[:0]), strict=True))
+    starts = np.concatenate([[0], np.nonzero(owner[1:] != owner[:-1])[0] + 1]) if len(owner) else np.zeros(0, dtype=np.int64)
+    offsets = pa.array(np.concatenate([starts, [len(owner)]]).astype(np.int32))
+    entries = pa.StructArray.from_arrays([pa.array(near, pa.float64()), pa.array(other, pa.int64())], names=["s", "id"])
+    return pa.table({"id": pa.array(owner[starts], pa.int64()), "nb": pa.ListArray.from_arrays(offsets, entries)})
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit rows in double of a column of vectors of one length."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
 
 
 def _merged(parts: DataFrame, room: Column) -> DataFrame:
@@ -73,28 +103,27 @@ def _merged(parts: DataFrame, room: Column) -> DataFrame:
 def _starting_lists(nodes: DataFrame, first_table: int, tables: int) -> DataFrame:
     """(id, nb) from blocks of equal hyperplane signs, for the tables from ``first_table`` on."""
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.v)
+            x = _vectors(pa.chunked_array([b.column("v")]))
             planes = [np.random.default_rng([10, t]).standard_normal((x.shape[1], BITS)) for t in range(first_table, first_table + tables)]
-            codes = [((x @ p > 0) @ (1 << np.arange(BITS - 1, -1, -1))) >> (BITS - b.bits.to_numpy()) for p in planes]
-            for t, code in enumerate(codes):
-                yield pd.DataFrame({"id": b.id, "label": b.label, "v": b.v, "t": t, "code": code})
+            shift = BITS - b.column("bits").to_numpy()
+            for t, p in enumerate(planes):
+                code = ((x @ p > 0) @ (1 << np.arange(BITS - 1, -1, -1))) >> shift
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("place"), b.column("v"), pa.array(np.full(len(code), t), pa.int32()), pa.array(code, pa.int64())], names=["id", "place", "v", "t", "code"])
 
-    label = nodes.schema["label"].dataType.simpleString()
-    sizes = nodes.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = materialize(nodes.groupBy("label").agg(F.count("*").alias("n")).withColumn("place", F.monotonically_increasing_id()), "nn-labels")
     bits = F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF)))).cast("int")
-    sized = nodes.join(sizes.select("label", bits.alias("bits")), "label").select("id", "label", "v", "bits")
-    rows = materialize(sized.mapInPandas(coded, f"id long, label {label}, v array<double>, t int, code long"), "nn-codes")
-    key = ["label", "t", "code"]
+    # Numbers stand for labels: equal ones are told apart by the numbers of their blocks alone.
+    sized = nodes.join(sizes.select("label", "place", bits.alias("bits")), "label").select("id", "place", "v", "bits")
+    vector = nodes.schema["v"].dataType.simpleString()
+    rows = materialize(sized.mapInArrow(coded, f"id long, place long, v {vector}, t int, code long"), "nn-codes")
+    key = ["place", "t", "code"]
     pieces = rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select(*key, F.ceil(F.col("n") / LEAF).alias("pieces"))
-    split = rows.join(pieces, key, "left").withColumn("piece", F.pmod(F.xxhash64(F.lit(1), "t", "id"), F.coalesce("pieces", F.lit(1))))
-
-    def block(b: pd.DataFrame) -> pd.DataFrame:
-        found = list(_lists(b.id.to_numpy(), matrix(b.v), np.full(len(b), ROOM), np.full(len(b), -np.inf)))
-        return pd.DataFrame(found, columns=["id", "nb"])
-
-    return split.groupBy(*key, "piece").applyInPandas(block, LIST)
+    split = rows.join(pieces, key, "left").withColumn("piece", F.pmod(F.xxhash64(F.lit(1), "t", "id"), F.coalesce("pieces", F.lit(1)))).drop("pieces")
+    buckets = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) * tables // BUCKET)
+    split = split.withColumn("bucket", F.pmod(F.xxhash64(F.lit(9), *key, "piece"), F.lit(buckets)))
+    return split.groupBy("bucket").applyInArrow(lambda b: _blocks(b, [*key, "piece"], None, None), LIST)
 
 
 def _refined(nodes: DataFrame, lists: DataFrame, total: int, turn: int) -> DataFrame:
@@ -106,18 +135,9 @@ def _refined(nodes: DataFrame, lists: DataFrame, total: int, turn: int) -> DataF
     least = F.when(F.size("nb") < F.col("room"), F.lit(-2.0)).otherwise(F.array_min(F.transform("nb", lambda e: e["s"])))
     state = nodes.select("id", "v").join(lists.select("id", "room", least.alias("least")), "id")
     rows = around.join(crowded, "u", "left").withColumn("piece", piece).drop("pieces").join(state, F.col("x") == F.col("id")).drop("x")
-    buckets = max(1, total * 2 * ROOM // 4096)
+    buckets = max(1, total * 2 * ROOM // BUCKET)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(3), "u", "piece"), F.lit(buckets)))
-
-    def bucket(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["u", "piece"], kind="stable")
-        key = b[["u", "piece"]].to_numpy()
-        ends = np.concatenate([[0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1, [len(b)]])
-        x, ids, room, low = matrix(b.v), b.id.to_numpy(), b.room.to_numpy(), b.least.to_numpy()
-        found = [r for s, e in zip(ends[:-1], ends[1:], strict=True) if e - s > 1 for r in _lists(ids[s:e], x[s:e], room[s:e], low[s:e])]
-        return pd.DataFrame(found, columns=["id", "nb"])
-
-    return rows.groupBy("bucket").applyInPandas(bucket, LIST)
+    return rows.groupBy("bucket").applyInArrow(lambda b: _blocks(b, ["u", "piece"], "room", "least"), LIST)
 
 
 def _linked(s: Column, threshold: float) -> Column:
@@ -141,11 +161,13 @@ def _audit(nodes: DataFrame, lists: DataFrame, threshold: float, missing: float,
     asked = some("found > 0", AUDITED).union(some("found = 0", enough)).join(nodes.select("id", "label", "v"), "id").toPandas()
     if not len(asked):
         return 0.0, []
-    a, ids, labels, found = matrix(asked.v), asked.id.to_numpy(), asked.label.to_numpy(), asked.found.to_numpy()
+    a, ids, labels, found = _unit(matrix(asked.v)), asked.id.to_numpy(), asked.label.to_numpy(), asked.found.to_numpy()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, label, own = matrix(b.v), b.label.to_numpy(), b.id.to_numpy()
+            if not len(b):
+                continue
+            x, label, own = _unit(matrix(b.v)), b.label.to_numpy(), b.id.to_numpy()
             for s in range(0, len(ids), AUDITED):
                 at = slice(s, s + AUDITED)
                 hit = (a[at] @ x.T >= threshold) & (labels[at, None] == label[None]) & (ids[at, None] != own[None])
@@ -164,7 +186,7 @@ def _without_room(lists: DataFrame, these: Column) -> DataFrame:
 
 
 def neighbour_lists(nodes: DataFrame, threshold: float = THRESHOLD, missing: float = 0.01, rounds: int = 4, attempts: int = 3) -> DataFrame:
-    """(id, nb, room) after refinement; nodes have id, label and v (a unit vector in double).
+    """(id, nb, room) after refinement; nodes have id, label and v (a vector).
 
     A list without room is left to the exact count of ``_dense``: its label failed the last audits.
     """
@@ -196,41 +218,38 @@ def neighbour_lists(nodes: DataFrame, threshold: float = THRESHOLD, missing: flo
 
 
 def _dense(nodes: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
-    """Rows (kind, a, b, n) of dense nodes against their label: kind 0 a count of links, 1 a pair with
-    a node that is not dense, 2 a link of a spanning forest of dense nodes."""
-    marked = nodes.join(dense.select("id", F.lit(True).alias("dense")), "id", "left").select("id", "label", "v", "c", F.coalesce("dense", F.lit(False)).alias("dense"))
-    sizes = marked.groupBy("label").agg(F.ceil(F.count("*") / 4096).alias("nb"), F.ceil(F.sum(F.col("dense").cast("int")) / 1024).alias("db")).filter(F.col("db") > 0)
-    rows = marked.join(sizes, "label")
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    every = rows.withColumn("i", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("nb"))).withColumn("j", spread(F.col("db")))
-    some = rows.filter("dense").withColumn("j", F.pmod(F.xxhash64(F.lit(6), "id"), F.col("db"))).withColumn("i", spread(F.col("nb")))
+    """Rows (kind, a, b, n) of dense nodes against those of their label: kind 0 a sum of the links' copies, 2 a link
+    of a spanning forest."""
+    rows = nodes.join(dense.select("id"), "id", "left_semi").select("id", "label", "v", "c")
+    sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / DENSE).alias("blocks"))
+    placed = rows.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")))
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = placed.withColumn("i", F.col("own")).withColumn("j", spread).drop("own", "blocks")
+    right = placed.withColumn("j", F.col("own")).withColumn("i", spread).drop("own", "blocks")
 
     def cell(x: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(d):
             return pd.DataFrame({"kind": [], "a": [], "b": [], "n": []})
-        hit = (matrix(d.v) @ matrix(x.v).T >= threshold) & (d.id.to_numpy()[:, None] != x.id.to_numpy()[None])
-        a, b, is_dense = d.id.to_numpy(), x.id.to_numpy(), x.dense.to_numpy().astype(bool)
+        a, b = d.id.to_numpy(), x.id.to_numpy()
+        hit = (_unit(matrix(d.v)) @ _unit(matrix(x.v)).T >= threshold) & (a[:, None] != b[None])
         out = [pd.DataFrame({"kind": 0, "a": a, "b": a, "n": hit @ x.c.to_numpy()})]
-        i, j = np.nonzero(hit & ~is_dense[None])
-        out.append(pd.DataFrame({"kind": 1, "a": a[i], "b": b[j], "n": 0}))
-        inner, other = hit[:, is_dense], b[is_dense]
-        if inner.any():
+        if hit.any():
             big = np.iinfo(np.int64).max
-            left, right = a.copy(), np.full(len(other), big)
+            low, right = a.copy(), np.full(len(b), big)
             while True:
-                new_right = np.minimum(other, np.where(inner, left[:, None], big).min(axis=0))
-                new_left = np.minimum(left, np.where(inner, new_right[None], big).min(axis=1))
-                if (new_right == right).all() and (new_left == left).all():
+                new_right = np.minimum(b, np.where(hit, low[:, None], big).min(axis=0))
+                new_low = np.minimum(low, np.where(hit, new_right[None], big).min(axis=1))
+                if (new_right == right).all() and (new_low == low).all():
                     break
-                left, right = new_left, new_right
-            linked = inner.any(axis=0)
-            forest = pd.DataFrame({"kind": 2, "a": np.concatenate([a, other[linked]]), "b": np.concatenate([left, right[linked]]), "n": 0})
+                low, right = new_low, new_right
+            linked = hit.any(axis=0)
+            forest = pd.DataFrame({"kind": 2, "a": np.concatenate([a, b[linked]]), "b": np.concatenate([low, right[linked]]), "n": 0})
             out.append(forest[forest.a != forest.b])
         return pd.concat(out).astype("int64")
 
     keys = ["label", "i", "j"]
-    some = some.select(*[F.col(c).alias(c) for c in some.columns])  # new column ids: both sides come from one table
-    return every.groupBy(*keys).cogroup(some.groupBy(*keys)).applyInPandas(cell, "kind long, a long, b long, n long")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # new column ids: both sides come from one table
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "kind long, a long, b long, n long")
 
 
 def links_table(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -241,21 +260,17 @@ def links_table(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     takes = usable(base.filter("vec_id IS NOT NULL AND label IS NOT NULL"), "e")
     classes = takes.groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("c"))
 
-    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"id": b.id, "label": b.label, "c": b.c, "v": list(_unit(matrix(b.e)))})
-
-    label = vectors.schema["label"].dataType.simpleString()
-    nodes = materialize(classes.mapInPandas(unit, f"id long, label {label}, c long, v array<double>"), "nn-nodes")
+    nodes = materialize(classes.select("id", "label", "c", F.col("e").alias("v")), "nn-nodes")
     lists = neighbour_lists(nodes, threshold)
-    dense = lists.filter(_saturated(threshold)).select("id")
+    dense = materialize(lists.filter(_saturated(threshold)).select("id"), "nn-dense-ids")
     exact = materialize(_dense(nodes, dense, threshold), "nn-dense")
     listed = lists.select("id", F.explode(F.filter("nb", lambda e: _linked(e["s"], threshold))).alias("e")).select(F.col("id").alias("a"), F.col("e.id").alias("b"))
-    pairs = listed.union(exact.filter("kind = 1").select("a", "b"))
-    pairs = materialize(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "nn-pairs")
-    sparse = pairs.join(dense, F.col("a") == F.col("id"), "left_anti").join(nodes.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.sum("c").alias("n"))
-    counts = sparse.union(exact.filter("kind = 0").groupBy("a").agg(F.sum("n").alias("n"))).withColumnRenamed("a", "id")
+    pairs = materialize(listed.union(listed.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "nn-pairs")
+    # Pairs of two dense nodes are counted by blocks, all others from the lists.
+    is_dense = lambda c: dense.select(F.col("id").alias(c), F.lit(True).alias(f"dense_{c}"))
+    told = pairs.join(is_dense("a"), "a", "left").join(is_dense("b"), "b", "left").filter("dense_a IS NULL OR dense_b IS NULL")
+    sparse = told.join(nodes.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.sum("c").alias("n"))
+    counts = sparse.union(exact.filter("kind = 0").groupBy("a").agg(F.sum("n").alias("n"))).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(pairs.filter("a > b").union(exact.filter("kind = 2").select("a", "b"))).withColumnRenamed("node", "id")
     placed = nodes.select("id", "c").join(counts, "id", "left").join(roots, "id", "left")
     placed = placed.select("id", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
