@@ -9,10 +9,12 @@ audited queries, compared by brute force with all rows, reach the wanted recall.
 Parts are searched in blocks of bounded size (rows and queries), so a part that holds a third of all
 rows spreads over tasks like any other; each block returns one row per query with its best k.
 
-The number of parts grows with the square root of the number of rows, to at most ``MOST_PARTS``.
-Rows with a null id take no part, nor do vectors that are null, zero, not finite or of an uncommon
+The number of parts grows with the square root of the number of rows, to at most ``MOST_PARTS`` (reached at
+some 270 million rows, beyond which the parts grow). A part's rows are repeated for the blocks of its own
+queries only. Rows with a null id take no part, nor do vectors that are null, zero, not finite or of an uncommon
 length. A query never meets its own id; rows that repeat an id are candidates each, and one query (of the
-smallest vector). Fewer than k candidates are all returned.
+smallest vector). Fewer than k candidates are all returned. An empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from bibliodyne.llm.vectors import dots, matrix, usable
 from bibliodyne.session import materialize
 
-MOST_PARTS = 1024
+MOST_PARTS = 4096
 #: Sampled rows per part that the model is fitted on.
 SAMPLE_PER_PART = 64
 AUDITED = 200
@@ -81,8 +83,8 @@ class Router:
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
 
-    def fit(self, x: np.ndarray, target: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 3e-3, seed: int = 7) -> Router:
-        """Adam on the cross entropy with the parts of a row and its neighbours."""
+    def fit(self, x: np.ndarray, seen: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 3e-3, seed: int = 7) -> Router:
+        """Adam on the cross entropy with the parts ``seen`` (rows, places) of each row and its neighbours."""
         rng, moment, power, t = np.random.default_rng(seed), [0 * w for w in self.w], [0 * w for w in self.w], 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -91,7 +93,9 @@ class Router:
                 h = np.maximum(x[i] @ self.w[0] + self.w[1], 0)
                 z = h @ self.w[2] + self.w[3]
                 p = np.exp(z - z.max(axis=1, keepdims=True))
-                g = (p / p.sum(axis=1, keepdims=True) - target[i]) / len(i)
+                g = p / p.sum(axis=1, keepdims=True)
+                np.add.at(g, (np.repeat(np.arange(len(i)), seen.shape[1]), seen[i].ravel()), -1.0 / seen.shape[1])
+                g /= len(i)
                 gh = (g @ self.w[2].T) * (h > 0)
                 grads = [x[i].T @ gh, gh.sum(axis=0), h.T @ g, g.sum(axis=0)]
                 for j, grad in enumerate(grads):
@@ -119,10 +123,7 @@ def fit_router(vectors: DataFrame, rows: int, graph_k: int = 16) -> Router | Non
         return None
     graph = neighbour_graph(x, graph_k)
     label = balanced_parts(graph, parts)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph_k), label[graph].ravel()), 1.0)
-    target[np.arange(len(x)), label] += 1.0
-    return Router(x.shape[1], parts).fit(x, target / target.sum(axis=1, keepdims=True))
+    return Router(x.shape[1], parts).fit(x, np.concatenate([label[graph], label[:, None]], axis=1))
 
 
 def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
@@ -202,14 +203,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         while visited < router.parts and sum(small[:visited]) <= k:
             visited += 1
         parts = asked.withColumn("parts", routed(visited))
-    sizes = {r.part: r["count"] for r in index.groupBy("part").count().collect()}
-    blocks = {p: max(1, math.ceil(n / BLOCK_ROWS)) for p, n in sizes.items()}
-    n_blocks = F.element_at(F.create_map(*[F.lit(x) for p in blocks.items() for x in p]), F.col("part")) if blocks else F.lit(1)
-    query_blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = index.withColumn("cb", F.pmod(F.xxhash64(F.lit(3), "id"), n_blocks).cast("int")).withColumn("qb", spread(F.lit(query_blocks)))
-    right = parts.withColumn("part", F.explode("parts")).drop("parts").filter(n_blocks.isNotNull())
-    right = right.withColumn("qb", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(query_blocks)).cast("int")).withColumn("cb", spread(n_blocks))
+    # One row a part; the blocks of a part's rows meet the blocks of the queries that visit it.
+    visits = materialize(parts.withColumn("part", F.explode("parts")).select("id", "v", "part"), "ann-visits")
+    of = lambda rows, size, name: rows.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = F.broadcast(of(index, BLOCK_ROWS, "rows_in").join(of(visits, BLOCK_QUERIES, "asked_in"), "part"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
+    left = index.join(blocks, "part").withColumn("cb", block(3, "rows_in")).withColumn("qb", spread("asked_in"))
+    right = visits.join(blocks, "part").withColumn("qb", block(5, "asked_in")).withColumn("cb", spread("rows_in"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def best(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
