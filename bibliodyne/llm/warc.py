@@ -7,13 +7,15 @@ each record to bundle, frame and the offset inside the decompressed frame: one r
 and one frame.
 
 Of records with equal payloads the one with the smallest page_id is written as a response, the others
-as revisits that refer to it. Tasks write bundles through the file system of the shared folder, under a
-name of their own attempt and moved into place when complete; only bundles in the committed
-index count, so a repeated or speculative task does no harm. A task holds one frame and one batch.
+as revisits that refer to it. Every record carries a date, and every bundle starts with a warcinfo record. Tasks
+write bundles through the file system of the shared folder (a scheme that pyarrow knows: file, hdfs, s3, gs,
+abfs), under a name of their own attempt; only bundles in the committed index count, so a repeated,
+failed or speculative task does no harm and nothing is renamed. A task holds one frame and one batch. A
+revisit's payload length, which the format does not state, is an extension field.
 
 A null html is an empty payload, a null url an empty target. Rows that repeat the smallest page_id of
 a payload are all responses; a null page_id is the smallest only if no other is there. An
-empty table gives an empty index and no bundle.
+empty table gives an empty index and no bundle. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pandas as pd
@@ -60,11 +63,11 @@ def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record_bytes(page_id: int | None, url: str | None, html: str | None, sha1_hex: str, refers_to: int | None, revisit: bool) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, html: str | None, sha1_hex: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
     payload = (html or "").encode("utf-8", "surrogatepass")
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or '', safe='/:?#[]@!$&()*+,;=%~')}", f"WARC-Payload-Digest: sha1:{base32(sha1_hex)}",
         f"WARC-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response",
     ]
@@ -74,6 +77,13 @@ def record_bytes(page_id: int | None, url: str | None, html: str | None, sha1_he
     return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def info_bytes(name: str, date: str) -> bytes:
+    """The record that starts a bundle."""
+    block = b"software: bibliodyne\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:bundle:{name}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
 def parse_record(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers and block of the record at an offset, and the offset after it."""
     data = bytes(data) if not isinstance(data, bytes) else data
@@ -120,14 +130,16 @@ def read_frame(f: pyarrow.NativeFile, offset: int, packed: int) -> bytes:
 class _Bundle:
     """One bundle being written, and the index rows of its records."""
 
-    def __init__(self, path: str, name: str) -> None:
-        self.fs, root = pyarrow.fs.FileSystem.from_uri(path)
-        self.fs.create_dir(root, recursive=True)
-        self.name, self.final = name, f"{root}/{name}"
-        self.out = self.fs.open_output_stream(f"{self.final}.part")
+    def __init__(self, path: str, name: str, date: str) -> None:
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        self.name = name
+        # By itself the stream would compress once more, as the name says.
+        self.out = fs.open_output_stream(f"{root}/{name}", compression=None)
         self.packer = zstandard.ZstdCompressor(level=6, write_content_size=True)
         self.sizes: list[tuple[int, int]] = []
-        self.written, self.plain, self.pending, self.waiting = 0, 0, [], []
+        info = info_bytes(name, date)
+        self.written, self.plain, self.pending, self.waiting = 0, len(info), [info], []
 
     def add(self, data: bytes, page_id: int | None, kind: str) -> list[tuple]:
         self.waiting.append((page_id, self.plain, len(data), kind))
@@ -150,13 +162,14 @@ class _Bundle:
         rows = self.flush()
         self.out.write(seek_table(self.sizes))
         self.out.close()
-        self.fs.move(f"{self.final}.part", self.final)
         return rows
 
 
-def write_archive(pages: DataFrame, path: str | None = None, bundle_bytes: int = BUNDLE_BYTES) -> Archive:
-    """Write a record per row of ``pages`` (page_id, url, html) and the index of all records."""
+def write_archive(pages: DataFrame, path: str | None = None, bundle_bytes: int = BUNDLE_BYTES, date: str | None = None) -> Archive:
+    """Write a record per row of ``pages`` (page_id, url, html) and the index of all records. ``date`` is that of
+    the records, as 2024-01-31T12:00:00Z; by default the time of writing."""
     spark = pages.sparkSession
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     path = path or shared_path(spark, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
     named = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha1"))
@@ -172,9 +185,9 @@ def write_archive(pages: DataFrame, path: str | None = None, bundle_bytes: int =
             rows: list[tuple] = []
             for page_id, url, html, sha1, first_id, revisit in batch[["page_id", "url", "html", "sha1", "first_id", "revisit"]].itertuples(index=False):
                 if bundle is None:
-                    bundle = _Bundle(path, f"bundle-{task.partitionId():06d}-{task.taskAttemptId()}-{count:04d}.warc.zst")
+                    bundle = _Bundle(path, f"bundle-{task.partitionId():06d}-{task.taskAttemptId()}-{count:04d}.warc.zst", date)
                     count += 1
-                data = record_bytes(optional(page_id), url, html, sha1, optional(first_id), bool(revisit))
+                data = record_bytes(optional(page_id), url, html, sha1, optional(first_id), bool(revisit), date)
                 rows += bundle.add(data, optional(page_id), "revisit" if revisit else "response")
                 if bundle.written >= bundle_bytes:
                     rows += bundle.close()
@@ -217,6 +230,8 @@ def read_archive(archive: Archive, payloads: bool = True) -> DataFrame:
                             raise ValueError(f"a frame of {name} has another size than its seek table says")
                         while at < len(data):
                             head, block, at = parse_record(data, at)
+                            if head["WARC-Type"] == "warcinfo":
+                                continue
                             row = _row(head, block)
                             rows.append(row if payloads else (*row[:-1], None))
                         yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
