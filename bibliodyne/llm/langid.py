@@ -30,6 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibliodyne.llm.memory import release
 from bibliodyne.session import materialize, packed
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
@@ -290,6 +291,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
         if crf:
             crf.__dict__.pop("memo", None)  # the worker lives on and may run other operators
+        release()
 
     return labelled(F.col(text))
 

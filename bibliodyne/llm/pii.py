@@ -142,7 +142,7 @@ def _clear_occurrences(held: DataFrame, keep: DataFrame) -> DataFrame:
 
     A term is a whole run of letters and digits, so one that a certain span runs through overlaps it.
     """
-    terms = held.select("key", F.explode(_matches(F.col("text"), TERM)).alias("x")).select("key", F.lower("x.v").alias("term"), "x.s", "x.e", _shape(F.col("x.v")).alias("shape")).join(keep, "term")
+    terms = held.select("key", F.explode(_matches(F.col("text"), TERM)).alias("x")).select("key", F.lower("x.v").alias("term"), "x.s", "x.e", "x.v").join(keep, "term").withColumn("shape", _shape(F.col("v")))
     spans = held.select("key", F.explode("base").alias("x")).select("key", F.lit(None).cast("string").alias("term"), "x.s", "x.e", F.lit(None).cast("long").alias("n_t"), F.lit(None).cast("string").alias("shape"))
     by_start = W.partitionBy("key").orderBy("s", F.col("term").isNotNull())
     base_end, base_start = F.when(F.col("term").isNull(), F.col("e")), F.when(F.col("term").isNull(), F.col("s"))
