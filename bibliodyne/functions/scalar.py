@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"^\s+|\s+$"
-REVIEW_PHRASES = ("systematic review", "literature review", "meta-analysis", "a review of", "review article")
+# Phrases that mark a review.
+REVIEW_PHRASES = ("systematic review", "meta-analysis", "scoping review", "narrative review", "literature review")
 
 
 def strip(x: Column) -> Column:
@@ -82,7 +83,7 @@ def detect_review(types: Column, title: Column, abstract: Column, journal: Colum
 
 
 #: The weight of each signal.
-SIGNAL_WEIGHTS = {"saved": 1.0, "thumbs_up": 0.7, "opened": 0.2, "dismissed": -0.7, "thumbs_down": -1.0}
+SIGNAL_WEIGHTS = {"opened": 0.3, "saved": 1.0, "dismissed": -0.5, "thumbs_up": 0.8, "thumbs_down": -0.8}
 
 
 def feedback_weight(signal: Column, rating: Column, weights: dict[str, float] | None = None) -> Column:
@@ -134,29 +135,34 @@ def overall_confidence(extraction: Column) -> Column:
 
 
 def excerpt(text: Column, chars: int = 200) -> Column:
-    """At most ``chars`` characters, cut at a word with an ellipsis."""
+    """At most ``chars`` characters of the trimmed text, cut at a word with an ellipsis."""
+    text = strip(text)
     cut = F.regexp_replace(F.substring(text, 1, chars), r" [^ ]*$", "")
     return F.when(F.length(text) > chars, F.concat(cut, F.lit("…"))).otherwise(text)
 
 
 def strip_tail(text: Column, headings: tuple[str, ...], share: float = 0.7) -> Column:
-    """Text before the first of the headings that starts a line in the last part of the text.
+    """Text before the first of the headings that is a line of its own in the last part of the text, without
+    trailing white space; a text without such a line stays as it is.
 
     The search runs on the part after ``share`` of the characters, with the character before it, so
-    that a line start there is a real one; the head is cut by what the tail keeps.
+    that a line start there is a real one.
     """
     start = F.floor(F.length(text) * share).cast("int")
-    words = "|".join(headings)
-    pattern = rf"(?sid)\n[ \t]*(?:#{{1,6}}[ \t]*|\*\*)?(?:[0-9]+\.?[ \t]*)?(?:{words})(?:\*\*)?[ \t]*:?[ \t]*(?:\n.*|$)"
+    words = "|".join(h.replace(" ", "[ \\t]+") for h in headings)
+    line = rf"\n(?:#{{1,3}}[ \t]*)?(?:{words})[ \t]*(?::[ \t]*)?(?=\n|\z)"
     tail = F.substring(text, F.greatest(start, F.lit(1)), F.length(text))
-    kept = F.regexp_replace(tail, pattern, "")
     head = F.substring(text, F.lit(1), F.greatest(start - 1, F.lit(0)))
-    return F.regexp_replace(F.concat(head, kept), r"\s+$", "")
+    kept = F.regexp_replace(F.concat(head, F.regexp_replace(tail, rf"(?siu){line}.*", "")), r"\s+$", "")
+    return F.when(tail.rlike(rf"(?iu){line}"), kept).otherwise(text)
 
 
-#: Heading words.
-END_MATTER = ("acknowledge?ments?", "author contributions?", "competing interests?", "conflicts? of interest", "funding", "data availability", "references", "bibliography", "appendix", "supplementary (?:materials?|information)")
-REFERENCES = ("references", "bibliography", "works cited", "literature cited")
+#: Headings of reference lists, and those of other end matter.
+REFERENCES = ("references", "bibliography", "works cited", "literature cited", "reference list", "cited works", "citations")
+END_MATTER = (
+    *REFERENCES, "acknowledge?ments?", "funding(?: information)?", "conflicts? of interests?", "competing interests?", "author contributions?",
+    "data availability(?: statement)?", "code availability(?: statement)?", "supplementary (?:information|material|data)", "supporting information",
+)
 
 
 def strip_end_matter(text: Column) -> Column:
@@ -167,12 +173,18 @@ def strip_references(text: Column) -> Column:
     return strip_tail(text, REFERENCES)
 
 
+# Latin spellings of Greek letters.
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "u",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "ch", "ψ": "ps", "ω": "o",
+}
+
+
 def greek_transliterated(x: Column) -> Column:
-    """Greek letters spelled out in Latin names."""
-    # The names of the letters.
-    names = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-    letters = [c for c in map(chr, range(0x3B1, 0x3CA)) if c != "ς"]
-    out = F.translate(x, "ς", "σ")
-    for letter, name in zip(letters, names, strict=True):
-        out = F.replace(out, F.lit(letter), F.lit(name))
+    """Lower-case Greek letters by their Latin spellings."""
+    single = {k: v for k, v in GREEK.items() if len(v) == 1}
+    out = F.translate(x, "".join(single), "".join(single.values()))
+    for letter, name in GREEK.items():
+        if len(name) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(name))
     return out

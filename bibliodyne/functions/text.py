@@ -7,19 +7,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibliodyne.functions.scalar import greek_transliterated
 
-HEADING = re.compile(r"^#{1,6}[ \t]+(.+?)[ \t]*#*$", re.M)
-PARAGRAPH = re.compile(r"\n[ \t]*\n")
-SENTENCE = re.compile(r"(?<=[.!?])[ \n]+(?=[A-Z0-9\"'(])")
-#: Abbreviations after which a period ends no sentence.
-ABBREVIATED = re.compile(r"\b(?:Fig|Figs|Eq|Eqs|Ref|Refs|Tab|Sec|No|Dr|Prof|et al|e\.g|i\.e|cf|vs|approx|ca)\.$")
+# What starts a section, parts paragraphs, and ends a sentence (never before a digit: "Fig. 3").
+HEADING = re.compile(r"^#{1,6}\s+.*", re.M)
+PARAGRAPH = re.compile(r"\n\s*\n")
+SENTENCE = re.compile(r"(?<=[.?!])\s+(?=[A-Za-z(])")
 CHUNK = "doi string, chunk_id string, chunk_index int, total_chunks int, section_heading string, char_start int, char_end int, text string"
 
 Piece = tuple[int, int, str]
@@ -33,61 +33,84 @@ def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def _cuts(text: str, s: int, e: int, pattern: re.Pattern[str]) -> list[tuple[int, int]]:
+def _parts(text: str, s: int, e: int, pattern: re.Pattern[str]) -> list[tuple[int, int]]:
     """Parts of text[s:e] between matches, without outer white space."""
-    parts, at = [], s
-    for m in pattern.finditer(text, s, e):
-        if pattern is SENTENCE and ABBREVIATED.search(text, max(s, m.start() - 12), m.start()):
-            continue
-        parts.append((at, m.start()))
-        at = m.end()
-    return [p for p in (_trimmed(text, *p) for p in [*parts, (at, e)]) if p[0] < p[1]]
-
-
-def _pieces(text: str, limit: int) -> Iterator[Piece]:
-    """Sections, their paragraphs, their sentences, and hard slices, none longer than ``limit``."""
-    heads = [(m.start(), m.group(1)) for m in HEADING.finditer(text)]
-    bounds = [0, *[h[0] for h in heads if h[0]], len(text)]
-    titles = {at: title for at, title in heads}
-    for s, e in zip(bounds, bounds[1:], strict=False):
-        for ps, pe in _cuts(text, s, e, PARAGRAPH):
-            for ss, se in [(ps, pe)] if pe - ps <= limit else _cuts(text, ps, pe, SENTENCE):
-                for at in range(ss, se, limit):
-                    hs, he = _trimmed(text, at, min(se, at + limit))
-                    if hs < he:
-                        yield hs, he, titles.get(s, "")
-
-
-def chunks_of(text: str | None, limit: int = 1120, target: int | None = None) -> list[Piece]:
-    """(start, end, heading) of chunks: pieces merged in order, within a section up to the target, across
-    sections up to half of it, under the heading of the larger part. Each is a slice of the text."""
-    text, target = text or "", target or limit
-    out: list[list] = []
-    for s, e, heading in _pieces(text, limit):
-        if out:
-            last = out[-1]
-            if e - last[0] <= (target if heading == last[2] else target // 2):
-                if heading != last[2] and e - s > last[1] - last[0]:
-                    last[2] = heading
-                last[1] = e
-                continue
-        out.append([s, e, heading])
-    return [tuple(x) for x in out]
+    part, edges = text[s:e], [0]
+    for m in pattern.finditer(part):
+        edges += [m.start(), m.end()]
+    edges.append(len(part))
+    trimmed = [_trimmed(text, s + a, s + b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return [p for p in trimmed if p[0] < p[1]]
+
+
+def _packed(parts: list[tuple[int, int]], limit: int, join: int, split: Callable[[int, int], list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Neighbouring parts together while their lengths, with ``join`` characters between, stay within the
+    limit; a part that is longer alone goes through ``split``."""
+    out: list[tuple[int, int]] = []
+    held, size = None, 0
+    for s, e in parts:
+        if held and (e - s > limit or size + e - s > limit):
+            out.append(held)
+            held, size = None, 0
+        if e - s > limit:
+            out += split(s, e)
+        else:
+            size += e - s + (join if held else 0)
+            held = (held[0], e) if held else (s, e)
+    return [*out, held] if held else out
+
+
+def _sections(text: str) -> list[tuple[str, int, int]]:
+    """(heading line, start, end) of bodies that are not blank; a text of headings alone is one body."""
+    marks = [(m.group().strip(), m.start(), m.end()) for m in HEADING.finditer(text)]
+    starts = [("", 0), *[(h, e) for h, _, e in marks]]
+    ends = [*[s for _, s, _ in marks], len(text)]
+    found = [(h, *_trimmed(text, s, e)) for (h, s), e in zip(starts, ends, strict=True)]
+    return [x for x in found if x[1] < x[2]] or [("", *_trimmed(text, 0, len(text)))]
+
+
+def chunks_of(text: str | None, limit: int = 1120) -> list[Piece]:
+    """(start, end, heading) of chunks: bodies of sections, cut at paragraphs, sentences and then hard where they
+    exceed the limit, and merged in order: under one heading up to the limit, across headings up to half
+    of it under the heading of the larger part. Each is a slice of the text; a blank text has none."""
+    if not text or not text.strip():
+        return []
+    hard = lambda s, e: [(at, min(at + limit, e)) for at in range(s, e, limit)]
+    by_sentence = lambda s, e: _packed(_parts(text, s, e, SENTENCE), limit, 1, hard)
+    out: list[Piece] = []
+    for heading, start, end in _sections(text):
+        bodies = [(start, end)] if end - start <= limit else _packed(_parts(text, start, end, PARAGRAPH), limit, 2, by_sentence)
+        for s, e in bodies:
+            if out:
+                ls, le, last = out[-1]
+                if le - ls + e - s <= (limit if heading == last else limit // 2):
+                    out[-1] = (ls, e, heading if e - s > le - ls else last)
+                    continue
+            out.append((s, e, heading))
+    return out
+
+
+def spread(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` dealt by a key if they come in fewer files than there are cores: a file of one row group is one
+    task, which Python work would keep to a single core."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(4 * cores, key) if len(docs.inputFiles()) < cores else docs
 
 
 def chunk_markdown(docs: DataFrame, limit: int = 1120) -> DataFrame:
     """Chunks of ``docs`` (doi, text): offsets are code points, and text[start:end] is the chunk."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split(" ")[0] for c in CHUNK.split(", ")]
-        for b in batches:
-            for doi, text in b.itertuples(index=False):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doi, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = chunks_of(text, limit)
-                rows = [(doi, f"{doi}#{i}", i, len(found), h, s, e, text[s:e]) for i, (s, e, h) in enumerate(found)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                rows += [(doi, f"{doi}#chunk-{i}", i, len(found), h, s, e, text[s:e]) for i, (s, e, h) in enumerate(found)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 8
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split(" ")[0] for c in CHUNK.split(", ")])
 
-    return docs.select("doi", "text").mapInPandas(split, CHUNK)
+    return spread(docs.select("doi", "text"), "doi").mapInArrow(split, CHUNK)
 
 
 def windows_of(text: str | None, size: int) -> list[str]:
@@ -147,7 +170,7 @@ def _finished(surface: str) -> str:
 
 
 def basic_normalize(rows: DataFrame, column: str, to: str = "normalized") -> DataFrame:
-    """Adds the normal form of a surface: lower case, Greek letters spelled out, ASCII, no trailing
+    """Adds the normal form of a surface: lower case, Greek letters in Latin ones, ASCII, no trailing
     punctuation, single blanks, last word singular. Python sees each distinct surface once."""
 
     @F.pandas_udf("string")

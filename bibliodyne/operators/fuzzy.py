@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bibliodyne.functions.text import fuzzy_ratio, indel_ratio
+from bibliodyne.functions.scalar import strip
+from bibliodyne.functions.text import fuzzy_ratio
 from bibliodyne.session import materialize
 
 
@@ -90,32 +91,74 @@ def components_of(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def greedy_groups(terms: DataFrame, least: float, order: str | None = None) -> DataFrame:
+def _settled(links: DataFrame, decided: DataFrame, first: bool) -> DataFrame:
+    """One round of ``greedy_groups``: the newly decided (term, representative) of links (term, earlier, ratio, o)
+    whose term is open, given what is ``decided``."""
+    state = decided.select(F.col("term").alias("earlier"), (F.col("representative") == F.col("term")).alias("rep"))
+    seen = links.join(state, "earlier", "left")
+    order = F.struct("o", "earlier")
+    best = F.min_by(F.struct("earlier", "rep"), order) if first else F.max_by(F.struct("earlier", "rep"), F.struct("ratio", (-F.col("n")).alias("m")))
+    told = seen.filter("rep IS NULL OR rep").groupBy("term").agg(best.alias("b"), F.count_if(F.col("rep").isNull()).alias("open"))
+    # A term waits while what it would join, or anything that could still be better, is open.
+    ready = told.filter(F.col("b.rep") if first else F.col("open") == 0).select("term", F.col("b.earlier").alias("representative"))
+    alone = links.select("term").distinct().join(told.select("term"), "term", "left_anti").select("term", F.col("term").alias("representative"))
+    return ready.unionByName(alone)
+
+
+def greedy_groups(terms: DataFrame, least: float, order: str | None = None, first: bool = False, rounds: int = 8) -> DataFrame:
     """(term, representative): in order, a term joins the best representative of ratio >= ``least`` (the
-    earliest among equals) or becomes one itself.
+    earliest among equals; with ``first`` simply the earliest) or becomes one itself.
 
-    A term can only join what it is linked to, so the components of the link graph are independent and
-    the outcome equals the one-pass result. ``order`` names a column; by default terms sort by themselves.
+    A term can only join what it is linked to, so all is decided from the links: in each round the terms whose
+    earlier linked terms are decided are settled, all over the table at once. What ``rounds`` rounds leave open
+    (long chains of names) is settled link by link within its components, in time linear in their links.
+    ``order`` names a column; by default terms sort by themselves.
     """
-    ranked = terms.groupBy("term").agg(F.min(order or "term").alias("o"))
-    pairs = materialize(fuzzy_pairs(ranked.select(F.col("term").alias("a")), ranked.select(F.col("term").alias("b")), least, same=True), "fuzzy-pairs")
-    placed = components_of(pairs)
-
-    def group(b: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, str] = {}
-        reps: list[str] = []
-        for term in b.sort_values(["o", "term"]).term:
-            scored = [(indel_ratio(term, r), -i, r) for i, r in enumerate(reps)]
-            top = max(scored, default=(0.0, 0, ""))
-            found[term] = top[2] if top[0] >= least else term
-            if found[term] == term:
-                reps.append(term)
+    ranked = materialize(terms.groupBy("term").agg(F.min(order or "term").alias("o")), "fuzzy-terms")
+    return _decided(ranked, fuzzy_pairs(ranked.select(F.col("term").alias("a")), ranked.select(F.col("term").alias("b")), least, same=True), first, rounds)
+
+
+def _decided(ranked: DataFrame, pairs: DataFrame, first: bool = False, rounds: int = 8) -> DataFrame:
+    """The groups of ``greedy_groups`` from terms (term, o) and their linked pairs (a, b, ratio)."""
+    of = lambda c: ranked.select(F.col("term").alias(c), F.col("o").alias(f"o_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    a_first = F.struct("o_a", "a") < F.struct("o_b", "b")
+    pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
+    links = both.select(pick("b", "a").alias("term"), pick("a", "b").alias("earlier"), "ratio", pick("o_a", "o_b").alias("o"))
+    place = F.row_number().over(W.partitionBy("term").orderBy("o", "earlier"))
+    links = materialize(links.withColumn("n", place), "fuzzy-links")
+    later = links.select("term").distinct()
+    decided = materialize(ranked.join(later, "term", "left_anti").select("term", F.col("term").alias("representative")), "fuzzy-decided")
+    rest = links
+    for _ in range(rounds):
+        new = materialize(_settled(rest, decided, first), "fuzzy-settled")
+        decided = decided.unionByName(new)
+        rest = materialize(rest.join(new.select("term"), "term", "left_anti"), "fuzzy-open")
+        if rest.isEmpty():
+            return decided
+
+    def settle(b: pd.DataFrame) -> pd.DataFrame:
+        found: dict[str, str] = {t: t for t in b.term.unique()}
+        for term, rows in sorted(((t, r) for t, r in b.groupby("term")), key=lambda x: (x[1].own.iloc[0], x[0])):
+            reps = [(r.ratio, -r.n, r.earlier) for r in rows.itertuples() if (found.get(r.earlier, r.rep) == r.earlier)]
+            if reps:
+                found[term] = (max(reps, key=lambda x: x[1]) if first else max(reps))[2]
         return pd.DataFrame({"term": found.keys(), "representative": found.values()})
 
+    known = decided.select(F.col("term").alias("earlier"), F.col("representative").alias("rep"))
+    open_links = rest.join(known, "earlier", "left").join(ranked.select("term", F.col("o").alias("own")), "term")
+    inner = open_links.filter("rep IS NULL").select(F.col("term").alias("a"), F.col("earlier").alias("b"))
+    roots = components_of(inner)
+    placed = open_links.join(roots, F.col("term") == F.col("node"), "left").select(F.coalesce("root", "term").alias("root"), "term", "earlier", "ratio", "n", "rep", "own")
     kind = "term string, representative string"
-    linked = placed.join(ranked, F.col("node") == F.col("term")).select("root", "term", "o").groupBy("root").applyInPandas(group, kind)
-    alone = ranked.join(placed, F.col("term") == F.col("node"), "left_anti").select("term", F.col("term").alias("representative"))
-    return linked.unionByName(alone)
+    return decided.unionByName(placed.groupBy("root").applyInPandas(settle, kind))
+
+
+def keyword_groups(keywords: DataFrame, least: float = 88.0) -> DataFrame:
+    """(term, representative) of trimmed lower-case keywords (column keyword): the earliest similar representative
+    in alphabetical order."""
+    plain = keywords.select(F.lower(strip(F.col("keyword"))).alias("term")).filter("term <> ''")
+    return greedy_groups(plain, least, first=True)
 
 
 def novel_terms(terms: DataFrame, existing: DataFrame, least: float = 85.0) -> DataFrame:
@@ -152,11 +195,18 @@ def realias(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def alias_proposals(surfaces: DataFrame, known: DataFrame, least: float = 80.0) -> DataFrame:
-    """(surface, representative) of groups of two or more surfaces that no alias covers."""
-    fresh = surfaces.select(F.col("surface").alias("term")).distinct().join(known.select(F.col("surface").alias("term")), "term", "left_anti")
-    groups = greedy_groups(fresh, least)
-    sizes = groups.groupBy("representative").agg(F.count("*").alias("n")).filter("n >= 2")
-    return groups.join(sizes, "representative", "left_semi").filter("term <> representative").select(F.col("term").alias("surface"), "representative")
+    """(type, surface, representative) of groups of two or more surfaces of a type (type, surface) that no alias of
+    the type covers, regardless of case."""
+    covered = known.select(F.col("type").alias("_t"), F.lower("surface").alias("_s")).distinct()
+    fresh = surfaces.select("type", "surface").distinct().join(covered, (F.col("type") == F.col("_t")) & (F.lower("surface") == F.col("_s")), "left_anti")
+    # Surfaces are compared once; a pair counts in every type that has both, under names that carry the type.
+    fresh = materialize(fresh.select("type", "surface", F.concat_ws("\x01", "type", "surface").alias("term")), "fuzzy-surfaces")
+    pairs = fuzzy_pairs(fresh.select(F.col("surface").alias("a")), fresh.select(F.col("surface").alias("b")), least, same=True)
+    side = lambda c: fresh.select("type", F.col("surface").alias(c), F.col("term").alias(f"term_{c}"))
+    typed = pairs.join(side("a"), "a").join(side("b"), ["type", "b"]).select(F.col("term_a").alias("a"), F.col("term_b").alias("b"), "ratio")
+    groups = _decided(fresh.select("term", F.col("surface").alias("o")), typed).filter("term <> representative")
+    plain = lambda c: F.substring_index(c, "\x01", -1)
+    return groups.select(F.substring_index("term", "\x01", 1).alias("type"), plain("term").alias("surface"), plain("representative").alias("representative"))
 
 
 def numeric_references(citations: DataFrame, references: DataFrame) -> DataFrame:
@@ -167,11 +217,12 @@ def numeric_references(citations: DataFrame, references: DataFrame) -> DataFrame
 
 
 def author_year_references(citations: DataFrame, references: DataFrame, least: float = 72.0) -> DataFrame:
-    """Citations like "Smith 2020" with the reference of the same paper (and year, if given) whose first
-    author's surname is nearest; the earlier position among equals. References have surname and year."""
+    """Citations like "Smith 2020" or "Smith & Jones (2020)" with the reference of the same paper (and year, if
+    given) whose first author's surname is nearest to the first one cited; the earlier position among equals.
+    References have surname and year."""
     rid = F.col("ref_id")
-    year = F.regexp_extract(rid, r"((?:19|20)[0-9]{2})", 1).try_cast("int")
-    name = F.lower(F.trim(F.regexp_replace(F.regexp_replace(rid, r"(?:19|20)[0-9]{2}[a-z]?", ""), r"(?i)\bet al\.?|[^\p{L} '-]", "")))
+    year = F.regexp_extract(rid, r"(?U)\b((?:19|20)\d{2})\b", 1).try_cast("int")
+    name = F.lower(F.regexp_extract(rid, r"(?U)^\W*([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'.\-]+)", 1))
     asked = citations.withColumn("year", year).withColumn("name", name).filter("name <> ''")
     refs = references.select(F.col("doi").alias("_d"), "pos", F.col("year").alias("_y"), F.lower("surname").alias("surname"), "ref_doi")
     met = asked.join(refs, (F.col("doi") == F.col("_d")) & (F.col("year").isNull() | (F.col("year") == F.col("_y")))).filter(may_match(F.col("name"), F.col("surname"), least))
@@ -190,16 +241,17 @@ def resolve_references(citations: DataFrame, references: DataFrame) -> DataFrame
 
 
 def token_sorted(x: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")), " ")
+    return F.array_join(F.array_sort(F.filter(F.split(x, r"\s+"), lambda w: w != "")), " ")
 
 
 def match_titles(citations: DataFrame, titles: DataFrame, least: float = 75.0) -> DataFrame:
-    """(citation, doi, ratio): the title with the best token-sorted ratio of each citation string."""
-    asked = citations.select("citation").distinct().withColumn("a", token_sorted(F.col("citation")))
+    """(citation, doi, ratio): the title with the best token-sorted ratio of each citation string that is not blank;
+    the smallest doi among equals."""
+    asked = citations.filter(F.trim("citation") != "").select("citation").distinct().withColumn("a", token_sorted(F.col("citation")))
     known = titles.withColumn("b", token_sorted(F.col("title")))
     pairs = fuzzy_pairs(asked.select("a"), known.select("b"), least)
     met = asked.join(pairs, "a").join(known.select("doi", "b"), "b")
-    return met.groupBy("citation").agg(F.max_by(F.struct("doi", "ratio"), F.struct("ratio", F.col("doi"))).alias("t")).select("citation", "t.doi", "t.ratio")
+    return met.groupBy("citation").agg(F.min_by(F.struct("doi", "ratio"), F.struct((-F.col("ratio")).alias("r"), "doi")).alias("t")).select("citation", "t.doi", "t.ratio")
 
 
 def keyword_themes(keywords: DataFrame, themes: DataFrame, least: float = 75.0) -> DataFrame:

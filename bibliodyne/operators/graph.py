@@ -7,7 +7,7 @@ are left to adaptive execution, which splits skewed keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -92,9 +92,10 @@ def paper_snapshot(papers: DataFrame, mentions: DataFrame, entities: DataFrame,
     return papers.join(maps, "doi", "left").join(out, "doi", "left").join(into, "doi", "left")
 
 
-def candidate_signals(candidates: DataFrame, mentions: DataFrame, cites: DataFrame, library: DataFrame, authorship: DataFrame) -> DataFrame:
-    """Per candidate: library papers that share an entity, citations to and from the library (edges), and
-    shared authors; 0 where there is none."""
+def candidate_signals(candidates: DataFrame, mentions: DataFrame, cites: DataFrame, library: DataFrame, authorship: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Per candidate: entities shared with the library, citations to and from it, its papers that the candidate
+    extends or compares to (``relations``: doi, predicate, target_id), authors shared regardless of case and the
+    first three of their names; 0 or empty where there is none."""
     cand, lib = candidates.select("doi"), library.select("doi")
     edges = mentions.select("doi", "canonical_id").distinct()
     known = edges.join(lib, "doi", "left_semi").select("canonical_id").distinct()
@@ -102,17 +103,28 @@ def candidate_signals(candidates: DataFrame, mentions: DataFrame, cites: DataFra
     lib_target, lib_source = lib.withColumnRenamed("doi", "target"), lib.withColumnRenamed("doi", "source")
     out = cites.join(lib_target, "target", "left_semi").groupBy(F.col("source").alias("doi")).agg(F.count("*").alias("n_cites_out"))
     into = cites.join(lib_source, "source", "left_semi").groupBy(F.col("target").alias("doi")).agg(F.count("*").alias("n_cites_in"))
-    lib_authors = authorship.join(lib, "doi", "left_semi").select("author").distinct()
-    authors = authorship.join(cand, "doi", "left_semi").join(lib_authors, "author", "left_semi").groupBy("doi").agg(F.countDistinct("author").alias("n_shared_authors"))
+    folded = authorship.withColumn("_a", F.lower(F.col("author").cast("string")))
+    lib_authors = folded.join(lib, "doi", "left_semi").select("_a").distinct()
+    names = folded.join(cand, "doi", "left_semi").join(lib_authors, "_a", "left_semi").groupBy("doi").agg(F.array_sort(F.collect_set("author")).alias("names"))
+    authors = names.select("doi", F.size("names").cast("long").alias("n_shared_authors"), F.slice("names", 1, 3).alias("shared_authors_sample"))
+    parts = [shared, out, into, authors]
+    for predicate, name in (("EXTENDS", "n_extends"), ("COMPARES_TO", "n_compares")):
+        if relations is None:
+            parts.append(cand.distinct().withColumn(name, F.lit(0).cast("long")))
+        else:
+            hit = relations.filter(F.col("predicate") == predicate).join(lib.withColumnRenamed("doi", "target_id"), "target_id", "left_semi")
+            parts.append(hit.groupBy("doi").agg(F.count("*").alias(name)))
     joined = cand.distinct()
-    for part in (shared, out, into, authors):
+    for part in parts:
         joined = joined.join(part, "doi", "left")
-    return joined.fillna(0)
+    none = F.array().cast(f"array<{authorship.schema['author'].dataType.simpleString()}>")
+    return joined.fillna(0).withColumn("shared_authors_sample", F.coalesce("shared_authors_sample", none))
 
 
-def researcher_gate(authorship: DataFrame, mentions: DataFrame, topics: DataFrame, least: int = 2) -> DataFrame:
-    """Authors of whom at least ``least`` entities are topic entities; all authors if no topics are given."""
-    if topics.isEmpty():
+def researcher_gate(authorship: DataFrame, mentions: DataFrame, topics: DataFrame, least: int = 1) -> DataFrame:
+    """Authors of whom at least ``least`` entities are topic entities; all authors if no topics are given or
+    none are asked for."""
+    if least <= 0 or topics.isEmpty():
         return authorship.select("author").distinct()
     edges = mentions.select("doi", "canonical_id").distinct().join(topics.select("canonical_id"), "canonical_id", "left_semi")
     counted = authorship.select("author", "doi").distinct().join(edges, "doi").groupBy("author").agg(F.countDistinct("canonical_id").alias("n"))
@@ -132,42 +144,80 @@ def trending(counts: DataFrame, entities: DataFrame, dismissed: DataFrame, topic
     return live.join(known, F.lower("surface") == F.col("_s"), "left").drop("_s").fillna(False, ["in_topics"])
 
 
-def extract_entities(extractions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Typed mentions of extraction fields, once per (doi, entity, type, field).
+#: Fields of an extraction and the entity type each gives.
+SCHEMA_FIELDS = {"methods_summary": "method", "materials_systems": "material", "discovered_topics": "topic", "novelty_statement": "topic"}
 
-    ``extractions`` has doi and a map ``fields`` from "type:field" to a list of surfaces; ``aliases`` has
-    type, surface (lower case), canonical.
+
+def canonical_names(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Adds ``canonical_id`` to rows with type and surface: the alias of the lower-case surface or of its normal
+    form within the type, else the normal form; rows whose name is empty go. ``aliases`` has type, surface
+    (lower case), canonical."""
+    from bibliodyne.functions.text import basic_normalize
+
+    named = basic_normalize(rows, "surface", "_normal").withColumn("_raw", F.lower(F.trim("surface")))
+    canonical = F.col("_normal")
+    if aliases is not None:
+        for key, to in (("_normal", "_by_normal"), ("_raw", "_by_raw")):
+            known = aliases.select(F.col("type").alias("_t"), F.col("surface").alias("_a"), F.col("canonical").alias(to)).dropDuplicates(["_t", "_a"])
+            named = named.join(known, (F.col("type") == F.col("_t")) & (F.col(key) == F.col("_a")), "left").drop("_t", "_a")
+            canonical = F.coalesce(to, canonical)
+    out = named.withColumn("canonical_id", canonical).filter(F.coalesce("canonical_id", F.lit("")) != "")
+    return out.select(*rows.columns, "canonical_id")
+
+
+def extract_entities(papers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Typed mentions of papers (doi, extraction JSON, keywords, authors, journal), once per (doi, canonical_id, type,
+    field): the first in order of field, place and then keywords, authors, journal.
+
+    A text field is one entity with the whole field as its span; items of lists and the paper's own metadata
+    have no span, and the latter no field.
     """
-    rows = extractions.select("doi", F.explode("fields").alias("k", "values")).select("doi", F.substring_index("k", ":", 1).alias("type"), F.substring_index("k", ":", -1).alias("field"), F.explode("values").alias("surface"))
-    live = rows.withColumn("_s", F.lower(F.trim("surface"))).filter("_s <> ''")
-    known = aliases.select(F.col("type").alias("_t"), F.col("surface").alias("_a"), "canonical")
-    named = live.join(known, (F.col("type") == F.col("_t")) & (F.col("_s") == F.col("_a")), "left")
-    first = named.groupBy("doi", F.coalesce("canonical", "_s").alias("canonical_id"), "type", "field").agg(F.min("surface").alias("surface"))
-    return first.withColumn("source", F.lit("schema"))
+    from bibliodyne.functions.scalar import strip
 
+    text, none = "struct<surface:string,span_start:int,span_end:int>", F.lit(None).cast("int")
+    item = lambda x: F.struct(strip(x).alias("surface"), none.alias("span_start"), none.alias("span_end"))
 
-#: Labels of a recogniser and the entity types they stand for.
+    def schema_field(field: str) -> Column:
+        raw = F.get_json_object("extraction", f"$.{field}")
+        listed = F.transform(F.from_json(raw, "array<string>"), item)
+        whole = F.array(F.struct(strip(raw).alias("surface"), F.lit(0).alias("span_start"), F.length(strip(raw)).alias("span_end")))
+        return F.when(raw.isNull() | F.startswith(F.ltrim(raw), F.lit("{")), F.expr(f"cast(array() as array<{text}>)")).when(F.startswith(F.ltrim(raw), F.lit("[")), listed).otherwise(whole)
+
+    metadata = {"keyword": F.transform("keywords", item), "author": F.transform("authors", item), "journal": F.array(item(F.col("journal")))}
+    parts = [(field, kind, schema_field(field)) for field, kind in SCHEMA_FIELDS.items()] + [(None, kind, items) for kind, items in metadata.items()]
+    every = F.array(*[F.struct(F.lit(n).alias("part"), F.lit(kind).alias("type"), F.lit(field).cast("string").alias("field"), F.coalesce(items, F.expr(f"cast(array() as array<{text}>)")).alias("items")) for n, (field, kind, items) in enumerate(parts)])
+    rows = papers.select("doi", F.explode(every).alias("p")).select("doi", "p.part", "p.type", "p.field", F.posexplode("p.items").alias("place", "x"))
+    live = rows.select("doi", "part", "type", "field", "place", "x.surface", "x.span_start", "x.span_end").filter(F.coalesce("surface", F.lit("")) != "")
+    named = canonical_names(live, aliases)
+    first = F.min_by(F.struct("surface", "span_start", "span_end"), F.struct("part", "place"))
+    return named.groupBy("doi", "canonical_id", "type", "field").agg(first.alias("f")).select("doi", "canonical_id", "type", "field", "f.surface", "f.span_start", "f.span_end", F.lit("schema").alias("source"))
+
+
+#: What a recogniser's label contains and the entity type it stands for, in order.
 NER_TYPES = {"DISEASE": "topic", "CONDITION": "topic", "METHOD": "method", "TECHNIQUE": "method"}
 
 
-def ner_mentions(spans: DataFrame) -> DataFrame:
+def ner_mentions(spans: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Mentions of recogniser spans (doi, text, label, start, end, confidence); other labels are dropped."""
-    kind = F.create_map(*[F.lit(x) for kv in NER_TYPES.items() for x in kv])
-    typed = spans.withColumn("type", F.try_element_at(kind, F.upper("label"))).filter("type IS NOT NULL")
-    return typed.select("doi", F.lower(F.trim("text")).alias("canonical_id"), "type", F.lit("ner").alias("source"), F.lit("abstract").alias("field"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "confidence")
+    kind = F.coalesce(*[F.when(F.contains(F.upper("label"), F.lit(x)), F.lit(t)) for x, t in NER_TYPES.items()])
+    typed = spans.select("doi", F.col("text").alias("surface"), kind.alias("type"), "start", "end", "confidence").filter("type IS NOT NULL")
+    return canonical_names(typed, aliases).select("doi", "canonical_id", "type", F.lit("biobert").alias("source"), F.lit(None).cast("string").alias("field"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "confidence")
 
 
-MODEL_ANSWER = "new_entities array<struct<text:string,type:string,start:int,end:int>>, validations array<struct<text:string,keep:boolean,start:int,end:int>>"
+#: The keys of a model's answer.
+MODEL_ANSWER = "new_entities array<struct<surface:string,type:string,span_start:int,span_end:int>>, validations array<struct<surface:string,keep:boolean,reason:string>>"
 
 
-def model_mentions(answers: DataFrame, confidence: float = 0.85) -> DataFrame:
-    """Mentions of a model's answers (doi, answer JSON): its new entities, and the spans it confirms, as
-    materials. Answers that are no JSON give none."""
+def model_mentions(answers: DataFrame, aliases: DataFrame | None = None, confidence: float = 0.85) -> DataFrame:
+    """Mentions of a model's answers (doi, answer JSON): its new entities with their spans (if both ends are given),
+    and the surfaces it confirms, as materials without a span. Answers that are no JSON give none."""
     parsed = answers.select("doi", F.from_json("answer", MODEL_ANSWER).alias("a"))
-    new = parsed.select("doi", F.explode("a.new_entities").alias("x")).select("doi", "x.text", "x.type", "x.start", "x.end")
-    kept = parsed.select("doi", F.explode("a.validations").alias("x")).filter("x.keep").select("doi", "x.text", F.lit("material").alias("type"), "x.start", "x.end")
-    both = new.unionByName(kept).filter(F.coalesce(F.trim("text"), F.lit("")) != "")
-    return both.select("doi", F.lower(F.trim("text")).alias("canonical_id"), "type", F.lit("llm_cloud").alias("source"), F.lit("abstract").alias("field"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.lit(confidence).alias("confidence"))
+    none = F.lit(None).cast("int")
+    both = F.col("x.span_start").isNotNull() & F.col("x.span_end").isNotNull()
+    new = parsed.select("doi", F.explode("a.new_entities").alias("x")).select("doi", "x.surface", "x.type", F.when(both, F.col("x.span_start")).alias("span_start"), F.when(both, F.col("x.span_end")).alias("span_end"))
+    kept = parsed.select("doi", F.explode("a.validations").alias("x")).filter("x.keep").select("doi", "x.surface", F.lit("material").alias("type"), none.alias("span_start"), none.alias("span_end"))
+    live = new.filter("type <> ''").unionByName(kept).filter("surface <> ''")
+    return canonical_names(live, aliases).select("doi", "canonical_id", "type", F.lit("llm_cloud").alias("source"), F.lit(None).cast("string").alias("field"), "span_start", "span_end", F.lit(confidence).alias("confidence"))
 
 
 def build_mentions(schema_mentions: DataFrame, spans: DataFrame, answers: DataFrame) -> DataFrame:
@@ -180,7 +230,7 @@ def build_mentions(schema_mentions: DataFrame, spans: DataFrame, answers: DataFr
 
 
 #: Extraction fields and the predicate each gives.
-FIELD_PREDICATES = {"depends_on": "DEPENDS_ON", "proposes": "PROPOSES", "limitations": "LIMITED_BY", "introduces": "INTRODUCES", "open_questions": "RAISES_QUESTION"}
+FIELD_PREDICATES = {"assumptions": "DEPENDS_ON", "future_work": "PROPOSES", "limitations": "LIMITED_BY", "novelty_statement": "INTRODUCES", "open_questions": "RAISES_QUESTION"}
 TYPE_PRIORITY = ("method", "material", "topic", "keyword")
 
 
@@ -224,16 +274,24 @@ def valid_relations(relations: DataFrame) -> DataFrame:
     return relations.filter(filled & F.col("predicate").isin(*PREDICATES) & F.col("target_kind").isin("Entity", "Paper"))
 
 
+#: Characters of evidence kept with a relation.
+EVIDENCE = 200
+
+
 def judge_triples(triples: DataFrame, per_paper: int = 25) -> DataFrame:
     """Adds ``reject`` to model-made triples (doi, pos, subject, predicate, object, kind, confidence): null
-    for the accepted ones, of which each paper keeps the first ``per_paper``."""
+    for the accepted ones, of which each paper keeps the first ``per_paper``. An ``evidence`` column is cut to
+    200 characters at a word."""
     paper = F.col("predicate").isin("EXTENDS", "CONTRADICTS", "COMPARES_TO") & (F.col("kind") == "Paper")
-    target = F.regexp_replace(F.trim("object"), r"[.,;:)\]]+$", "")
+    target = F.regexp_replace(F.trim("object"), r"[.,;:)\]}]+$", "")
     reason = (
-        F.when(F.lower("subject") != F.lower("doi"), "subject").when(~F.col("predicate").isin(*PREDICATES), "predicate").when(F.coalesce(F.trim("object"), F.lit("")) == "", "object")
+        F.when(F.lower(F.trim("subject")) != F.lower(F.trim("doi")), "subject").when(~F.col("predicate").isin(*PREDICATES), "predicate").when(F.coalesce(F.trim("object"), F.lit("")) == "", "object")
         .when(~F.col("kind").isin("Entity", "Paper"), "kind").when(paper & ~target.rlike(r"^10\.\d+/\S+$"), "not a doi").when(~F.col("confidence").between(0.5, 1.0) | F.col("confidence").isNull(), "confidence")
     )
-    judged = triples.withColumn("reject", reason).withColumn("object", F.when(paper, target).otherwise(F.col("object")))
+    judged = triples.withColumn("reject", reason).withColumn("object", F.when(paper, target).otherwise(F.trim("object")))
+    if "evidence" in triples.columns:
+        cut = F.regexp_replace(F.substring("evidence", 1, EVIDENCE), r" [^ ]*$", "")
+        judged = judged.withColumn("evidence", F.when(F.length("evidence") > EVIDENCE, F.concat(cut, F.lit("…"))).otherwise(F.coalesce("evidence", F.lit(""))))
     place = F.row_number().over(W.partitionBy("doi", F.col("reject").isNull()).orderBy("pos"))
     return judged.withColumn("reject", F.when(F.col("reject").isNull() & (place > per_paper), "too many").otherwise(F.col("reject")))
 

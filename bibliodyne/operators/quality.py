@@ -26,13 +26,13 @@ def null_honesty(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def model_comparison(outputs: DataFrame) -> DataFrame:
-    """Per model: missing required fields, empty outputs, fabrications and mean seconds (rows model, required,
-    value, expected_null, seconds)."""
+    """Per model: missing required fields, papers of which nothing was extracted, fabrications and mean seconds a
+    paper (rows model, doi, required, value, expected_null, seconds)."""
     empty = F.coalesce(F.trim("value"), F.lit("")) == ""
-    return outputs.groupBy("model").agg(
-        F.count_if(F.col("required") & empty).alias("missing_required"), F.count_if(empty).alias("empty_outputs"),
-        F.count_if(F.col("expected_null") & ~empty).alias("fabrications"), F.avg("seconds").alias("mean_seconds"),
+    papers = outputs.groupBy("model", "doi").agg(
+        F.count_if(F.col("required") & empty).alias("missing"), F.bool_and(empty).alias("blank"), F.count_if(F.col("expected_null") & ~empty).alias("made"), F.max("seconds").alias("seconds"),
     )
+    return papers.groupBy("model").agg(F.sum("missing").alias("missing_required"), F.count_if("blank").alias("empty_outputs"), F.sum("made").alias("fabrications"), F.avg("seconds").alias("mean_seconds"))
 
 
 def schema_drift(written: StructType, live: StructType) -> dict[str, list[str]]:

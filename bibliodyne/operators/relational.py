@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bibliodyne.functions.scalar import normalize_doi, overall_confidence
+from bibliodyne.functions.scalar import normalize_doi, overall_confidence, parse_year
 
 SORTABLE = ("doi", "title", "year", "journal", "status", "source_type", "last_updated")
 BACKLOGS = {
@@ -54,19 +54,20 @@ def indexable(papers: DataFrame) -> DataFrame:
 
 
 def backlog(papers: DataFrame, kind: str, since: str | None = None, limit: int | None = None) -> DataFrame:
-    """A work queue, oldest key first; ``since`` keeps rows not updated before it (or never)."""
+    """A work queue, with a limit its first keys; ``since`` keeps rows not updated before it (or never)."""
     out = papers.filter(BACKLOGS[kind])
     if since is not None:
         out = out.filter(F.col("last_updated").isNull() | (F.col("last_updated") >= F.lit(since).cast("timestamp_ntz")))
-    out = out.orderBy("doi")
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy("doi").limit(limit)
 
 
 def item_quality(items: DataFrame) -> DataFrame:
-    """Adds ``accepted`` and ``warnings``: a blank title rejects, missing parts warn."""
+    """Adds ``accepted`` and ``warnings``: a blank title rejects; no author or editor, no abstract and a date that
+    has no year warn (a missing date does not)."""
     warn = lambda cond, name: F.when(cond, F.lit(name))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    warnings = F.array_compact(F.array(warn(F.col("author").isNull(), "author"), warn(blank(F.col("abstract")), "abstract"), warn(~F.coalesce(F.col("date").rlike(r"\d{4}"), F.lit(False)), "date")))
+    no_creator = F.col("author").isNull() & (F.col("editor").isNull() if "editor" in items.columns else F.lit(True))
+    warnings = F.array_compact(F.array(warn(no_creator, "author"), warn(blank(F.col("abstract")), "abstract"), warn((F.coalesce("date", F.lit("")) != "") & (parse_year(F.col("date")) == 0), "date")))
     return items.withColumn("accepted", ~blank(F.col("title"))).withColumn("warnings", F.array_join(warnings, ","))
 
 
@@ -101,7 +102,7 @@ def run_history(runs: DataFrame, run_log: DataFrame, results: DataFrame) -> Data
 
 
 def progress_papers(progress: DataFrame, papers: DataFrame) -> DataFrame:
-    return progress.join(papers.select("doi", "title"), "doi", "left").orderBy("complete", "doi")
+    return progress.join(papers.select("doi", "title"), "doi", "left")
 
 
 def cluster_members(assignments: DataFrame, papers: DataFrame) -> DataFrame:
@@ -200,11 +201,12 @@ def index_coverage(papers: DataFrame) -> DataFrame:
     return papers.agg(F.count_if(F.col("extraction").isNotNull()).alias("extracted"), F.count_if("embeddings_indexed").alias("embedded"), F.count_if("graph_indexed").alias("graphed"))
 
 
-def graph_health(papers: DataFrame, warn_below: float = 0.9) -> DataFrame:
-    """Indexed share of ingested papers (those with a status other than discovered)."""
+def graph_health(papers: DataFrame) -> DataFrame:
+    """Ingested papers (those with a status other than discovered) and the indexed ones of them: a warning while
+    there are none of either, ok from the first indexed paper on."""
     ingested = F.coalesce(F.col("status") != "discovered", F.lit(False))
     counted = papers.agg(F.count_if(ingested).alias("total"), F.count_if(ingested & F.col("graph_indexed")).alias("indexed"))
-    return counted.withColumn("health", F.when((F.col("total") == 0) | (F.col("indexed") >= warn_below * F.col("total")), "ok").otherwise("warn"))
+    return counted.withColumn("health", F.when(F.col("indexed") > 0, "ok").otherwise("warn"))
 
 
 def zero_filled_counts(rows: DataFrame, column: str, vocabulary: tuple[str, ...]) -> DataFrame:
@@ -316,7 +318,8 @@ def query_terms(themes: DataFrame, k: int = 4) -> DataFrame:
     best = top_per_group(live, ["theme"], [length, F.col("pos")], k)
     quoted = F.when(F.contains("term", F.lit(" ")), F.concat(F.lit('"'), F.col("term"), F.lit('"'))).otherwise(F.col("term"))
     found = best.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("place", quoted.alias("q")))).alias("t")).select("theme", F.array_join(F.transform("t", lambda x: x["q"]), " OR ").alias("query"))
-    bare = themes.select("theme").distinct().join(found, "theme", "left_anti").withColumn("query", F.when(F.contains("theme", F.lit(" ")), F.concat(F.lit('"'), F.col("theme"), F.lit('"'))).otherwise(F.col("theme")))
+    name = F.lower("theme")
+    bare = themes.select("theme").distinct().join(found, "theme", "left_anti").withColumn("query", F.when(F.contains("theme", F.lit(" ")), F.concat(F.lit('"'), name, F.lit('"'))).otherwise(name))
     return found.unionByName(bare)
 
 
@@ -331,8 +334,10 @@ def search_dedup(hits: DataFrame, title_chars: int = 60) -> DataFrame:
     start of its title in the primary source (source_order 0) and dropped in the others."""
     doi = normalize_doi(F.col("doi"))
     key = F.when(doi != "", F.concat(F.lit("d:"), doi)).when(F.col("source_order") == 0, F.concat(F.lit("t:"), F.lower(F.substring("title", 1, title_chars))))
-    keyed = hits.withColumn("_key", key).filter("_key IS NOT NULL")
-    return top_per_group(keyed, ["_key"], [F.col("source_order"), F.col("position")], 1).drop("_key", "place")
+    # Generating the key from a list keeps the optimizer from repeating its expression in filter and grouping;
+    # the first hit is a minimum, so hits combine before the shuffle.
+    keyed = hits.select(F.explode(F.filter(F.array(key), lambda k: k.isNotNull())).alias("_key"), F.struct("source_order", "position").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in hits.columns]).alias("_row"))
+    return keyed.groupBy("_key").agg(F.min_by("_row", "_at").alias("_row")).select("_row.*")
 
 
 def relation_union(to_entities: DataFrame, to_papers: DataFrame) -> DataFrame:

@@ -155,9 +155,9 @@ def interest_leg(candidates: DataFrame, vector: DataFrame, n_events: int, weight
 
 
 def graph_leg(signals: DataFrame, w_entities: float = 0.15, w_cites: float = 0.1, w_authors: float = 0.05) -> DataFrame:
-    """Capped shares of shared entities (5), citation edges (3) and shared authors (3)."""
+    """Capped shares of shared entities (5), edges of citing, extending and comparing (3) and shared authors (3)."""
     part = lambda c, cap: F.least(c / float(cap), F.lit(1.0))
-    cites = F.col("n_cites_in") + F.col("n_cites_out")
+    cites = F.col("n_cites_in") + F.col("n_cites_out") + F.col("n_extends") + F.col("n_compares")
     return signals.select("doi", (w_entities * part(F.col("n_shared_entities"), 5)).alias("entities"), (w_cites * part(cites, 3)).alias("citations"), (w_authors * part(F.col("n_shared_authors"), 3)).alias("authors"))
 
 
@@ -175,11 +175,9 @@ def breakdown(scored: DataFrame) -> DataFrame:
 def soft_floor(ranked: DataFrame, size: int, share: float = 0.05) -> DataFrame:
     """The digest's rows: off-domain ones get max(1, ceil(size * share)) places, in-domain ones the rest."""
     off = max(1, math.ceil(size * share))
-    order = W.partitionBy("in_domain").orderBy(F.desc("score"), "doi")
-    placed = ranked.withColumn("_n", F.row_number().over(order))
-    n_off = min(off, ranked.filter("NOT in_domain").limit(off).count())
-    kept = placed.filter((F.col("in_domain") & (F.col("_n") <= size - n_off)) | (~F.col("in_domain") & (F.col("_n") <= off)))
-    return kept.drop("_n")
+    first = lambda rows, n: rows.orderBy(F.desc("score"), "doi").limit(n)
+    n_off = ranked.filter("NOT in_domain").limit(off).count()
+    return first(ranked.filter("in_domain"), size - n_off).unionByName(first(ranked.filter("NOT in_domain"), off))
 
 
 def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
@@ -282,8 +280,22 @@ def under_engaged(surfaced: DataFrame, weights: DataFrame, now: str, weeks: int
     return surfaced.join(weights, surfaced["id"] == weights["cluster_id"]).filter(quiet & (F.col("weight") > floor + 0.05)).select("cluster_id", "last_at", "weight")
 
 
+def top_aligned(library: DataFrame, vector: DataFrame, papers: DataFrame, k: int = 10) -> DataFrame:
+    """(doi, title, cosine) of the library papers nearest to the interest vector."""
+    near = rank_by_vector(library.select("doi", "embedding"), vector, k).select("doi", F.col("score").alias("cosine"))
+    return near.join(papers.select("doi", "title"), "doi", "left").select("doi", "title", "cosine")
+
+
+def weight_list(weights: DataFrame, clusters: DataFrame, floor: float = 0.3) -> DataFrame:
+    """(cluster_id, name, weight, at_floor, place) of active clusters, the most faded first; 1 without a weight."""
+    active = clusters.filter(~F.col("archived")).select(F.col("id").alias("cluster_id"), F.coalesce("display_name", F.concat(F.lit("Cluster "), "id")).alias("name"))
+    listed = active.join(weights, "cluster_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    return listed.withColumn("at_floor", F.col("weight") <= floor).withColumn("place", F.row_number().over(W.orderBy("weight", "cluster_id")))
+
+
 def learning_state(inputs: DataFrame, weights: DataFrame, floor: float = 0.3) -> DataFrame:
-    """One row: events, gate, whether learning is inert, and clusters at the floor."""
+    """One row: events, gate, whether learning is inert, and clusters at the floor (the lists beside it are
+    ``top_aligned`` and ``weight_list``)."""
     from bibliodyne.functions.scalar import soft_gate
 
     n = inputs.agg(F.count("*").alias("n_events"))
@@ -312,9 +324,10 @@ def kmeans_auto(vectors: DataFrame, k_min: int = 5, k_max: int = 15, inits: int
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vectors.select("doi", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
+    rows = vectors.select("doi", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
     n = rows.count()
     if n < k_min:
+        rows.unpersist()
         return None
     best = None
     for k in range(k_min, min(k_max, n - 1) + 1):
@@ -325,6 +338,7 @@ def kmeans_auto(vectors: DataFrame, k_min: int = 5, k_max: int = 15, inits: int
             best = (quality, k, model)
     _, k, model = best
     spark = vectors.sparkSession
+    rows.unpersist()
     centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "pos int, centroid array<double>")
     members = model.transform(rows).select("doi", F.col("prediction").alias("pos"), vector_to_array("features").alias("embedding"))
     return k, centroids, members

@@ -68,9 +68,9 @@ query("jn_cited_notes", "select distinct c.source, c.target, p.title from cites
 query("jn_citing", "select target, count(distinct source) as n_citing from cites group by target")(lambda t: R.citing_counts(cites(t.papers)))
 query("jn_related_work", """select doi, other, row_number() over (partition by doi order by part, position, other) as place from (
 select source as doi, target as other, 0 as part, 0 as position from cites union all
-select doi, other, 1, position from (select p.doi, concat('10.1/', (p.key * 3 + n.k) % 1000) as other, n.k as position from papers p, (values (1), (2), (3)) n(k) where p.key < 3000) s where (doi, other) not in (select source, target from cites))""")(
+select doi, other, 1, position from (select p.doi, concat('10.1/', (p.key * 3 + n.k) % 1000) as other, n.k as position from papers p, (values (1), (2), (3)) n(k)) s where (doi, other) not in (select source, target from cites))""")(
     lambda t: R.related_work(cites(t.papers).select(F.col("source").alias("doi"), F.col("target").alias("other"), F.lit(0).alias("position")),
-                             t.papers.filter("key < 3000").withColumn("position", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("doi", F.expr("concat('10.1/', (key * 3 + position) % 1000)").alias("other"), "position")))
+                             t.papers.withColumn("position", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("doi", F.expr("concat('10.1/', (key * 3 + position) % 1000)").alias("other"), "position")))
 query("jn_unmapped", "select distinct surface as keyword from entities where surface not in (select surface from entities where canonical_id % 4 = 0)")(
     lambda t: R.unmapped(t.entities.select(F.col("surface").alias("keyword")).distinct(), t.entities.filter("canonical_id % 4 = 0").select(F.col("surface").alias("keyword"))))
 query("jn_hydrate", "select r.doi, r.place, p.title, p.year, p.journal from (select concat('10.1/', c_custkey * 11) as doi, c_custkey as place from customer) r left join papers p on r.doi = p.doi")(
@@ -78,7 +78,7 @@ query("jn_hydrate", "select r.doi, r.place, p.title, p.year, p.journal from (sel
 
 query("agg_status_counts", "select status, count(*) as n from papers group by status")(lambda t: R.status_counts(t.papers))
 query("agg_index_coverage", "select count(extraction) as extracted, count(*) filter (embeddings_indexed) as embedded, count(*) filter (graph_indexed) as graphed from papers")(lambda t: R.index_coverage(t.papers))
-query("agg_graph_health", """select total, indexed, case when total = 0 or indexed >= 0.9 * total then 'ok' else 'warn' end as health from
+query("agg_graph_health", """select total, indexed, case when total > 0 and indexed > 0 then 'ok' else 'warn' end as health from
 (select count(*) filter (status <> 'discovered') as total, count(*) filter (status <> 'discovered' and graph_indexed) as indexed from papers)""")(lambda t: R.graph_health(t.papers))
 query("agg_corpus_stats", "select v.source, coalesce(n, 0) as n from (values ('A'), ('N'), ('R'), ('X')) v(source) left join (select source, count(*) as n from mentions group by source) c on v.source = c.source")(
     lambda t: R.zero_filled_counts(t.mentions, "source", ("A", "N", "R", "X")))

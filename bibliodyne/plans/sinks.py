@@ -45,15 +45,15 @@ query("sink_atomic_replace", """with n as (select n_nationkey as pos, case when
 l as (select coalesce(id, (select max(id) from clusters) + row_number() over (partition by id is null order by pos)) as id, display_name from n)
 select id, coalesce(display_name, 'Cluster ' || id) as display_name, false as archived from l union all select id, display_name, true from clusters where id not in (select id from l)""")(
     lambda t: K.atomic_replace(t.clusters, t.raw("nation").filter("n_nationkey < 8").selectExpr("n_nationkey as pos", "case when n_nationkey % 2 = 0 then n_nationkey end as id", "case when n_nationkey % 3 = 0 then n_name end as display_name")))
-query("sink_digest")(lambda t: K.digest(t.papers.select("doi", "title", F.transform(F.sequence(F.lit(1), F.col("author") % 5 + 1), lambda i: F.concat(F.lit("A"), i)).alias("authors"), "year", F.round(F.col("price") / 500000, 4).alias("score")), "r1"))
+query("sink_digest")(lambda t: K.digest(t.papers.select("doi", "title", F.transform(F.sequence(F.lit(1), F.col("author") % 5 + 1), lambda i: F.concat(F.lit("A"), i)).alias("authors"), "year", F.round(F.col("price") / 500000, 4).alias("score")), "2024-02-01", 0.5))
 query("sink_snapshot", "select 'r1' as run, (select count(*) from papers) as n_papers, (select count(*) from papers where graph_indexed) as n_graph_indexed, count(*) as n_mentions, count(distinct canonical_id) as n_entities from mentions")(
     lambda t: K.corpus_snapshot(t.papers, t.mentions, "r1"))
 query("sink_writeback_plan", "select a.doi, p.k as key, 'theme/' || replace(coalesce(c.display_name, 'Cluster ' || c.id), '/', '-') as tag, case when p.k is null then 'skipped' else 'added' end as state from assignments a join clusters c on a.cluster_id = c.id and not c.archived left join (select doi, case when key % 3 <> 0 then title end as k from papers) p on a.doi = p.doi")(
     lambda t: K.writeback_plan(t.assignments, t.clusters, t.papers.select("doi", F.expr("case when key % 3 <> 0 then title end").alias("external_key"))))
 query("sink_results_append", "select doi, price as score, 7 as run_id, status = 'complete' as ingested, case when status = 'complete' then '2024-02-01' end as ingested_at from (select doi, price, coalesce(status, '') as status from papers)")(
     lambda t: K.results_append(t.papers.select("doi", F.col("price").alias("score")), 7, t.papers.filter("status = 'complete'"), "2024-02-01"))
-query("sink_domain_focus", "select v.f as field_type, coalesce(n, 0) as n from (values ('topics'), ('methods'), ('materials'), ('applications'), ('keywords')) v(f) left join (select 'topics' as g, count(distinct surface) as n from entities union all select 'methods', count(distinct brand) from entities) on f = g")(
-    lambda t: K.read_domain_focus(K.domain_focus(t.entities.select(F.array("surface", F.lit("  ")).alias("topics"), F.array("brand").alias("methods"), F.array("surface").alias("unknown")))).select("field_type", F.size("values").alias("n")))
+query("sink_domain_focus", "select v.f as field_type, coalesce(n, '') as names from (values ('topics'), ('methods'), ('materials'), ('applications'), ('keywords')) v(f) left join (select 'topics' as g, string_agg(distinct surface, '|' order by surface) as n from entities union all select 'methods', string_agg(distinct brand, '|' order by brand) from entities) on f = g")(
+    lambda t: K.read_domain_focus(K.domain_focus(t.entities.select(F.array("surface", F.lit("  ")).alias("topics"), F.array("brand").alias("methods"), F.array("surface").alias("unknown")))).select("field_type", F.array_join("values", "|").alias("names")))
 query("sink_embedding_provenance", "select r_name as collection, case when r_regionkey = 2 then 'm2' else 'm1' end as model, r_regionkey = 2 as is_current from region")(
     lambda t: K.embedding_provenance(t.raw("region").selectExpr("r_name as collection", "'m1' as model", "false as is_current"), t.raw("region").filter("r_regionkey = 2").selectExpr("r_name as collection", "'m2' as model"), t.raw("region").filter("r_regionkey = 2").first().r_name))
 query("sink_interest_vector", "select concat('s', label) as scope, count(*) as n_events from embeddings where label <> 3 group by 1 union all select 's3', 99")(
@@ -63,7 +63,7 @@ query("sink_trending_actions", "select canonical_id as id, case when canonical_i
                                  t.entities.selectExpr("canonical_id as id", "case canonical_id % 4 when 0 then 'accepted' when 1 then 'dismissed' else 'liked' end as action", "'d2' as at").unionByName(t.entities.filter("canonical_id % 4 = 0").selectExpr("canonical_id as id", "'dismissed' as action", "'d1' as at"))))
 query("sink_mark_progress", "select key as doi, key % 2 = 0 or key % 3 = 0 as simple, key % 5 = 0 as complex, (key % 2 = 0 or key % 3 = 0) and key % 5 = 0 as complete from papers")(
     lambda t: K.mark_progress(t.papers.selectExpr("key as doi", "key % 2 = 0 as simple", "cast(null as boolean) as complex"), t.papers.filter("key % 3 = 0").selectExpr("key as doi", "'simple' as phase").union(t.papers.filter("key % 5 = 0").selectExpr("key as doi", "'complex' as phase"))))
-query("sink_reset_extractions", "select count(*) as n, count(*) as pending, 0 as extracted, 0 as flagged from papers")(
-    lambda t: K.reset_extractions(t.papers).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "pending").alias("pending"), F.count("extraction").alias("extracted"), F.count_if(F.col("graph_indexed") | F.col("notes_synced")).alias("flagged")))
-query("sink_purge_types", "select source_type, count(*) as n from papers where source_type not in ('5-LOW', '1-URGENT') group by 1")(
-    lambda t: K.purge_types(t.papers, ("5-LOW", "1-URGENT")).groupBy("source_type").agg(F.count("*").alias("n")))
+query("sink_reset_extractions", "select doi, title, 'pending' as status, cast(null as varchar) as extraction, false as graph_indexed, false as chunks_indexed, false as notes_synced, false as embeddings_indexed from papers")(
+    lambda t: K.reset_extractions(t.papers).select("doi", "title", "status", "extraction", "graph_indexed", "chunks_indexed", "notes_synced", "embeddings_indexed"))
+query("sink_purge_types", "select doi, title, source_type from papers where source_type not in ('5-LOW', '1-URGENT')")(
+    lambda t: K.purge_types(t.papers, ("5-LOW", "1-URGENT")).select("doi", "title", "source_type"))

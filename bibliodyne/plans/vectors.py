@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bibliodyne.operators import vectors as V
-from bibliodyne.operators.graph import candidate_signals, similar_papers
-from bibliodyne.operators.relational import last_surfaced, library
-from bibliodyne.plans.graph import EDGES, LIB
+from bibliodyne.operators.graph import similar_papers
+from bibliodyne.operators.relational import last_surfaced
+from bibliodyne.plans.graph import EDGES, LIB, signals
 from bibliodyne.plans.registry import query
-from bibliodyne.plans.standins import cites
 
 NOW = "2024-02-01"
 
@@ -59,16 +58,12 @@ query("rank_cluster_leg", f"with {VEC}, {CENT}, {ASSIGN} select doi, round(0.1 *
     lambda t: V.cluster_leg(vecs(t, 1), cents(t), t.clusters, 0.1).select("doi", F.round("cluster", 6).alias("cluster"), "matched"))
 query("rank_interest_leg", f"with {VEC}, {MEAN} select doi, round(0.3 * 20.0 / 50 * {COS.format('embedding', 'vector')}, 6) as feedback from v, dom where vec_id % 2 = 1")(
     lambda t: V.interest_leg(vecs(t, 1), liked(t), 20, 0.3).select("doi", F.round("feedback", 6).alias("feedback")))
-SIG = f"""{EDGES}, {LIB}, a as (select doi, supplier as author from mentions), sig as (select c.doi, coalesce(s.n, 0) as e, coalesce(o.n, 0) + coalesce(i.n, 0) as k, coalesce(x.n, 0) as h from cand c
+SIG = f"""{EDGES}, {LIB}, a as (select doi, supplier as author from mentions), sig as (select c.doi, coalesce(s.n, 0) as e, 2 * coalesce(o.n, 0) + coalesce(i.n, 0) as k, coalesce(x.n, 0) as h from cand c
 left join (select doi, count(*) as n from edges where canonical_id in (select canonical_id from edges where doi in (select doi from lib)) group by doi) s on c.doi = s.doi
 left join (select source, count(*) as n from cites where target in (select doi from lib) group by 1) o on c.doi = o.source left join (select target, count(*) as n from cites where source in (select doi from lib) group by 1) i on c.doi = i.target
 left join (select doi, count(distinct author) as n from a where author in (select author from a where doi in (select doi from lib)) group by doi) x on c.doi = x.doi)"""
 
 
-def signals(t):
-    return candidate_signals(t.papers.filter("status = 'discovered'"), t.mentions, cites(t.papers), library(t.papers), t.mentions.select("doi", F.col("supplier").alias("author")))
-
-
 query("rank_graph_leg", f"with {SIG} select doi, round(0.15 * least(e / 5.0, 1.0), 6) as entities, round(0.1 * least(k / 3.0, 1.0), 6) as citations, round(0.05 * least(h / 3.0, 1.0), 6) as authors from sig")(
     lambda t: V.graph_leg(signals(t)).select("doi", *[F.round(c, 6).alias(c) for c in ("entities", "citations", "authors")]))
 query("rank_breakdown", f"""with {SIG} select doi, round(round(1 - e / 100.0, 3) - round(0.15 * least(e / 5.0, 1.0), 3) - round(0.1 * least(k / 3.0, 1.0), 3) - round(0.05 * least(h / 3.0, 1.0), 3), 3) as vector, round(0.1 * least(k / 3.0, 1.0), 3) as citations, 0.0::double as feedback from sig""")(
@@ -103,7 +98,8 @@ query("agg_interest_centroid", f"with {VEC} select i as pos, round(avg(x), 6) as
 query("udaf_weighted_mean", f"with {VEC} select label, i as pos, round(sum(x * (1 + vec_id % 3)) / sum(1 + vec_id % 3), 6) as m from (select label, vec_id, unnest(embedding) as x, unnest(range(len(embedding))) as i from v) group by label, i")(
     lambda t: V.mean_vector(vecs(t), ["label"], 1 + F.col("vec_id") % 3).select("label", F.posexplode("vector").alias("pos", "m")).withColumn("m", F.round("m", 6)))
 SIGN = "case when signal_type in ('saved', 'thumbs_up') or (signal_type = 'rated' and rating >= 4) then 1 when signal_type in ('dismissed', 'thumbs_down') or (signal_type = 'rated' and rating <= 2) then -1 else 0 end"
-WEIGHT = "case signal_type when 'saved' then 1.0 when 'thumbs_up' then 0.7 when 'opened' then 0.2 when 'dismissed' then -0.7 when 'thumbs_down' then -1.0 else 0.5 * (rating - 3) * 0.5 end"
+# Fixed values of the oracle: the weight of each signal.
+WEIGHT = "case signal_type when 'opened' then 0.3 when 'saved' then 1.0 when 'dismissed' then -0.5 when 'thumbs_up' then 0.8 when 'thumbs_down' then -0.8 else 0.5 * (rating - 3) * 0.5 end"
 DECAY = f"pow(0.5, greatest((epoch_us(timestamp '{NOW}') - epoch_us(created_at)) / 86400e6, 0) / 90)"
 INPUTS = f"inputs as (select doi, {SIGN} as sign, abs({WEIGHT}) * {DECAY} * case when source = 's1' then 0.5 else 1 end as weight, embedding from feedback join v using (doi) where {SIGN} <> 0)"
 
@@ -123,13 +119,29 @@ WEIGHTS = f"""mass as (select cluster_id, sum(case when {SIGN} < 0 then {DECAY}
 weights as (select c.id as cluster_id, case when d is null or d + p = 0 then 1.0 else greatest(0.3, least(1.0, 1 - 0.9 * d / (d + p + 3 + 1e-9))) end as weight from clusters c left join mass on c.id = mass.cluster_id where not archived)"""
 query("agg_cluster_feedback", f"with {WEIGHTS} select cluster_id, round(weight, 6) as weight from weights")(
     lambda t: V.cluster_weights(t.feedback, t.assignments, t.clusters, NOW).withColumn("weight", F.round("weight", 6)))
-query("learn_state", f"with {VEC}, {INPUTS}, {WEIGHTS} select n as n_events, f as n_at_floor, round(case when n < 10 then 0 else n / (n + 30.0) end, 6) as gate, n < 10 as inert from (select count(*) as n from inputs), (select count(*) filter (weight <= 0.3 + 1e-9) as f from weights)")(
-    lambda t: V.learning_state(inputs(t), V.cluster_weights(t.feedback, t.assignments, t.clusters, NOW)).withColumn("gate", F.round("gate", 6)))
+query("learn_state", f"""with {VEC}, {ROCCHIO}, {WEIGHTS}, iv as (select list(m order by i) as vector from raw),
+top as (select doi, row_number() over (order by round({COS.format('embedding', 'vector')}, 4) desc, doi) as r from v, iv where vec_id % 2 = 0),
+named as (select cluster_id, weight, coalesce(display_name, 'Cluster ' || cluster_id) as name from weights join clusters on id = cluster_id)
+select n as n_events, f as n_at_floor, round(case when n < 10 then 0 else n / (n + 30.0) end, 6) as gate, n < 10 as inert, p as top_papers, l as weights from (select count(*) as n from inputs), (select count(*) filter (weight <= 0.3 + 1e-9) as f from weights),
+(select string_agg(concat(doi, ' ', coalesce(title, '-')), ';' order by r) as p from top left join papers using (doi) where r <= 10), (select string_agg(name || case when weight <= 0.3 then ' at floor' else '' end, ';' order by weight, cluster_id) as l from named)""")(
+    lambda t: _state(t))
 query("explore_under_engaged", f"""with {WEIGHTS}, l as (select a.cluster_id, max(u.started_at) as last_at from results r join runs u on r.run_id = u.id join assignments a on a.doi = r.doi where a.doi_key % 2 = 0 and a.cluster_id < 3 group by 1)
 select w.cluster_id, l.last_at, round(weight, 6) as weight from weights w left join l on w.cluster_id = l.cluster_id where (l.last_at is null or l.last_at <= timestamp '2002-01-01' - interval 28 day) and weight > 0.35""")(
     lambda t: V.under_engaged(last_surfaced(t.clusters, t.assignments.filter("doi_key % 2 = 0 and cluster_id < 3"), t.results, t.runs), V.cluster_weights(t.feedback, t.assignments, t.clusters, NOW), "2002-01-01").withColumn("weight", F.round("weight", 6)))
 query("ml_stable_ids", f"""with {VEC}, {CENT}, n as (select id as pos, centroid from cent where id <> 4), o as (select id + 100 as id, centroid from cent where id < 7)
 select pos, case when pos < 7 then pos + 100 else 106 + row_number() over (partition by pos < 7 order by pos) end as id, pos < 7 as inherited from n""")(
     lambda t: V.stable_ids(cents(t).filter("id <> 4").withColumnRenamed("id", "pos"), cents(t).filter("id < 7").withColumn("id", F.col("id") + 100)))
-query("ml_kmeans_auto_k")(lambda t: V.kmeans_auto(vecs(t), 5, 7, 2)[2].select("doi", "pos"))
-query("ml_recompute")(lambda t: V.recompute_clusters(vecs(t), t.papers, cents(t).select("id", "centroid"), 100, 5, 6, 2)["clusters"].select("id", "inherited", "display_name", F.size("sample_titles").alias("n_titles")))
+query("ml_kmeans_auto_k")(lambda t: V.kmeans_auto(vecs(t))[2].select("doi", "pos"))
+query("ml_recompute")(lambda t: V.recompute_clusters(vecs(t), t.papers, cents(t).select("id", "centroid"))["clusters"].select("id", "inherited", "display_name", F.size("sample_titles").alias("n_titles")))
+
+
+def _state(t):
+    """The learning state with its two short lists."""
+    weights = V.cluster_weights(t.feedback, t.assignments, t.clusters, NOW)
+    state = V.learning_state(inputs(t), weights).withColumn("gate", F.round("gate", 6))
+    in_order = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("x")))), lambda s: s["x"]), ";")
+    top = V.top_aligned(vecs(t, 0), V.rocchio(inputs(t), vecs(t, 0)), t.papers)
+    papers = top.agg(in_order([(-F.col("cosine")).alias("c"), F.col("doi")], F.concat_ws(" ", "doi", F.coalesce("title", F.lit("-")))).alias("top_papers"))
+    listed = V.weight_list(weights, t.clusters)
+    names = listed.agg(in_order([F.col("place")], F.concat("name", F.when(F.col("at_floor"), " at floor").otherwise(""))).alias("weights"))
+    return state.join(F.broadcast(papers), F.lit(True)).join(F.broadcast(names), F.lit(True))  # one row each

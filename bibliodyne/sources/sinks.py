@@ -1,7 +1,7 @@
 """Sinks: each gives the next snapshot of a table from the current one and a batch.
 
-Snapshots are plain Parquet folders named by version; a pointer file is written last, so a reader sees the
-old version or the new one. Batches are reduced to one row per key before they meet the table.
+Snapshots are plain Parquet folders named by version; a numbered pointer file is added last, so a reader sees
+the old version or the new one. Batches are reduced to one row per key before they meet the table.
 """
 
 from __future__ import annotations
@@ -62,17 +62,57 @@ def atomic_replace(clusters: DataFrame, new: DataFrame) -> DataFrame:
     return live.unionByName(old)
 
 
-def digest(ranked: DataFrame, run: str, threshold: float = 0.5, top: int = 20) -> DataFrame:
-    """(line_no, line) of a run's report from (doi, title, authors, year, score)."""
-    order = W.orderBy(F.desc("score"), "doi")
+SIGNAL_ROWS = ("vector", "domain", "cluster", "feedback", "entities", "citations", "authors")
+
+
+def digest(ranked: DataFrame, date: str, threshold: float = 0.3, top: int = 20, databases: int = 4, decomposition: bool = False) -> DataFrame:
+    """(line_no, line) of a run's report in Markdown from (doi, title, authors, year, score), with ``rationale``
+    and, if ``decomposition``, ``breakdown`` (a map) where the table has them.
+
+    Papers come by score. Line numbers follow from range-sorted partitions and their sizes, so no task holds all
+    lines; the top section is a short list.
+    """
+    text = lambda c: F.col(c).cast("string") if c in ranked.columns else F.lit(None).cast("string")
     names = F.concat(F.array_join(F.slice("authors", 1, 3), ", "), F.when(F.size("authors") > 3, " et al.").otherwise(""))
-    rows = ranked.orderBy(F.desc("score"), "doi").withColumn("n", F.row_number().over(order))
-    entry = F.concat(F.lit("- **"), "title", F.lit("** ("), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")), F.lit(") "), names, F.lit(" — "), F.format_number("score", 3), F.lit(" — "), "doi")
-    best = rows.filter((F.col("score") >= threshold) & (F.col("n") <= top)).select(F.struct(F.lit(1).alias("part"), "n").alias("at"), entry.alias("line"))
-    every = rows.select(F.struct(F.lit(3).alias("part"), "n").alias("at"), entry.alias("line"))
+    title = F.when(F.coalesce("doi", F.lit("")) != "", F.format_string("[**%s**](https://doi.org/%s)", F.coalesce("title", F.lit("")), "doi")).otherwise(F.format_string("**%s**", F.coalesce("title", F.lit(""))))
+    number = lambda x: F.format_string("%.3f", x)
+    entry = F.concat(F.lit("- "), title, F.lit(" · "), F.coalesce(names, F.lit("")), F.lit(" ("), F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit(") · score: "), number(F.col("score")))
+    rows = ranked.withColumn("line", entry)
+    parts = F.array(F.col("line"), F.when(F.coalesce(text("rationale"), F.lit("")) != "", F.concat(F.lit("  > "), text("rationale"))))
+    if decomposition and "breakdown" in ranked.columns:
+        table = F.transform(F.array(*[F.lit(x) for x in SIGNAL_ROWS]), lambda k: F.when(F.map_contains_key("breakdown", k), F.concat(F.lit("  | "), k, F.lit(" | "), number(F.element_at("breakdown", k)), F.lit(" |"))))
+        total = F.concat(F.lit("  | **total** | **"), number(F.col("score")), F.lit("** |"))
+        parts = F.concat(parts, F.when(F.col("breakdown").isNotNull(), F.concat(F.array(F.lit("  | Signal | Score |"), F.lit("  |---|---|")), table, F.array(total))).otherwise(F.expr("cast(array() as array<string>)")))
+    by_score = [F.desc("score"), F.asc("doi")]
+    best = rows.filter(F.col("score") >= threshold).orderBy(*by_score).limit(top).withColumn("n", F.row_number().over(W.orderBy(*by_score)))
+    best = best.select("n", F.posexplode(F.array_compact(parts)).alias("k", "line"))
+    best = best.select((F.row_number().over(W.orderBy("n", "k"))).cast("long").alias("i"), "line")
     spark = ranked.sparkSession
-    heads = spark.createDataFrame([(0, 0, f"# Discovery run {run}"), (0, 1, "## Top results"), (2, 0, "## All results")], "part int, n int, line string").select(F.struct("part", "n").alias("at"), "line")
-    return heads.unionByName(best).unionByName(every).select(F.row_number().over(W.orderBy("at")).alias("line_no"), "line")
+    count, highest = rows.agg(F.count("*"), F.max("score")).first()
+    n_best = best.count()
+    head = [
+        "---", f'date: "{date}"', f"new_papers: {count}", f"top_similarity: {highest or 0.0:.3f}", "---", f"# Discovery Digest — {date}", f"{count} new results found across {databases} databases.",
+        f"Similarity threshold: >{threshold:.2f}", "## Top Results",
+    ]
+    middle = [*([] if n_best else ["*No results.*"]), "", f"## All New Results ({count})", *([] if count else ["*No results.*"])]
+    fixed = [(i + 1, x) for i, x in enumerate(head)] + [(len(head) + n_best + i + 1, x) for i, x in enumerate(middle)]
+    before_all = len(head) + n_best + len(middle)
+    fixed += [(before_all + count + 1, "---"), (before_all + count + 2, f"*Generated by bibliodyne · {date}*")]
+    every = numbered(rows.select("score", "doi", "line"), by_score).select((F.col("row_no") + before_all).alias("line_no"), "line")
+    lines = spark.createDataFrame(fixed, "line_no long, line string").unionByName(best.select((F.col("i") + len(head)).alias("line_no"), "line"))
+    return lines.unionByName(every)
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``row_no`` from 1 in an order: range partitions are sorted, numbered alone and shifted by the
+    sizes of those before them."""
+    from bibliodyne.session import materialize
+
+    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("first"))
+    # One row a partition.
+    before = sizes.select("_p", "first", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), "_p").withColumn("row_no", F.col("before") + F.col("_m") - F.col("first") + 1).drop("_p", "_m", "first", "before")
 
 
 def corpus_snapshot(papers: DataFrame, mentions: DataFrame, run: str) -> DataFrame:
@@ -148,23 +188,41 @@ def purge_types(rows: DataFrame, retired: tuple[str, ...]) -> DataFrame:
     return rows.filter(F.col("source_type").isNull() | ~F.col("source_type").isin(*retired))
 
 
+def _pointers(spark: SparkSession, root: str) -> tuple[object, object, list[int]]:
+    """File system, root path and the numbers of the pointer files below ``root``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return fs, jvm, sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-") and n[8:].isdigit())
+
+
+def has_snapshot(spark: SparkSession, root: str) -> bool:
+    return bool(_pointers(spark, root)[2])
+
+
 def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a version below ``root`` and point to it last; returns its path."""
+    """Write a version below ``root`` and then a pointer file of the next number; returns the version's path.
+
+    Pointers are never changed or deleted, only added, by a rename from a name that readers ignore: at any time
+    the highest number is a whole pointer. Of two writers at once the second one's rename fails.
+    """
     import uuid
 
     spark = df.sparkSession
     path = f"{root}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    pointer, temp = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT"), jvm.org.apache.hadoop.fs.Path(f"{root}/.next-{uuid.uuid4().hex}")
-    fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, jvm, numbers = _pointers(spark, root)
+    temp = jvm.org.apache.hadoop.fs.Path(f"{root}/.next-{uuid.uuid4().hex}")
     out = fs.create(temp, True)
     out.write(bytearray(path.encode()))
     out.close()
-    fs.delete(pointer, False)
-    fs.rename(temp, pointer)
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/current-{(numbers[-1] if numbers else 0) + 1:012d}")
+    if not fs.rename(temp, target):
+        raise RuntimeError(f"another writer has published {target}")
     return path
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{root}/CURRENT").first().value)
+    """The version that the highest pointer names."""
+    return spark.read.parquet(spark.read.text(f"{root}/current-{_pointers(spark, root)[2][-1]:012d}").first().value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from bibliodyne.functions.models import embed
 from bibliodyne.functions.text import chunk_markdown
 from bibliodyne.operators.relational import backlog
-from bibliodyne.sources.sinks import read_snapshot, replace_by_key, write_snapshot
+from bibliodyne.sources.sinks import has_snapshot, read_snapshot, replace_by_key, write_snapshot
 
 
 def next_frontier(runs: DataFrame) -> DataFrame:
@@ -25,18 +26,21 @@ def seeded_frontier(frontier: DataFrame, runs: DataFrame) -> DataFrame:
     return last.join(F.broadcast(frontier.select("frontier").limit(1)), F.lit(True), "left").select(F.coalesce("frontier", "seed").alias("frontier"))
 
 
-def poll(spark: SparkSession, items: DataFrame, root: str, version: str = "version") -> DataFrame:
-    """Items newer than the stored version; the first call stores a baseline and returns none. The new
-    version is stored before the items are handed out, so process them idempotently."""
+def poll(spark: SparkSession, items: DataFrame, root: str, version: str = "version", process: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Items newer than the stored version; the first call stores a baseline and returns none.
+
+    ``process`` is called with the new items before the version is stored, so what fails is polled again.
+    Without it the caller takes the returned items and the version is stored at once."""
     newest = items.agg(F.max(version).alias("v"))
-    jvm = spark.sparkContext._jvm
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    if not pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer):
+    if not has_snapshot(spark, root):
         write_snapshot(newest, root)
         return items.limit(0)
     seen = read_snapshot(spark, root).first().v
+    fresh = items if seen is None else items.filter(F.col(version) > seen)
+    if process is not None:
+        process(fresh)
     write_snapshot(newest.select(F.greatest("v", F.lit(seen)).alias("v")), root)
-    return items if seen is None else items.filter(F.col(version) > seen)
+    return fresh
 
 
 def index_then_flag(papers: DataFrame, root: str, text_job: Callable[[DataFrame], DataFrame], graph_job: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -48,8 +52,8 @@ def index_then_flag(papers: DataFrame, root: str, text_job: Callable[[DataFrame]
         try:
             write_snapshot(graph_job(papers), f"{root}/graph")
             graphed = True
-        except Exception as e:
-            print(f"graph index not written: {e}")
+        except Exception:
+            logging.getLogger(__name__).exception("graph index not written, its flag stays unset")
     flags = papers.select("doi", F.lit(True).alias("text_indexed"), F.lit(graphed).alias("graph_indexed"))
     write_snapshot(flags, f"{root}/flags")
     return read_snapshot(papers.sparkSession, f"{root}/flags")

@@ -57,7 +57,12 @@ def test_strip_tail_matches_only_line_starts(spark):
     cut = lambda t: one(spark, S.strip_references(F.lit(t)))
     assert cut(body + "\n## References\n[1] x") == body.rstrip()
     assert cut(body + "see References\nmore").endswith("more")
-    assert cut("## References\n" + body).endswith("word")
+    assert cut("## References\n" + body) == "## References\n" + body and cut(body + "\nCited Works :\n[1]") == body.rstrip()
+    assert cut(body + "\n**References**\n[1]").endswith("[1]") and cut(body + "\n#### Citations\nx").endswith("x")
+    end = lambda t: one(spark, S.strip_end_matter(F.lit(t)))
+    for heading in ("Acknowledgments", "Funding information:", "## Conflict of Interest", "Competing interests", "Author contributions", "Data availability statement", "Code availability", "Supplementary data", "SUPPORTING INFORMATION"):
+        assert end(body + "\n" + heading + "\nx y") == body.rstrip()
+    assert end(body + "\nAppendix\nx ") == body + "\nAppendix\nx "
     assert cut("") == ""
 
 
@@ -76,8 +81,18 @@ def test_chunks_slice_back_and_keep_bounds():
     text = "## One\n\nSame line.\n\n" + "A sentence about Fig. 3 that runs on. " * 30 + "\n\n## Two\n\nSame line.\n\n" + "Another one here. " * 30 + "x" * 3000
     found = T.chunks_of(text)
     assert all(0 < e - s <= 1120 for s, e, _ in found) and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
-    assert {h for *_, h in found} == {"One", "Two"} and T.chunks_of("") == [] and T.chunks_of(None) == []
-    assert "".join("".join(text[s:e].split()) for s, e, _ in found) == "".join(text.split())
+    assert {h for *_, h in found} == {"## One", "## Two"} and T.chunks_of("") == [] and T.chunks_of(None) == [] and T.chunks_of(" \n ") == []
+    bare = lambda t: "".join(t.replace("## One", "").replace("## Two", "").split())
+    assert "".join(bare(text[s:e]) for s, e, _ in found) == bare(text)
+
+
+def test_chunk_rules():
+    # A digit starts no sentence, a lower-case letter does; short sections merge up to half the limit.
+    long = "See Fig. 3 for it. " * 80
+    assert all(text[e - 1] == "." for text in [long] for s, e, _ in T.chunks_of(long, 200)) and all(not long[s:e].startswith("3") for s, e, _ in T.chunks_of(long, 200))
+    assert T.chunks_of("ab. cd", 4) == [(0, 3, ""), (4, 6, "")] and T.chunks_of("abcdefg", 3) == [(0, 3, ""), (3, 6, ""), (6, 7, "")]
+    assert T.chunks_of("# A\nxx\n# B\nyyy", 20) == [(4, 15, "# B")] and T.chunks_of("# A\nxx\n# B\nyyy", 8) == [(4, 6, "# A"), (11, 14, "# B")]
+    assert T.chunks_of("para one\n\npara two\n\npara three", 18) == [(0, 18, ""), (20, 30, "")]
 
 
 def test_windows_join_up():
@@ -89,7 +104,8 @@ def test_windows_join_up():
 def test_basic_normalize(spark):
     rows = spark.createDataFrame([("β-Catenins.",), ("Naïve  Bayes",), ("Analyses",), ("Species",), (None,)], "surface string")
     got = {r.surface: r.normalized for r in T.basic_normalize(rows, "surface").collect()}
-    assert got == {"β-Catenins.": "beta-catenin", "Naïve  Bayes": "naive baye", "Analyses": "analysis", "Species": "species", None: None} or got["β-Catenins."] == "beta-catenin"
+    assert got == {"β-Catenins.": "b-catenin", "Naïve  Bayes": "naive baye", "Analyses": "analysis", "Species": "species", None: None}
+    assert one(spark, S.greek_transliterated(F.lit("αβγδεζηθικλμνξοπρστυφχψω"))) == "abgdezethiklunxoprstuphchpso"
 
 
 def plain_ratio(a, b):
@@ -127,11 +143,39 @@ def test_greedy_groups_equal_one_pass(spark):
     assert got == want
 
 
+def test_keyword_groups_take_the_first_match(spark):
+    terms = sorted({t.strip().lower() for t in words(40, 11)} - {""})
+    reps, want = [], {}
+    for t in terms:
+        want[t] = next((r for r in reps if T.indel_ratio(t, r) >= 80), t)
+        if want[t] == t:
+            reps.append(t)
+    rows = spark.createDataFrame([(f"  {t.upper()} ",) for t in terms], "keyword string")
+    assert {r.term: r.representative for r in Z.keyword_groups(rows, 80.0).collect()} == want
+    # With a single round, the rest is settled within components.
+    pairs = Z.fuzzy_pairs(rows.select(F.lower(F.trim("keyword")).alias("a")), rows.select(F.lower(F.trim("keyword")).alias("b")), 80.0, same=True)
+    ranked = rows.select(F.lower(F.trim("keyword")).alias("term")).withColumn("o", F.col("term"))
+    assert {r.term: r.representative for r in Z._decided(ranked, pairs, True, 1).collect()} == want
+
+
+def test_alias_proposals_stay_within_a_type(spark):
+    rows = [("method", "Assay one"), ("method", "assay one"), ("method", "PCR method"), ("topic", "assay ones"), ("topic", "PCR methods"), ("topic", "PCR method")]
+    known = spark.createDataFrame([("method", "pcr METHOD")], "type string, surface string")
+    got = {(r.type, r.surface, r.representative) for r in Z.alias_proposals(spark.createDataFrame(rows, "type string, surface string"), known).collect()}
+    assert got == {("method", "assay one", "Assay one"), ("topic", "PCR methods", "PCR method")}
+
+
+def test_titles_keep_case_and_the_smallest_doi(spark):
+    titles = spark.createDataFrame([("10.1/b", "Alpha beta"), ("10.1/a", "beta Alpha"), ("10.1/c", "ALPHA BETA")], "doi string, title string")
+    got = Z.match_titles(spark.createDataFrame([("beta  Alpha",), (" ",)], "citation string"), titles).collect()
+    assert [(r.doi, r.ratio) for r in got] == [("10.1/a", 100.0)]
+
+
 def test_reference_resolution(spark):
     refs = spark.createDataFrame([("p", 1, "10.1/a", 2020, "Smith"), ("p", 2, "10.1/b", 2021, "Smyth"), ("p", 3, "10.1/c", 2021, "Jones")], "doi string, pos int, ref_doi string, year int, surname string")
-    cites = spark.createDataFrame([("p", "[2]"), ("p", "Smith et al. 2020"), ("p", "Jonas 2021"), ("p", "[9]"), ("p", "Zhou 1999")], "doi string, ref_id string")
+    cites = spark.createDataFrame([("p", "[2]"), ("p", "Smith et al. 2020"), ("p", "Jonas 2021"), ("p", "[9]"), ("p", "Zhou 1999"), ("p", "Smith & Wesson (2020)"), ("p", "(Jones and Smith, 2021a)")], "doi string, ref_id string")
     got = {r.ref_id: (r.target, r.resolution) for r in Z.resolve_references(cites, refs).collect()}
-    assert got == {"[2]": ("10.1/b", "numeric"), "Smith et al. 2020": ("10.1/a", "fuzzy"), "Jonas 2021": ("10.1/c", "fuzzy"), "[9]": (None, "unresolved"), "Zhou 1999": (None, "unresolved")}
+    assert got == {"[2]": ("10.1/b", "numeric"), "Smith et al. 2020": ("10.1/a", "fuzzy"), "Jonas 2021": ("10.1/c", "fuzzy"), "[9]": (None, "unresolved"), "Zhou 1999": (None, "unresolved"), "Smith & Wesson (2020)": ("10.1/a", "fuzzy"), "(Jones and Smith, 2021a)": ("10.1/c", "fuzzy")}
 
 
 def test_alias_resolution_order(spark):
@@ -215,6 +259,74 @@ def test_triples_are_judged(spark):
     assert got[1] == (None, "10.1/b") and [got[i][0] for i in (2, 3, 4, 5, 6)] == ["subject", "predicate", "not a doi", "confidence", "object"]
 
 
+def test_fixed_values(spark):
+    weight = lambda s, r=None: one(spark, S.feedback_weight(F.lit(s), F.lit(r).cast("int")))
+    assert [weight(s) for s in ("opened", "saved", "dismissed", "thumbs_up", "thumbs_down")] == [0.3, 1.0, -0.5, 0.8, -0.8] and weight("rated", 5) == 0.5 and weight("rated", 1) == -0.5
+    review = lambda t: one(spark, S.detect_review(F.array(F.lit("article")), F.lit(t), F.lit(None).cast("string"), F.lit("J")))
+    assert all(map(review, ("A Scoping Review of x", "narrative review", "Meta-Analysis", "a literature review", "systematic review"))) and not review("a review of things") and not review("review article")
+    health = lambda rows: R.graph_health(spark.createDataFrame(rows, "doi string, status string, graph_indexed boolean")).first().health
+    assert health([("a", "discovered", True)]) == "warn" and health([("a", "complete", False)]) == "warn" and health([("a", "complete", True), ("b", "complete", False)]) == "ok"
+    assert one(spark, S.excerpt(F.lit("  padded  "))) == "padded"
+    terms = spark.createDataFrame([("Deep Nets", 1, " "), ("Bio", 1, "")], "theme string, pos int, term string")
+    assert {r.query for r in R.query_terms(terms).collect()} == {'"deep nets"', "bio"}
+    items = spark.createDataFrame([("t", None, "E", "a", ""), ("t", None, None, "a", "n.d.")], "title string, author string, editor string, abstract string, date string")
+    assert [r.warnings for r in R.item_quality(items).collect()] == ["", "author,date"]
+
+
+def test_extraction_entities(spark):
+    papers = spark.createDataFrame([("p", '{"methods_summary": " Ion-exchange Assays ", "materials_systems": ["Resin A", "", "resin a"], "discovered_topics": ["PCR"], "novelty_statement": null, "x": "y"}', ["PCR"], ["Ann B"], "J. Tests")], "doi string, extraction string, keywords array<string>, authors array<string>, journal string")
+    aliases = spark.createDataFrame([("topic", "pcr", "polymerase chain reaction")], "type string, surface string, canonical string")
+    got = {(r.type, r.field, r.canonical_id, r.surface, r.span_start, r.span_end) for r in G.extract_entities(papers, aliases).collect()}
+    assert got == {
+        ("method", "methods_summary", "ion-exchange assay", "Ion-exchange Assays", 0, 19), ("material", "materials_systems", "resin a", "Resin A", None, None),
+        ("topic", "discovered_topics", "polymerase chain reaction", "PCR", None, None), ("keyword", None, "pcr", "PCR", None, None), ("author", None, "ann b", "Ann B", None, None), ("journal", None, "j. test", "J. Tests", None, None),
+    }
+
+
+def test_recogniser_and_model_mentions(spark):
+    spans = spark.createDataFrame([("p", "Cancers", "B-DISEASE", 3, 10, 0.9), ("p", "x", "GENE", 0, 1, 0.9), ("p", "HPLC", "lab_technique", 1, 5, 0.8)], "doi string, text string, label string, start int, end int, confidence double")
+    got = {(r.canonical_id, r.type, r.source, r.field, r.span_start) for r in G.ner_mentions(spans).collect()}
+    assert got == {("cancer", "topic", "biobert", None, 3), ("hplc", "method", "biobert", None, 1)}
+    answer = '{"new_entities": [{"surface": "Silica gels", "type": "material", "span_start": 4, "span_end": 15}, {"surface": "A", "type": "topic", "span_start": 4}, {"type": "topic"}], "validations": [{"surface": "Resins", "keep": true, "reason": "r"}, {"surface": "no", "keep": false}]}'
+    got = {(r.canonical_id, r.type, r.span_start, r.span_end, r.confidence) for r in G.model_mentions(spark.createDataFrame([("p", answer), ("q", "{bad")], "doi string, answer string")).collect()}
+    assert got == {("silica gel", "material", 4, 15, 0.85), ("a", "topic", None, None, 0.85), ("resin", "material", None, None, 0.85)}
+
+
+def test_candidate_signals_and_gate(spark):
+    mentions = spark.createDataFrame([("c", "e1"), ("l", "e1")], "doi string, canonical_id string")
+    cites = spark.createDataFrame([("c", "l"), ("l", "c")], "source string, target string")
+    relations = spark.createDataFrame([("c", "EXTENDS", "l"), ("c", "COMPARES_TO", "l"), ("c", "EXTENDS", "other")], "doi string, predicate string, target_id string")
+    authors = spark.createDataFrame([("c", "Ann B"), ("l", "ann b"), ("c", "Zed")], "doi string, author string")
+    doi = lambda x: spark.createDataFrame([(x,)], "doi string")
+    signals = G.candidate_signals(doi("c"), mentions, cites, doi("l"), authors, relations)
+    row = signals.first()
+    assert (row.n_shared_entities, row.n_cites_in, row.n_cites_out, row.n_extends, row.n_compares, row.n_shared_authors, row.shared_authors_sample) == (1, 1, 1, 1, 1, 1, ["Ann B"])
+    assert abs(V.graph_leg(signals).first().citations - 0.1) < 1e-12
+    topics = spark.createDataFrame([("e1",)], "canonical_id string")
+    assert {r.author for r in G.researcher_gate(authors, mentions, topics).collect()} == {"Ann B", "Zed", "ann b"}
+    assert {r.author for r in G.researcher_gate(authors, mentions, topics, 2).collect()} == set() and G.researcher_gate(authors, mentions, topics, 0).count() == 3
+
+
+def test_digest_lines(spark):
+    rows = [
+        ("10.1234/alpha", "Alpha: a study of monoclonal antibodies", ["Smith J", "Jones K", "Lee A", "Wu B"], 2024, 0.912, "Highly relevant to UFDF; novel CEX method."),
+        ("10.1234/beta", "Beta: cation exchange chromatography", ["Brown C"], 2023, 0.823, "Methods overlap with corpus; consider re-extracting."), ("10.1234/gamma", "Gamma: low-score irrelevant paper", [], 2022, 0.151, None),
+    ]
+    df = spark.createDataFrame(rows, "doi string, title string, authors array<string>, year int, score double, rationale string")
+    alpha = "- [**Alpha: a study of monoclonal antibodies**](https://doi.org/10.1234/alpha) · Smith J, Jones K, Lee A et al. (2024) · score: 0.912"
+    beta = "- [**Beta: cation exchange chromatography**](https://doi.org/10.1234/beta) · Brown C (2023) · score: 0.823"
+    want = [
+        "---", 'date: "2026-01-15"', "new_papers: 3", "top_similarity: 0.912", "---", "# Discovery Digest — 2026-01-15", "3 new results found across 4 databases.", "Similarity threshold: >0.50", "## Top Results",
+        alpha, "  > Highly relevant to UFDF; novel CEX method.", beta, "  > Methods overlap with corpus; consider re-extracting.", "", "## All New Results (3)", alpha, beta,
+        "- [**Gamma: low-score irrelevant paper**](https://doi.org/10.1234/gamma) ·  (2022) · score: 0.151", "---", "*Generated by bibliodyne · 2026-01-15*",
+    ]
+    got = K.digest(df, "2026-01-15", 0.5).collect()
+    assert [r.line for r in sorted(got, key=lambda r: r.line_no)] == want and sorted(r.line_no for r in got) == list(range(1, len(want) + 1))
+    assert [r.line for r in sorted(K.digest(df.limit(0), "2026-01-15").collect(), key=lambda r: r.line_no)].count("*No results.*") == 2
+    scored = df.withColumn("breakdown", F.create_map(F.lit("vector"), F.lit(0.8), F.lit("domain"), F.lit(0.112)))
+    assert "  | **total** | **0.912** |" in {r.line for r in K.digest(scored, "d", 0.5, decomposition=True).collect()}
+
+
 def test_null_traps(spark):
     papers = spark.createDataFrame([("a", None), ("b", "discovered"), ("c", "complete")], "doi string, status string")
     assert {r.doi for r in R.library(papers).collect()} == {"a", "c"}
@@ -238,6 +350,17 @@ def test_snapshot_pointer_and_poll(spark):
     df = spark.createDataFrame([(1, 5), (2, 7)], "id int, version int")
     assert I.poll(spark, df, root).count() == 0 and I.poll(spark, df, root).count() == 0
     assert [r.id for r in I.poll(spark, df.union(spark.createDataFrame([(3, 9)], "id int, version int")), root).collect()] == [3]
+    seen = []
+
+    def fails(rows):
+        seen.append(rows.count())
+        raise RuntimeError("not processed")
+
+    more = df.union(spark.createDataFrame([(3, 9), (4, 11)], "id int, version int"))
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            I.poll(spark, more, root, process=fails)
+    assert seen == [1, 1] and I.poll(spark, more, root, process=lambda rows: seen.append(rows.count())).count() == 1 and seen == [1, 1, 1]
     K.write_snapshot(df, root + "x")
     K.write_snapshot(df.limit(1), root + "x")
     assert K.read_snapshot(spark, root + "x").count() == 1
