@@ -91,7 +91,7 @@ def test_chunk_rules():
     long = "See Fig. 3 for it. " * 80
     assert all(text[e - 1] == "." for text in [long] for s, e, _ in T.chunks_of(long, 200)) and all(not long[s:e].startswith("3") for s, e, _ in T.chunks_of(long, 200))
     assert T.chunks_of("ab. cd", 4) == [(0, 3, ""), (4, 6, "")] and T.chunks_of("abcdefg", 3) == [(0, 3, ""), (3, 6, ""), (6, 7, "")]
-    assert T.chunks_of("# A\nxx\n# B\nyyy", 20) == [(4, 15, "# B")] and T.chunks_of("# A\nxx\n# B\nyyy", 8) == [(4, 6, "# A"), (11, 14, "# B")]
+    assert T.chunks_of("# A\nxx\n# B\nyyy", 20) == [(4, 14, "# B")] and T.chunks_of("# A\nxx\n# B\nyyy", 8) == [(4, 6, "# A"), (11, 14, "# B")]
     assert T.chunks_of("para one\n\npara two\n\npara three", 18) == [(0, 18, ""), (20, 30, "")]
 
 
