@@ -117,7 +117,7 @@ def mixed_units(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: in
     )
     goal_key = goal.withColumnRenamed("source", "goal_source")
     spread = grouped.join(goal_key, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    ratio = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
     spread = spread.withColumn("base", F.floor(ratio).cast("long")).withColumn("part", (ratio - F.floor(ratio)) * F.col("rows"))
     spread = spread.withColumn("whole", F.floor("part").cast("long")).withColumn("p", F.col("part") - F.floor("part"))
     own = ["size", "hash", "rows", "base", "whole"]
