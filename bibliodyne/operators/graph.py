@@ -24,8 +24,41 @@ def shared_entity_pairs(mentions: DataFrame, seeds: DataFrame | None = None, max
 
 
 def similar_papers(mentions: DataFrame, k: int = 10, seeds: DataFrame | None = None, max_degree: int | None = None) -> DataFrame:
-    order = W.partitionBy("doi").orderBy(F.desc("n_shared"), "other")
-    return shared_entity_pairs(mentions, seeds, max_degree).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """(doi, other, n_shared, rank): the k papers that share most entities with each paper, ties by doi.
+
+    Pairs are counted over numbers given in the order of the dois, and dealt by paper once: counting and
+    ranking need no other shuffle."""
+    from bibliodyne.session import materialize
+
+    names = mentions.select("doi").filter("doi IS NOT NULL").distinct().orderBy("doi").select("doi", F.monotonically_increasing_id().alias("no"))
+    names = materialize(names, "paper-numbers")
+    edges = mentions.select("doi", "canonical_id").distinct().join(names, "doi").select("no", "canonical_id")
+    if max_degree is not None:
+        small = edges.groupBy("canonical_id").agg(F.count("*").alias("n")).filter(F.col("n") <= max_degree)
+        edges = edges.join(small, "canonical_id", "left_semi")
+    left = edges if seeds is None else edges.join(names.join(seeds.select("doi"), "doi", "left_semi").select("no"), "no", "left_semi")
+    pairs = left.join(edges.withColumnRenamed("no", "other_no"), "canonical_id").filter("no <> other_no").select("no", "other_no").repartition("no")
+    counted = pairs.groupBy("no", "other_no").agg(F.count("*").alias("n_shared"))
+    order = W.partitionBy("no").orderBy(F.desc("n_shared"), "other_no")
+    best = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    others = names.select(F.col("doi").alias("other"), F.col("no").alias("other_no"))
+    return best.join(names, "no").join(others, "other_no").select("doi", "other", "n_shared", "rank")
+
+
+def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text, term) of all lower-case texts (column text) that contain a lower-case term (column term).
+
+    A term is looked up by the rarest of its grams of three characters (of its own length if it is shorter), in
+    an equality join, and verified. Blank terms are in no text."""
+    t = texts.select(F.lower("text").alias("text")).filter("text <> ''").distinct()
+    q = terms.select(F.lower("term").alias("term")).filter("trim(term) <> ''").distinct()
+    grams = lambda x, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, n)))
+    by_length = F.flatten(F.array(*[F.when(F.length("text") >= n, grams(F.col("text"), F.lit(n))).otherwise(F.expr("cast(array() as array<string>)")) for n in (1, 2, 3)]))
+    index = t.select("text", F.explode(by_length).alias("gram"))
+    rarity = index.groupBy("gram").agg(F.count("*").alias("n"))
+    own = q.select("term", F.explode(grams(F.col("term"), F.least(F.length("term"), F.lit(3)))).alias("gram"))
+    key = own.join(rarity, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return index.join(key, "gram").filter(F.contains("text", F.col("term"))).select("text", "term")
 
 
 def papers_by_entities(mentions: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -51,8 +84,9 @@ def co_occurrence(mentions: DataFrame, entities: DataFrame, terms: DataFrame, k:
     with most papers, then the smallest id), by distinct papers."""
     edges = mentions.select("doi", "canonical_id").distinct()
     degree = edges.groupBy("canonical_id").agg(F.count("*").alias("n"))
-    # A term table is a list of queries; it is matched by containment, so it is sent to all tasks.
-    hit = entities.join(terms, F.contains(F.lower("surface"), F.lower("term"))).join(degree, "canonical_id")
+    met = containing(entities.select(F.col("surface").alias("text")), terms).withColumnsRenamed({"text": "_text", "term": "_term"})
+    asked = terms.select("term").distinct().join(met, F.lower("term") == F.col("_term"))
+    hit = entities.join(asked, F.lower("surface") == F.col("_text")).join(degree, "canonical_id")
     seed = hit.groupBy("term").agg(F.max_by("canonical_id", F.struct("n", (-F.col("canonical_id")).alias("i"))).alias("canonical_id"))
     others = edges.withColumnRenamed("canonical_id", "other")
     pairs = edges.join(seed, "canonical_id").join(others, "doi").filter("canonical_id <> other")
@@ -133,14 +167,14 @@ def researcher_gate(authorship: DataFrame, mentions: DataFrame, topics: DataFram
 
 def trending(counts: DataFrame, entities: DataFrame, dismissed: DataFrame, topics: DataFrame, least_new: int = 5, least_growth: float = 0.3) -> DataFrame:
     """Rising entities: enough recent mentions and growth, not dismissed, with a flag whether a topic's
-    text contains them. ``dismissed`` has concept_text, ``topics`` (a short list) topic."""
+    text contains them. ``dismissed`` has concept_text, ``topics`` topic."""
     from bibliodyne.functions.scalar import growth_rate
 
     rising = counts.withColumn("growth", growth_rate(F.col("n_new"), F.col("n_prev"))).filter((F.col("n_new") >= least_new) & (F.col("growth") >= least_growth))
     named = rising.join(entities.select("canonical_id", "type", "surface"), "canonical_id")
     live = named.join(dismissed.select(F.lower("concept_text").alias("_d")).distinct(), F.lower("surface") == F.col("_d"), "left_anti")
-    surfaces = live.select(F.lower("surface").alias("_s")).distinct()
-    known = surfaces.join(topics.select(F.lower("topic").alias("_t")).distinct(), F.contains("_t", "_s"), "left_semi").withColumn("in_topics", F.lit(True))
+    met = containing(topics.select(F.col("topic").alias("text")), live.select(F.col("surface").alias("term")))
+    known = met.select(F.col("term").alias("_s")).distinct().withColumn("in_topics", F.lit(True))
     return live.join(known, F.lower("surface") == F.col("_s"), "left").drop("_s").fillna(False, ["in_topics"])
 
 

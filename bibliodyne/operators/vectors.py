@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TINY = 1e-9
+#: Centroids that are sent to every task at most.
+MOST_CENTROIDS = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -118,7 +120,9 @@ def domain_leg(candidates: DataFrame, vector: DataFrame, weight: float) -> DataF
 
 def assign_nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """(doi, cluster_id, distance) of the nearest centroid by cosine distance. Centroids (id, centroid)
-    are a closed short list and go to every task."""
+    are a short list and go to every task; more than ``MOST_CENTROIDS`` are an error."""
+    if centroids.limit(MOST_CENTROIDS + 1).count() > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
     short = [(r.id, [float(x) for x in r.centroid]) for r in centroids.select("id", "centroid").orderBy("id").collect()]
     if not short:
         return vectors.select("doi", F.lit(None).cast("long").alias("cluster_id"), F.lit(None).cast("double").alias("distance")).limit(0)

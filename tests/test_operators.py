@@ -245,6 +245,22 @@ def test_graph_fixture(spark):
     assert {(r.doi, r.n_shared) for r in capped.collect()} == {("a", 1), ("b", 1)}
 
 
+def test_containment_equals_all_pairs(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abAB c", k=rng.randint(0, 12))) for _ in range(120)]
+    terms = ["".join(rng.choices("abC", k=rng.randint(0, 4))) for _ in range(60)]
+    got = {tuple(r) for r in G.containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(t.lower(), q.lower()) for t in texts for q in terms if q.strip() and q.lower() in t.lower()}
+
+
+def test_similar_papers_equal_counted_pairs(spark):
+    rng = random.Random(7)
+    mentions = spark.createDataFrame([(f"p{rng.randint(0, 60)}", rng.randint(0, 15)) for _ in range(400)], "doi string, canonical_id int")
+    pairs = sorted(((r.doi, -r.n_shared, r.other) for r in G.shared_entity_pairs(mentions, max_degree=20).collect()))
+    want = {(d, o, -n, i + 1) for d in {p[0] for p in pairs} for i, (_, n, o) in enumerate([p for p in pairs if p[0] == d][:10])}
+    assert {tuple(r) for r in G.similar_papers(mentions, max_degree=20).collect()} == want
+
+
 def test_trending_rules(spark):
     counts = spark.createDataFrame([(1, 20, 5), (2, 5, 0), (3, 4, 0), (4, 10, 9), (5, 9, 1)], "canonical_id int, n_new long, n_prev long")
     entities = spark.createDataFrame([(i, "topic", f"Term {i}") for i in range(1, 6)], "canonical_id int, type string, surface string")
