@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliodyne.session import shared_path
+from bibliodyne.llm.hot import join_class
+from bibliodyne.session import materialize, shared_path
 
 # The seekable format's magic numbers and record layout.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -173,8 +174,8 @@ def write_archive(pages: DataFrame, path: str | None = None, bundle_bytes: int =
     path = path or shared_path(spark, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
     named = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha1"))
-    firsts = named.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    typed = named.join(firsts, "sha1").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    firsts = materialize(named.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")), "warc-firsts")
+    typed = join_class(named, firsts, "sha1", "page_id").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first_id")))
     columns = [x.split(" ")[0] for x in INDEX.split(", ")]
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
