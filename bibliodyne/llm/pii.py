@@ -176,7 +176,8 @@ def disclosing_spans(docs: DataFrame, small: DataFrame, support: int = SUPPORT,
     # Terms that some entity's bound admits.
     common = F.broadcast(frequency.filter(F.col("n_t") > max(top, n / COMMON)).select("term"))
     admitted = frequency.join(common, "term", "left_anti").filter(F.col("n_t") <= top)
-    texts = _held_texts(docs).join(held.select("key").distinct(), "key", "left_semi")
+    # Texts that hold an entity seen often enough, equal ones once; read twice below.
+    texts = materialize(_held_texts(docs).join(held.select("key").distinct(), "key", "left_semi"), "pii-texts")
     clear = materialize(_clear_occurrences(texts, admitted), "pii-clear")
     pairs = clear.select("key", "term", "n_t").distinct().join(held, "key").filter(F.col("n_t") <= F.col("most"))
     pairs = materialize(pairs, "pii-pairs")
