@@ -36,6 +36,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     path = shared_path(spark, "edges")
     edges.write.parquet(path)
+    if spark.read.schema(edges.schema).parquet(path).isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     digest = None
     for _ in range(max_rounds):
         current = spark.read.parquet(path)
