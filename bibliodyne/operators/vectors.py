@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -335,7 +336,9 @@ def kmeans_auto(vectors: DataFrame, k_min: int = 5, k_max: int = 15, inits: int
         return None
     best = None
     for k in range(k_min, min(k_max, n - 1) + 1):
-        models = [KMeans(k=k, seed=seed + i, maxIter=20).fit(rows) for i in range(inits)]
+        # Starts are independent and short of work each, so some run side by side.
+        with ThreadPoolExecutor(4) as pool:
+            models = list(pool.map(lambda i, k=k: KMeans(k=k, seed=seed + i, maxIter=20).fit(rows), range(inits)))
         model = min(models, key=lambda m: m.summary.trainingCost)
         quality = ClusteringEvaluator().evaluate(model.transform(rows))
         if best is None or quality > best[0]:

@@ -61,7 +61,7 @@ left join (select doi, count(distinct author) as n, array_to_string(list_sort(li
     lambda t: signals(t).withColumn("shared_authors_sample", F.array_join(F.transform("shared_authors_sample", lambda a: a.cast("string")), ",")))
 query("gr_researcher_gate", """select author from (select supplier as author, count(distinct canonical_id) as n from mentions where canonical_id in (select canonical_id from entities where type = 'promo') group by 1) where n >= 1""")(
     lambda t: G.researcher_gate(t.mentions.select(F.concat_ws("/", "doi", "supplier").alias("doi"), F.col("supplier").alias("author")), t.mentions.select(F.concat_ws("/", "doi", "supplier").alias("doi"), "canonical_id"), t.entities.filter("type = 'promo'")))
-query("gr_trending", f"""with c as ({TRENDING}) select c.canonical_id, n_new, n_prev, n_new / greatest(n_prev, 1)::double - 1 as growth, type, surface, lower(surface) in (select distinct lower(surface) from entities where canonical_id % 3 = 0) as in_topics
+query("gr_trending", f"""with c as ({TRENDING}) select c.canonical_id, n_new, n_prev, n_new / greatest(n_prev, 1)::double - 1 as growth, type, surface, exists (select 1 from entities t where t.canonical_id % 3 = 0 and contains(lower(t.surface), lower(e.surface))) as in_topics
 from c join entities e on c.canonical_id = e.canonical_id where n_new >= 2 and n_new / greatest(n_prev, 1)::double - 1 >= 0.3 and lower(surface) not in (select lower(surface) from entities where canonical_id % 7 = 3 and brand = 'Brand#1')""")(
     lambda t: G.trending(trending_counts(t.mentions, "2000-06-01", top=None), t.entities, t.entities.filter("canonical_id % 7 = 3 and brand = 'Brand#1'").select(F.col("surface").alias("concept_text")), t.entities.filter("canonical_id % 3 = 0").select(F.col("surface").alias("topic")), 2))
 query("gr_graph_rebuild", f"""with {LIB} select 'graph_papers' as name, doi as a, '' as b, '' as c from lib union all select distinct 'mentions', doi, cast(canonical_id as varchar), field from mentions where doi in (select doi from lib)
