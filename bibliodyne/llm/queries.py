@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The vocabulary file, found where the query runs; executors have it at the same place."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -117,3 +117,35 @@ c as (select a, min(b) as component_id from reach group by a),
 n as (select a, count(*) as n from links group by a)
 select vec_id, coalesce(n.n, 0) as n_links, component_id, vec_id = component_id as kept
 from embeddings left join n on n.a = vec_id join c on c.a = vec_id"""
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.token_counts import token_table
+
+    return token_table(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.gnat import negatives_table
+
+    return negatives_table(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op12_hard_negatives"] = """
+with v as (select row_number() over () as rid, vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label, list_transform(cast(embedding as double[]), lambda x: floor(256 * x)) as x
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select * from v where vec_id % 100 = 0),
+s as (select a.rid, a.vec_id as anchor_id, a.label as anchor_label, v.rid as other, v.vec_id, v.label, cast(list_dot_product(a.x, v.x) as bigint) as score from a join v on a.rid <> v.rid),
+p as (select * from (select *, row_number() over (partition by rid order by score desc, vec_id, other) as place from s where label = anchor_label) where place <= 5),
+n as (select p.rid, p.place, p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.rid, p.place order by s.score desc, s.vec_id, s.other) as rank
+  from p join s on s.rid = p.rid and s.label <> s.anchor_label and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibliodyne.llm.periodic_runs import runs_table
+
+    return runs_table(table(spark, sf_dir, "documents"))
