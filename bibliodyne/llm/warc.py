@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -48,6 +48,16 @@ BUNDLE_BYTES = 128 << 20
 INDEX = "page_id long, bundle string, frame int, frame_offset long, frame_bytes long, offset long, length long, record_type string"
 
 
+TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of a table whose schema is written as "name type, ..."."""
+    fields = [x.split(" ") for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, TYPES[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
 @dataclass
 class Archive:
     """Where bundles lie, and the index table over their records."""
@@ -173,32 +183,31 @@ def write_archive(pages: DataFrame, path: str | None = None, bundle_bytes: int =
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     path = path or shared_path(spark, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
-    named = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha1"))
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("sha1"))
     firsts = materialize(named.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")), "warc-firsts")
     typed = join_class(named, firsts, "sha1", "page_id").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first_id")))
-    columns = [x.split(" ")[0] for x in INDEX.split(", ")]
+    read = ["page_id", "url", "html", "sha1", "first_id", "revisit"]
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Ids stay Arrow integers throughout: pandas would make them doubles where one is null.
         task = TaskContext.get()
         bundle, count = None, 0
-        optional = lambda x: None if pd.isna(x) else int(x)
         for batch in batches:
             rows: list[tuple] = []
-            for page_id, url, html, sha1, first_id, revisit in batch[["page_id", "url", "html", "sha1", "first_id", "revisit"]].itertuples(index=False):
+            for at in range(len(batch)):
+                page_id, url, html, sha1, first_id, revisit = (batch.column(c)[at].as_py() for c in read)
                 if bundle is None:
                     bundle = _Bundle(path, f"bundle-{task.partitionId():06d}-{task.taskAttemptId()}-{count:04d}.warc.zst", date)
                     count += 1
-                data = record_bytes(optional(page_id), url, html, sha1, optional(first_id), bool(revisit), date)
-                rows += bundle.add(data, optional(page_id), "revisit" if revisit else "response")
+                rows += bundle.add(record_bytes(page_id, url, html, sha1, first_id, revisit, date), page_id, "revisit" if revisit else "response")
                 if bundle.written >= bundle_bytes:
                     rows += bundle.close()
                     bundle = None
-            if rows:
-                yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
-        if bundle is not None and (rows := bundle.close()):
-            yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
+            yield _batch(rows, INDEX)
+        if bundle is not None:
+            yield _batch(bundle.close(), INDEX)
 
-    typed.mapInPandas(write, INDEX).write.parquet(f"{path}/index")
+    typed.select(*read).mapInArrow(write, INDEX).write.parquet(f"{path}/index")
     return Archive(spark, path)
 
 
@@ -218,12 +227,12 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 def read_archive(archive: Archive, payloads: bool = True) -> DataFrame:
     """All records, read bundle by bundle through the seek tables; digests are verified."""
-    path, columns = archive.path, [x.split(" ")[0] for x in RECORD.split(", ")]
+    path = archive.path
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name in batch.bundle:
+            for name in batch.column("bundle").to_pylist():
                 with fs.open_input_file(f"{root}/{name}") as f:
                     for offset, packed, plain in read_seek_table(f):
                         data, at, rows = read_frame(f, offset, packed), 0, []
@@ -235,29 +244,29 @@ def read_archive(archive: Archive, payloads: bool = True) -> DataFrame:
                                 continue
                             row = _row(head, block)
                             rows.append(row if payloads else (*row[:-1], None))
-                        yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield _batch(rows, RECORD)
 
     bundles = archive.index.select("bundle").distinct()
     n = max(1, archive.spark.sparkContext.defaultParallelism)
-    return bundles.repartition(4 * n, "bundle").mapInPandas(read, RECORD)
+    return bundles.repartition(4 * n, "bundle").mapInArrow(read, RECORD)
 
 
 def fetch(archive: Archive, ids: DataFrame) -> DataFrame:
     """The records of ``ids`` (column page_id): index lookup, then one seek per frame that is needed."""
-    path, columns = archive.path, [x.split(" ")[0] for x in RECORD.split(", ")]
-    wanted = archive.index.join(ids.select("page_id").distinct(), "page_id")
+    path = archive.path
+    asked = ids.select(F.col("page_id").alias("asked")).distinct()  # a null id asks for the records without one
+    wanted = archive.index.join(asked, F.col("page_id").eqNullSafe(F.col("asked")), "left_semi")
     frames = wanted.groupBy("bundle", "frame_offset", "frame_bytes").agg(F.collect_list("offset").alias("offsets"))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, offset, packed, offsets in batch.itertuples(index=False):
-                with fs.open_input_file(f"{root}/{name}") as f:
-                    data = read_frame(f, int(offset), int(packed))
-                rows = [_row(*parse_record(data, int(at))[:2]) for at in sorted(offsets)]
-                yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+            for frame in batch.to_pylist():
+                with fs.open_input_file(f"{root}/{frame['bundle']}") as f:
+                    data = read_frame(f, frame["frame_offset"], frame["frame_bytes"])
+                yield _batch([_row(*parse_record(data, at)[:2]) for at in sorted(frame["offsets"])], RECORD)
 
-    return frames.mapInPandas(read, RECORD)
+    return frames.mapInArrow(read, RECORD)
 
 
 def warc_table(pages: DataFrame) -> DataFrame:
