@@ -17,7 +17,8 @@ components are whole while no group's pairs are written out. That work still gro
 the dense nodes of a label (not with the label's other rows).
 
 Vectors that are null, zero, not finite or of an uncommon length, and rows without label or id, link
-with nothing: no links, a component of their own. Rows that repeat an id repeat its vector. An empty table
+with nothing: no links, a component of their own. Rows that repeat an id are rows of their own, in
+one label or several: each has its links, and an id's rows may lie in several components. An empty table
 gives no rows; columns other than vec_id, label and embedding are not read.
 """
 
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibliodyne.llm.components import components
+from bibliodyne.llm.hot import join_class
 from bibliodyne.llm.vectors import dots, matrix, usable
 from bibliodyne.session import materialize
 
@@ -253,15 +255,19 @@ def _dense(nodes: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
 
 
 def links_table(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, label, embedding)."""
+    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, label, embedding).
+
+    Nodes are the classes of equal label and vector, under numbers of their own; an id is looked at for output only. A row
+    links with every other row of its label that is near enough, whatever their ids."""
     own = ["vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")]
     kept = F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("e"))
+    base = materialize(base.withColumn("row", F.monotonically_increasing_id()), "nn-rows")
     takes = usable(base.filter("vec_id IS NOT NULL AND label IS NOT NULL"), "e")
-    classes = takes.groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("c"))
+    classes = takes.groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count("*").alias("c"))
 
-    nodes = materialize(classes.select("id", "label", "c", F.col("e").alias("v")), "nn-nodes")
-    lists = neighbour_lists(nodes, threshold)
+    nodes = materialize(classes.select("label", "c", F.col("e").alias("v"), "least").withColumn("id", F.monotonically_increasing_id()), "nn-nodes")
+    lists = neighbour_lists(nodes.select("id", "label", "c", "v"), threshold)
     dense = materialize(lists.filter(_saturated(threshold)).select("id"), "nn-dense-ids")
     exact = materialize(_dense(nodes, dense, threshold), "nn-dense")
     listed = lists.select("id", F.explode(F.filter("nb", lambda e: _linked(e["s"], threshold))).alias("e")).select(F.col("id").alias("a"), F.col("e.id").alias("b"))
@@ -272,10 +278,13 @@ def links_table(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sparse = told.join(nodes.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.sum("c").alias("n"))
     counts = sparse.union(exact.filter("kind = 0").groupBy("a").agg(F.sum("n").alias("n"))).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(pairs.filter("a > b").union(exact.filter("kind = 2").select("a", "b"))).withColumnRenamed("node", "id")
-    placed = nodes.select("id", "c").join(counts, "id", "left").join(roots, "id", "left")
-    placed = placed.select("id", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    in_class = takes.select("vec_id", "label", "e").join(classes.select("label", "e", "id"), ["label", "e"]).select("vec_id", "id")
-    found = in_class.join(placed, "id").select("vec_id", "n_links", "component_id")
-    ids = found.select(F.col("vec_id").alias("taken")).distinct()
-    alone = base.join(ids, F.col("vec_id") == F.col("taken"), "left_anti").select(*own)
-    return found.unionByName(alone).select("vec_id", "n_links", "component_id", kept)
+    placed = nodes.join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = materialize(placed.select("label", "v", "least", "root", "c", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links")), "nn-placed")
+    first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # One value stands for a class, so that a large one meets its rows without a hot task.
+    key = F.struct("label", F.col("v").alias("e"))
+    found = materialize(placed.join(first, "root").select(key.alias("key"), "n_links", "component_id", F.col("c").alias("copies")), "nn-found")
+    met = join_class(takes.select("vec_id", "row", F.struct("label", "e").alias("key")), found, "key", "row")
+    taken = met.select("row", "vec_id", "n_links", "component_id")
+    alone = base.join(taken.select("row"), "row", "left_anti").select(*own)
+    return taken.drop("row").unionByName(alone).select("vec_id", "n_links", "component_id", kept)
