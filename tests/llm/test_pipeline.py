@@ -53,7 +53,7 @@ def test_run_repeats_and_queries_are_registered(spark):
     key = lambda rows: sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in rows)
     assert key(corpus_pipeline.run(spark, SF).collect()) == key(corpus_pipeline.run(spark, SF).collect())
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     import __spark_entry__
 
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and corpus_pipeline.ORACLE_SQL is None
