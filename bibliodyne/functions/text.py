@@ -165,7 +165,8 @@ def singular(word: str) -> str:
 
 def _finished(surface: str) -> str:
     plain = unicodedata.normalize("NFKD", surface).encode("ascii", "ignore").decode()
-    words = re.sub(r"\s+", " ", plain).strip().rstrip(".,;:!?").split(" ")
+    # Only what ends the string is stripped: a stop before a blank stays.
+    words = re.sub(r"\s+", " ", re.sub(r"[.,;:!?]+$", "", plain)).strip().split(" ")
     return " ".join([*words[:-1], singular(words[-1])]).strip()
 
 

@@ -1,13 +1,17 @@
-"""Fuzzy matching: Indel similarity with a native prefilter, blocked joins and greedy grouping.
+"""Fuzzy matching: Indel similarity with a native prefilter, keyed joins and greedy grouping.
 
 Levenshtein distance is at most the Indel distance, so ratio >= r implies lev <= (1 - r / 100) * (|a| + |b|)
 and a length ratio of at least r / (200 - r): both are native tests that lose nothing. Candidates come
-from shared rare q-grams (prefix filtering): a pair of enough similarity shares many bigrams, so it shares
-one of the first few in a global order of rarity. The exact ratio runs on the survivors only.
+from shared keys of rare tokens (``fuzzy_pairs``); the exact ratio runs on the survivors only.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 
 from bibliodyne.functions.scalar import strip
 from bibliodyne.functions.text import fuzzy_ratio
+from bibliodyne.operators.skew import join_keys
 from bibliodyne.session import materialize
 
 
@@ -26,132 +31,217 @@ def may_match(a: Column, b: Column, least: float) -> Column:
     return near & (F.levenshtein(a, b) <= limit)
 
 
-def _bigrams(x: Column) -> Column:
-    """Bigrams numbered by repetition, so that a multiset becomes a set; a string of one letter gives itself."""
+#: Lengths of one class lie within this factor; keys of a string for partners of one class, at most.
+CLASS, MOST_KEYS = 1.25, 600
+#: Strings under one key that meet in one task.
+MEETING = 2048
+
+
+def _numbered(tokens: Column) -> Column:
+    """Tokens numbered by repetition, so that a multiset becomes a set."""
+    return F.transform(tokens, lambda g, i: F.concat(g, F.size(F.filter(F.slice(tokens, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+
+
+def _tokens(x: Column) -> Column:
+    """The characters and bigrams of a string, as a set each: "1" or "2", the token and its number."""
     n = F.length(x)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
-    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+    letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("1"), F.substring(x, i, F.lit(1))))
+    grams = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.lit("2"), F.substring(x, i, F.lit(2))))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.when(n > 0, F.concat(_numbered(letters), _numbered(grams))).otherwise(F.array(F.lit("1")))
+
+
+def _class_of(n: int) -> int:
+    return math.floor(math.log(max(n, 1), CLASS) + 1e-9)
+
+
+@lru_cache(maxsize=4096)
+def _lengths(group: int) -> tuple[int, ...]:
+    """The lengths of a class."""
+    low = max(1, math.floor(CLASS**group) - 1)
+    return tuple(n for n in range(low, math.ceil(CLASS ** (group + 1)) + 2) if _class_of(n) == group)
+
+
+def _common(a: int, b: int, least: float) -> int:
+    """Characters that strings of these lengths have in common, in order, at a ratio of ``least``; more than the shorter one
+    has if they cannot reach it."""
+    return math.ceil(least * (a + b) / 200 - 1e-9)
+
+
+def _shared(kind: int, a: int, b: int, least: float) -> int:
+    """Tokens that such strings share at least. Of the common subsequence's neighbours each character left out on either
+    side parts one pair at most; what stays together is a bigram of both."""
+    both = _common(a, b, least)
+    return both if kind == 1 else 3 * both - a - b - 1
+
+
+@lru_cache(maxsize=65536)
+def _partners(n: int, group: int, least: float) -> tuple[int, ...]:
+    """Lengths of a class that a string of length ``n`` can be similar to."""
+    return tuple(m for m in _lengths(group) if _common(n, m, least) <= min(n, m))
+
+
+@lru_cache(maxsize=4096)
+def _plan(first: int, second: int, least: float) -> tuple[int, int] | None:
+    """Which tokens (1 characters, 2 bigrams), and how many of them together, are keys between two classes: the most that
+    keep to ``MOST_KEYS``; bigrams if those are shared at all. None if no lengths fit."""
+    met = [(n, m) for n in _lengths(first) for m in _partners(n, second, least)]
+    if not met:
+        return None
+    for kind in (2, 1):
+        some = min(_shared(kind, n, m, least) for n, m in met)
+        if some < 1:
+            continue
+        fits = [size for size in (3, 2, 1) if size <= some and all(math.comb(max(x, y) - kind + 1 - some + size, size) <= MOST_KEYS for x, y in met)]
+        return kind, max(fits, default=1)
+    raise AssertionError("similar strings share a character")
+
+
+def _signature(tokens: list[str], least: float) -> list[int]:
+    """Keys of a string from its tokens, the rarest first. Similar strings share one: if two sets share t tokens, then
+    their rarest ones, all but the last t - k of each, share k."""
+    letters, grams = [t for t in tokens if t[0] == "1"], [t for t in tokens if t[0] == "2"]
+    n = len(letters)
+    if tokens == ["1"]:
+        return [0]
+    own, keys = _class_of(n), set()
+    for group in range(_class_of(max(1, _common(n, 0, least) // 2)), _class_of(math.ceil(n * (200 - least) / least)) + 1):
+        pair = min(own, group), max(own, group)
+        lengths, plan = _partners(n, group, least), _plan(*pair, least)
+        if not lengths or plan is None:
+            continue
+        kind, size = plan
+        held = letters if kind == 1 else grams
+        some = min(_shared(kind, n, m, least) for m in lengths)
+        for combined in combinations(held[: len(held) - some + size], size):
+            keys.add(hash_key(f"{pair}|" + "|".join(sorted(combined))))
+    return list(keys)
+
+
+def hash_key(text: str) -> int:
+    """A number in a long for a key; unlike keys that meet in one number only lead to one more comparison."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float, same: bool = False) -> DataFrame:
-    """(a, b, ratio) of all pairs of distinct strings (columns a, b) with ratio >= ``least``.
-
-    Deleting or inserting a character spoils two bigrams at most, and a pair has at most
-    (1 - r / 100) * (|a| + |b|) of these. So a string's prefix of 2 * edits + 1 rarest bigrams meets its
-    partner's. Strings that have no more bigrams than that (all of them below a ratio of about 82) are
-    compared with every string of like length instead, which is as exact but grows with the square of
-    the distinct strings. With ``same`` the sides are one table and each pair comes once, a < b.
-    """
-    def prefixed(x: str) -> DataFrame:
-        rows = (left if x == "a" else right).select(x).filter(f"{x} IS NOT NULL").distinct()
-        return rows.select(x, F.explode(_bigrams(F.col(x))).alias("g"))
-
-    ga, gb = prefixed("a"), prefixed("b")
-    rarity = ga.select("g").unionByName(gb.select("g")).groupBy("g").agg(F.count("*").alias("n"))
-
-    def keys(grams: DataFrame, x: str) -> DataFrame:
-        order = W.partitionBy(x).orderBy("n", "g")
-        ranked = grams.join(rarity, "g").withColumn("r", F.row_number().over(order)).withColumn("total", F.count("*").over(W.partitionBy(x)))
-        # The longest partner has |x| * (200 - r) / r characters.
-        edits = F.floor((100 - least) * 2 * F.length(x) / least + 1e-9)
-        kept = ranked.filter(F.col("r") <= 2 * edits + 1).select(x, "g")
-        short = ranked.filter(F.col("total") <= 2 * edits).select(x, F.lit("").alias("g")).distinct()
-        return kept.unionByName(short)
-
-    ka, kb = materialize(keys(ga, "a"), "fuzzy-a"), materialize(keys(gb, "b"), "fuzzy-b")
-    met = ka.join(kb, "g").select("a", "b")
-    met = met.filter("a < b") if same else met
-    # A string in the short class must meet all others of like length, whose keys may lack the class.
-    short = ka.filter("g = ''").select("a").distinct()
-    others = (left if same else right).select((F.col("a") if same else F.col("b")).alias("b")).filter("b IS NOT NULL").distinct()
-    length = lambda c: F.explode(F.sequence(F.floor(F.length(c) * least / (200 - least)).cast("int"), F.ceil(F.length(c) * (200 - least) / least).cast("int")))
-    by_length = short.withColumn("l", length("a")).join(others.withColumn("l", F.length("b")), "l").select("a", "b")
-    if same:
-        by_length = by_length.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    else:
-        short_b = kb.filter("g = ''").select("b").distinct()
-        by_length = by_length.unionByName(short_b.withColumn("l", length("b")).join(left.select("a").filter("a IS NOT NULL").distinct().withColumn("l", F.length("a")), "l").select("a", "b"))
-    pairs = met.unionByName(by_length).distinct().filter(may_match(F.col("a"), F.col("b"), least))
+    """(a, b, ratio) of all pairs of strings (columns a, b) with ratio >= ``least``, each once. With ``same`` the sides are
+    one table and each pair of different strings comes once, a < b.
+
+    Strings meet under keys of one to three of their rarest bigrams (or characters, where similar strings need not share a
+    bigram: short ones, and low ratios). Between strings of two length classes a ratio bounds the tokens they
+    share from below, so a string's few tokens beyond that many cannot be all that they share. Keys that many
+    strings have are cut into blocks of ``MEETING``."""
+    @F.pandas_udf("array<long>")
+    def keyed(columns: pd.Series) -> pd.Series:
+        return pd.Series([_signature(list(t), least) for t in columns], dtype=object)
+
+    def side(x: str) -> DataFrame:
+        return (left if x == "a" else right).select(F.col(x).alias("x")).filter("x IS NOT NULL").distinct()
+
+    strings = side("a") if same else side("a").union(side("b")).distinct()
+    tokens = strings.select("x", F.explode(_tokens(F.col("x"))).alias("g"))
+    rarity = materialize(tokens.groupBy("g").agg(F.count("*").alias("n")), "fuzzy-tokens")
+    ordered = join_keys(tokens, rarity, "g", "x", "n").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("t"))
+    keys = materialize(ordered.select("x", F.explode(keyed(F.transform("t", lambda t: t["g"]))).alias("key")), "fuzzy-keys")
+    mine = {x: keys if same else keys.join(side(x), "x", "left_semi") for x in ("a", "b")}
+    sizes = mine["b"].groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEETING).alias("cuts"))
+    sizes = materialize(sizes.filter("n > 1") if same else sizes.join(mine["a"].select("key").distinct(), "key", "left_semi"), "fuzzy-sizes")
+    ka = join_keys(mine["a"], sizes, "key", "x", "n").select(F.col("x").alias("a"), "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+    kb = join_keys(mine["b"], sizes, "key", "x", "n").select(F.col("x").alias("b"), F.col("key").alias("key_b"), F.pmod(F.xxhash64("x"), F.col("cuts")).alias("cut_b"))
+    near = F.least(F.length("a"), F.length("b")) * 200 >= least * (F.length("a") + F.length("b")) - 1e-6
+    met = ka.join(kb, (F.col("key") == F.col("key_b")) & (F.col("cut") == F.col("cut_b")) & near & ((F.col("a") < F.col("b")) if same else F.lit(True)))
+    pairs = met.select("a", "b").distinct().filter(may_match(F.col("a"), F.col("b"), least))
     return pairs.withColumn("ratio", fuzzy_ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= least)
 
 
-def components_of(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, root): the least string of each connected component of (a, b)."""
-    edges = materialize(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "fuzzy-edges")
-    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "fuzzy-labels")
-    for _ in range(max_rounds):
-        spread = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        hopped = labels.join(spread, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = materialize(hopped.join(jump, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "fuzzy-labels")
-        changed = new.join(labels.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
-def _settled(links: DataFrame, decided: DataFrame, first: bool) -> DataFrame:
-    """One round of ``greedy_groups``: the newly decided (term, representative) of links (term, earlier, ratio, o)
-    whose term is open, given what is ``decided``."""
-    state = decided.select(F.col("term").alias("earlier"), (F.col("representative") == F.col("term")).alias("rep"))
-    seen = links.join(state, "earlier", "left")
-    order = F.struct("o", "earlier")
-    best = F.min_by(F.struct("earlier", "rep"), order) if first else F.max_by(F.struct("earlier", "rep"), F.struct("ratio", (-F.col("n")).alias("m")))
-    told = seen.filter("rep IS NULL OR rep").groupBy("term").agg(best.alias("b"), F.count_if(F.col("rep").isNull()).alias("open"))
-    # A term waits while what it would join, or anything that could still be better, is open.
-    ready = told.filter(F.col("b.rep") if first else F.col("open") == 0).select("term", F.col("b.earlier").alias("representative"))
-    alone = links.select("term").distinct().join(told.select("term"), "term", "left_anti").select("term", F.col("term").alias("representative"))
-    return ready.unionByName(alone)
-
-
-def greedy_groups(terms: DataFrame, least: float, order: str | None = None, first: bool = False, rounds: int = 8) -> DataFrame:
+#: Links of a block of terms that is settled in one task, on average.
+BLOCK_LINKS = 100_000
+
+
+def representatives(ranked: DataFrame, links: DataFrame, rounds: int = 24, worth: float = 0.05) -> DataFrame:
+    """(term, rep): the first maximal independent set in order. A term (term, o) is a representative if none of the
+    earlier terms that it is linked to (``links``: term, earlier) is one.
+
+    A round decides all terms at once that have a representative before them, or nothing undecided; links to what
+    the round before has decided then go. When a round settles less than ``worth`` of the open terms (long
+    chains of names), or after ``rounds`` of them, the open terms are cut in order into blocks of about
+    ``BLOCK_LINKS`` links, and these are settled one after the other: a block's terms depend on its own and on earlier
+    blocks only. No task gets more than a block."""
+    known = materialize(ranked.select("term").join(links.select("term").distinct(), "term", "left_anti").select("term", F.lit(True).alias("rep")), "fuzzy-known")
+    done, rest = [known], materialize(links.select("term", "earlier"), "fuzzy-open")
+    for _ in range(rounds):
+        seen = rest.join(known.select(F.col("term").alias("earlier"), "rep"), "earlier", "left")
+        told = seen.groupBy("term").agg(F.coalesce(F.bool_or("rep"), F.lit(False)).alias("covered"), F.count_if(F.col("rep").isNull()).alias("open"))
+        new = materialize(told.filter("covered OR open = 0").select("term", (~F.col("covered")).alias("rep")), "fuzzy-known")
+        rest = materialize(rest.join(known.select(F.col("term").alias("earlier")), "earlier", "left_anti").join(new.select("term"), "term", "left_anti"), "fuzzy-open")
+        done.append(new)
+        known = new
+        left = rest.agg(F.count_distinct("term")).first()[0]
+        if not left:
+            return _all(done)
+        if new.count() < worth * left:
+            break
+    return _all(done).unionByName(_swept(ranked, rest, known)) if not rest.isEmpty() else _all(done)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _swept(ranked: DataFrame, rest: DataFrame, known: DataFrame) -> DataFrame:
+    """(term, rep) of the open terms of ``rest``, block by block in order."""
+    open_terms = materialize(ranked.join(rest.select("term").distinct(), "term", "left_semi"), "fuzzy-open-terms")
+    blocks = max(1, math.ceil(rest.count() / BLOCK_LINKS))
+    placed = open_terms.repartitionByRange(blocks, "o", "term").select("term", "o", F.spark_partition_id().alias("block"))
+    placed = materialize(placed, "fuzzy-blocks")
+    of = placed.select(F.col("term").alias("earlier"), F.col("block").alias("earlier_block"))
+    cut = materialize(rest.join(placed, "term").join(of, "earlier", "left"), "fuzzy-cut")
+    found = known.filter("rep").select("term", "rep")
+    out = []
+
+    def settle(b: pd.DataFrame) -> pd.DataFrame:
+        rep: dict[str, bool] = {}
+        covered = set(b.term[b.covered])
+        inner = b[b.inner]
+        before = inner.groupby("term").earlier.agg(list).to_dict()
+        for term in b[["o", "term"]].drop_duplicates("term").sort_values(["o", "term"]).term:
+            rep[term] = term not in covered and not any(rep[e] for e in before.get(term, ()))
+        return pd.DataFrame({"term": rep.keys(), "rep": rep.values()}).astype({"rep": bool})
+
+    for block in range(blocks):
+        mine = cut.filter(F.col("block") == block)
+        state = found.select(F.col("term").alias("earlier"), "rep")
+        seen = mine.join(state, "earlier", "left").select("term", "o", "earlier", F.coalesce("rep", F.lit(False)).alias("covered"), (F.col("earlier_block") == block).alias("inner"))
+        new = materialize(seen.fillna(False, ["inner"]).groupBy(F.lit(block).alias("block")).applyInPandas(settle, "term string, rep boolean"), "fuzzy-swept")
+        out.append(new)
+        found = found.unionByName(new.filter("rep"))
+    return _all(out)
+
+
+def greedy_groups(terms: DataFrame, least: float, order: str | None = None, first: bool = False) -> DataFrame:
     """(term, representative): in order, a term joins the best representative of ratio >= ``least`` (the
     earliest among equals; with ``first`` simply the earliest) or becomes one itself.
 
-    A term can only join what it is linked to, so all is decided from the links: in each round the terms whose
-    earlier linked terms are decided are settled, all over the table at once. What ``rounds`` rounds leave open
-    (long chains of names) is settled link by link within its components, in time linear in their links.
-    ``order`` names a column; by default terms sort by themselves.
-    """
+    ``order`` names a column; by default terms sort by themselves."""
     ranked = materialize(terms.groupBy("term").agg(F.min(order or "term").alias("o")), "fuzzy-terms")
-    return _decided(ranked, fuzzy_pairs(ranked.select(F.col("term").alias("a")), ranked.select(F.col("term").alias("b")), least, same=True), first, rounds)
+    return _decided(ranked, fuzzy_pairs(ranked.select(F.col("term").alias("a")), ranked.select(F.col("term").alias("b")), least, same=True), first)
 
 
-def _decided(ranked: DataFrame, pairs: DataFrame, first: bool = False, rounds: int = 8) -> DataFrame:
-    """The groups of ``greedy_groups`` from terms (term, o) and their linked pairs (a, b, ratio)."""
+def _decided(ranked: DataFrame, pairs: DataFrame, first: bool = False, rounds: int = 24) -> DataFrame:
+    """The groups of ``greedy_groups`` from terms (term, o) and their linked pairs (a, b, ratio): who is a
+    representative is settled first, and then each other term takes its best one."""
     of = lambda c: ranked.select(F.col("term").alias(c), F.col("o").alias(f"o_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     a_first = F.struct("o_a", "a") < F.struct("o_b", "b")
     pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
-    links = both.select(pick("b", "a").alias("term"), pick("a", "b").alias("earlier"), "ratio", pick("o_a", "o_b").alias("o"))
-    place = F.row_number().over(W.partitionBy("term").orderBy("o", "earlier"))
-    links = materialize(links.withColumn("n", place), "fuzzy-links")
-    later = links.select("term").distinct()
-    decided = materialize(ranked.join(later, "term", "left_anti").select("term", F.col("term").alias("representative")), "fuzzy-decided")
-    rest = links
-    for _ in range(rounds):
-        new = materialize(_settled(rest, decided, first), "fuzzy-settled")
-        decided = decided.unionByName(new)
-        rest = materialize(rest.join(new.select("term"), "term", "left_anti"), "fuzzy-open")
-        if rest.isEmpty():
-            return decided
-
-    def settle(b: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, str] = {t: t for t in b.term.unique()}
-        for term, rows in sorted(((t, r) for t, r in b.groupby("term")), key=lambda x: (x[1].own.iloc[0], x[0])):
-            reps = [(r.ratio, -r.n, r.earlier) for r in rows.itertuples() if (found.get(r.earlier, r.rep) == r.earlier)]
-            if reps:
-                found[term] = (max(reps, key=lambda x: x[1]) if first else max(reps))[2]
-        return pd.DataFrame({"term": found.keys(), "representative": found.values()})
-
-    known = decided.select(F.col("term").alias("earlier"), F.col("representative").alias("rep"))
-    open_links = rest.join(known, "earlier", "left").join(ranked.select("term", F.col("o").alias("own")), "term")
-    inner = open_links.filter("rep IS NULL").select(F.col("term").alias("a"), F.col("earlier").alias("b"))
-    roots = components_of(inner)
-    placed = open_links.join(roots, F.col("term") == F.col("node"), "left").select(F.coalesce("root", "term").alias("root"), "term", "earlier", "ratio", "n", "rep", "own")
-    kind = "term string, representative string"
-    return decided.unionByName(placed.groupBy("root").applyInPandas(settle, kind))
+    links = materialize(both.select(pick("b", "a").alias("term"), pick("a", "b").alias("earlier"), "ratio", pick("o_a", "o_b").alias("o")), "fuzzy-links")
+    state = materialize(representatives(ranked, links, rounds), "fuzzy-representatives")
+    reps = state.filter("rep").select(F.col("term").alias("earlier"))
+    order = F.struct("o", "earlier") if first else F.struct((-F.col("ratio")).alias("r"), "o", "earlier")
+    joined = links.join(reps, "earlier", "left_semi").groupBy("term").agg(F.min(order).alias("b")).select("term", F.col("b.earlier").alias("representative"))
+    return reps.select(F.col("earlier").alias("term"), F.col("earlier").alias("representative")).unionByName(joined)
 
 
 def keyword_groups(keywords: DataFrame, least: float = 88.0) -> DataFrame:
@@ -194,6 +284,55 @@ def realias(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
     return mentions.select("type", "surface", F.col("canonical_id").alias("old")).distinct().join(now, ["type", "surface"]).filter("old <> new").select("old", "new").distinct()
 
 
+def final_names(renames: DataFrame) -> DataFrame:
+    """(old, new) with every name's last one: old to new to newest. The names of a cycle, and all that lead into it,
+    take its least; of several new names of one the least counts.
+
+    Pointer jumping: each round doubles the steps that a name has gone and keeps the least name it has passed, so
+    a chain of n renames takes log n rounds."""
+    table = renames.filter("old IS NOT NULL AND new IS NOT NULL AND old <> new").groupBy("old").agg(F.min("new").alias("at")).withColumn("least", F.col("at"))
+    table = materialize(table, "renames")
+    n, steps = table.count(), 1
+    while steps < n:
+        ahead = table.select(F.col("old").alias("_at"), F.col("at").alias("_next"), F.col("least").alias("_least"))
+        table = materialize(table.join(ahead, F.col("at") == F.col("_at"), "left").select("old", F.coalesce("_next", "at").alias("at"), F.least("least", F.coalesce("_least", "least")).alias("least")), "renames")
+        steps *= 2
+        if table.join(table.select(F.col("old").alias("at")), "at", "left_semi").isEmpty():
+            break
+    # Who is still on the way has reached a cycle, and what its place there has passed is the whole cycle.
+    there = table.select(F.col("old").alias("_at"), F.col("least").alias("_cycle"))
+    return table.join(there, F.col("at") == F.col("_at"), "left").select("old", F.coalesce("_cycle", "at").alias("new")).filter("old <> new")
+
+
+def fold_renamed(entities: DataFrame, mentions: DataFrame, relations: DataFrame, renames: DataFrame, order: Column | None = None) -> dict[str, DataFrame]:
+    """The graph after renames (old, new): entities (canonical_id, ...) that now share an id are one, the row that had
+    it before or else the least; mentions and relations to entities are rewritten, and of edges that fall
+    together the first stays (by ``order``, then by all columns). No edge is left on a dead id."""
+    final = materialize(final_names(renames), "final-names")
+
+    def moved(rows: DataFrame, column: str, which: Column | None = None) -> DataFrame:
+        to = final.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+        on = F.col(column).eqNullSafe(F.col("_old")) if which is None else (F.col(column) == F.col("_old")) & which
+        return rows.join(to, on, "left").withColumn("_was", F.col(column)).withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
+
+    def once(rows: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
+        kept = [c for c in rows.columns if c != "_was"]
+        rest = [F.col(c) for c in kept if c not in keys]
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(*by, *rest))
+        return rows.withColumn("_place", place).filter("_place = 1").select(*kept)
+
+    own = [F.col("_was") != F.col("canonical_id")]
+    given = [] if order is None else [order]
+    edge = [c for c in ("doi", "canonical_id", "field", "source") if c in mentions.columns]
+    typed = [c for c in ("source_doi", "doi", "predicate", "target_id", "target_kind", "prompt_version") if c in relations.columns]
+    kind = F.col("target_kind") == "Entity" if "target_kind" in relations.columns else None
+    return {
+        "entities": once(moved(entities, "canonical_id"), ["canonical_id"], own),
+        "mentions": once(moved(mentions, "canonical_id"), edge, given),
+        "relations": once(moved(relations, "target_id", kind), typed, given),
+    }
+
+
 def alias_proposals(surfaces: DataFrame, known: DataFrame, least: float = 80.0) -> DataFrame:
     """(type, surface, representative) of groups of two or more surfaces of a type (type, surface) that no alias of
     the type covers, regardless of case."""

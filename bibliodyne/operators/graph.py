@@ -1,8 +1,8 @@
 """Entity and citation graph jobs over mention and relation tables; traversals are equality joins.
 
-Entities that stand in very many papers make shared-entity joins grow with the square of their degree:
-``max_degree`` leaves such hubs out of the pairing (off by default, since it changes results), and joins
-are left to adaptive execution, which splits skewed keys.
+Entities that stand in very many papers make a shared-entity join grow with the square of their degree.
+``similar_papers`` avoids that join; ``shared_entity_pairs``, which lists all pairs, takes ``max_degree`` to leave such
+hubs out (off by default, since it changes results).
 """
 
 from __future__ import annotations
@@ -23,26 +23,71 @@ def shared_entity_pairs(mentions: DataFrame, seeds: DataFrame | None = None, max
     return left.join(right, "canonical_id").filter("doi <> other").groupBy("doi", "other").agg(F.count("*").alias("n_shared"))
 
 
+#: Entities of a paper beyond which its pairs are not listed: such a paper meets others by single entities.
+WIDE = 64
+#: Papers of an entity pair that meet in one task.
+MEETING = 2048
+
+
 def similar_papers(mentions: DataFrame, k: int = 10, seeds: DataFrame | None = None, max_degree: int | None = None) -> DataFrame:
     """(doi, other, n_shared, rank): the k papers that share most entities with each paper, ties by doi.
 
-    Pairs are counted over numbers given in the order of the dois, and dealt by paper once: counting and
-    ranking need no other shuffle."""
+    A paper that shares one entity only can be among the first k through the first k + 1 papers (by doi) of that entity:
+    whoever comes later in the list has k rivals with smaller dois and as much in common. So each entity gives
+    that short list to its papers, and nothing more. Papers with two or more entities in common meet under a pair of
+    entities, c * (c - 1) / 2 times if they share c, which gives c; pairs that one paper alone has are dropped before. So
+    an entity in half of all papers costs a row per paper; papers of over ``WIDE`` entities meet others entity by entity.
+    Hot entities and pairs are dealt over tasks."""
+    from bibliodyne.operators.skew import join_keys
     from bibliodyne.session import materialize
 
-    names = mentions.select("doi").filter("doi IS NOT NULL").distinct().orderBy("doi").select("doi", F.monotonically_increasing_id().alias("no"))
-    names = materialize(names, "paper-numbers")
-    edges = mentions.select("doi", "canonical_id").distinct().join(names, "doi").select("no", "canonical_id")
+    edges = mentions.select("doi", F.col("canonical_id").alias("e")).filter("doi IS NOT NULL AND e IS NOT NULL").distinct()
     if max_degree is not None:
-        small = edges.groupBy("canonical_id").agg(F.count("*").alias("n")).filter(F.col("n") <= max_degree)
-        edges = edges.join(small, "canonical_id", "left_semi")
-    left = edges if seeds is None else edges.join(names.join(seeds.select("doi"), "doi", "left_semi").select("no"), "no", "left_semi")
-    pairs = left.join(edges.withColumnRenamed("no", "other_no"), "canonical_id").filter("no <> other_no").select("no", "other_no").repartition("no")
-    counted = pairs.groupBy("no", "other_no").agg(F.count("*").alias("n_shared"))
-    order = W.partitionBy("no").orderBy(F.desc("n_shared"), "other_no")
-    best = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    others = names.select(F.col("doi").alias("other"), F.col("no").alias("other_no"))
-    return best.join(names, "no").join(others, "other_no").select("doi", "other", "n_shared", "rank")
+        small = edges.groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") <= max_degree)
+        edges = edges.join(small, "e", "left_semi")
+    edges = materialize(edges, "paper-entities")
+    asked = edges if seeds is None else edges.join(seeds.select("doi"), "doi", "left_semi")
+
+    # One entity in common: the first papers of each entity.
+    place = F.row_number().over(W.partitionBy("e").orderBy("doi"))
+    first = edges.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("e").agg(F.collect_list("doi").alias("first"))
+    lists = materialize(first.join(edges.groupBy("e").agg(F.count("*").alias("n")), "e").filter("n > 1"), "entity-lists")
+    met = join_keys(asked, lists, "e", "doi", "n").groupBy("doi").agg(F.array_distinct(F.flatten(F.collect_list("first"))).alias("others"))
+    filler = F.slice(F.array_sort(F.filter("others", lambda o: o != F.col("doi"))), 1, k)
+    singles = met.select("doi", F.explode(filler).alias("other"), F.lit(1).cast("long").alias("n_shared"))
+
+    # Two or more: papers under each pair of entities.
+    papers = edges.groupBy("doi").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    narrow = papers.filter(F.size("es") <= WIDE)
+    pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    under = narrow.filter(F.size("es") > 1).select("doi", F.explode(pairs).alias("p"))
+    shared = materialize(under.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cuts", F.ceil(F.col("n") / MEETING)), "entity-pairs")
+    kept = materialize(join_keys(under, shared, "p", "doi", "n").select("doi", "p", "cuts"), "paper-pairs")
+    left = kept if seeds is None else kept.join(seeds.select("doi"), "doi", "left_semi")
+    left = left.select("doi", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+    right = kept.select(F.col("doi").alias("other"), F.col("p").alias("q"), F.pmod(F.xxhash64("doi"), F.col("cuts")).alias("cut_q"))
+    times = left.join(right, (F.col("p") == F.col("q")) & (F.col("cut") == F.col("cut_q")) & (F.col("doi") != F.col("other"))).groupBy("doi", "other").agg(F.count("*").alias("t"))
+    more = times.select("doi", "other", F.round((1 + F.sqrt(1 + 8 * F.col("t"))) / 2).cast("long").alias("n_shared"))
+
+    # Papers of very many entities, with everybody.
+    wide = papers.filter(F.size("es") > WIDE).select("doi", F.explode("es").alias("e"))
+    wide = materialize(wide, "wide-papers")
+    if not wide.isEmpty():
+        lists_of = wide.groupBy("e").agg(F.count("*").alias("w"))
+        sized = materialize(edges.groupBy("e").agg(F.count("*").alias("n")).join(lists_of, "e").select("e", "n", F.ceil(F.col("n") / MEETING).alias("cuts")), "wide-entities")
+        wide_side = join_keys(wide, sized, "e", "doi", "n").select(F.col("doi").alias("wide"), F.col("e").alias("we"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("wcut"))
+        rest = join_keys(edges, sized, "e", "doi", "n").select("doi", "e", F.pmod(F.xxhash64("doi"), F.col("cuts")).alias("cut"))
+        both = rest.join(wide_side, (F.col("e") == F.col("we")) & (F.col("cut") == F.col("wcut")) & (F.col("doi") != F.col("wide"))).groupBy("wide", "doi").agg(F.count("*").alias("n_shared"))
+        both = materialize(both, "wide-pairs")
+        narrow_side = both.join(wide.select("doi").distinct(), "doi", "left_anti").select("doi", F.col("wide").alias("other"), "n_shared")
+        met_wide = both.select(F.col("wide").alias("doi"), F.col("doi").alias("other"), "n_shared").unionByName(narrow_side)
+        more = more.unionByName(met_wide if seeds is None else met_wide.join(seeds.select("doi"), "doi", "left_semi"))
+
+    # A paper's own best k suffice of each kind.
+    order = W.partitionBy("doi").orderBy(F.desc("n_shared"), "other")
+    best = more.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+    counted = best.unionByName(singles).groupBy("doi", "other").agg(F.max("n_shared").alias("n_shared"))
+    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doi", "other", "n_shared", "rank")
 
 
 def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -155,13 +200,23 @@ def candidate_signals(candidates: DataFrame, mentions: DataFrame, cites: DataFra
     return joined.fillna(0).withColumn("shared_authors_sample", F.coalesce("shared_authors_sample", none))
 
 
-def researcher_gate(authorship: DataFrame, mentions: DataFrame, topics: DataFrame, least: int = 1) -> DataFrame:
-    """Authors of whom at least ``least`` entities are topic entities; all authors if no topics are given or
-    none are asked for."""
+def researcher_gate(authorship: DataFrame, mentions: DataFrame, topics: DataFrame, least: int = 1, researchers: DataFrame | None = None) -> DataFrame:
+    """Researchers (column author) of whose papers' entities at least ``least`` are topic entities; all if no topics are
+    given or none are asked for.
+
+    A paper is a researcher's if one of its author texts (``authorship``: doi, author) contains the name as
+    it is written. Names are those of ``researchers``, by default the author texts themselves."""
+    names = (authorship if researchers is None else researchers).select("author").filter("author IS NOT NULL").distinct()
     if least <= 0 or topics.isEmpty():
-        return authorship.select("author").distinct()
+        return names
     edges = mentions.select("doi", "canonical_id").distinct().join(topics.select("canonical_id"), "canonical_id", "left_semi")
-    counted = authorship.select("author", "doi").distinct().join(edges, "doi").groupBy("author").agg(F.countDistinct("canonical_id").alias("n"))
+    # Which texts hold which names is asked of distinct texts only; papers come in by their text.
+    texts = authorship.select(F.col("author").cast("string").alias("text")).distinct()
+    met = containing(texts, names.select(F.col("author").cast("string").alias("term"))).withColumnsRenamed({"text": "_text", "term": "_term"})
+    cased = texts.join(met, F.lower("text") == F.col("_text")).join(names.select("author"), F.lower(F.col("author").cast("string")) == F.col("_term"))
+    holds = cased.filter(F.contains("text", F.col("author").cast("string"))).select("text", "author").distinct()
+    by_text = authorship.select(F.col("author").cast("string").alias("text"), "doi").distinct().join(edges, "doi").select("text", "canonical_id").distinct()
+    counted = holds.join(by_text, "text").groupBy("author").agg(F.countDistinct("canonical_id").alias("n"))
     return counted.filter(F.col("n") >= least).select("author")
 
 

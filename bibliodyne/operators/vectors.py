@@ -33,13 +33,37 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(good, dot(a, b) / (na * nb)).otherwise(0.0)
 
 
-def _units(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows, and which rows are usable (same length as the first, finite, not tiny)."""
-    size = max((len(x) for x in v if x is not None), default=1)
+def units(v: pd.Series, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows, and which rows are usable (of the longest length or of ``size``, finite, not tiny)."""
+    size = size or max((len(x) for x in v if x is not None), default=1)
     x = np.stack([np.asarray(r, dtype=np.float64) if r is not None and len(r) == size else np.full(size, np.nan) for r in v]) if len(v) else np.zeros((0, size))
     n = np.sqrt((x * x).sum(axis=1))
     good = np.isfinite(n) & (n >= TINY)
-    return x / np.where(good, n, 1.0)[:, None], good
+    return np.where(good[:, None], x, 0.0) / np.where(good, n, 1.0)[:, None], good
+
+
+def best_of(rows: pd.DataFrame, asked: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
+    """(query, doi, score) of the k nearest ``rows`` (l_doi, l_v) of each of ``asked`` (q_doi, q_v).
+
+    A matrix product finds whoever may be among them; row products, which do not depend on the block a pair
+    stands in, give the scores."""
+    out: list[tuple] = []
+    if len(rows) and len(asked):
+        x, xg = units(rows.l_v)
+        q, qg = units(asked.q_v)
+        ids, names = rows.l_doi.to_numpy(), asked.q_doi.to_numpy()
+        if x.shape[1] == q.shape[1]:
+            near = np.where(xg[None], q @ x.T, -np.inf)
+            edges = -np.partition(-near, min(k, len(ids) - 1), axis=1)[:, min(k, len(ids) - 1)]
+            for i in np.nonzero(qg)[0]:
+                # Rounding to 4 decimals may tie what the product tells apart.
+                some = np.nonzero(np.isfinite(near[i]) & (near[i] >= edges[i] - 2e-4))[0]
+                if exclude_self:
+                    some = some[ids[some] != names[i]]
+                s = np.round((x[some] * q[i]).sum(axis=1), 4)
+                order = np.lexsort((ids[some].astype(str), -s))[:k]
+                out += [(names[i], ids[some[j]], float(s[j])) for j in order]
+    return pd.DataFrame(out, columns=["query", "doi", "score"])
 
 
 def knn(queries: DataFrame, library: DataFrame, k: int, block_rows: int = 8192, block_queries: int = 1024, exclude_self: bool = True) -> DataFrame:
@@ -53,26 +77,7 @@ def knn(queries: DataFrame, library: DataFrame, k: int, block_rows: int = 8192,
     left = library.select(F.col("doi").alias("l_doi"), F.col("embedding").alias("l_v"), F.pmod(F.xxhash64("doi"), F.lit(rb)).cast("int").alias("l_r"), spread(qb).alias("l_q"))
     right = queries.select(F.col("doi").alias("q_doi"), F.col("embedding").alias("q_v"), F.pmod(F.xxhash64(F.lit(1), "doi"), F.lit(qb)).cast("int").alias("q_q"), spread(rb).alias("q_r"))
 
-    def best(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(rows) and len(asked):
-            x, xg = _units(rows.l_v)
-            q, qg = _units(asked.q_v)
-            ids, names = rows.l_doi.to_numpy(), asked.q_doi.to_numpy()
-            for i in np.nonzero(qg)[0]:
-                # Row products, so that a pair's score does not depend on the block it stands in.
-                s = np.round((x * q[i]).sum(axis=1), 4)
-                s[~xg] = -np.inf
-                if exclude_self:
-                    s[ids == names[i]] = -np.inf
-                some = np.argpartition(-s, min(k, len(s)) - 1)[:k] if len(s) > k else np.arange(len(s))
-                edge = s[some].min()
-                some = np.nonzero((s >= edge) & np.isfinite(s))[0]
-                some = some[np.lexsort((ids[some].astype(str), -s[some]))][:k]
-                out += [(names[i], ids[j], float(s[j])) for j in some]
-        return pd.DataFrame(out, columns=["query", "doi", "score"])
-
-    near = left.groupBy("l_r", "l_q").cogroup(right.groupBy("q_r", "q_q")).applyInPandas(best, "query string, doi string, score double")
+    near = left.groupBy("l_r", "l_q").cogroup(right.groupBy("q_r", "q_q")).applyInPandas(lambda rows, some: best_of(rows, some, k, exclude_self), "query string, doi string, score double")
     order = W.partitionBy("query").orderBy(F.desc("score"), "doi")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -128,11 +133,11 @@ def assign_nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     if not short:
         return vectors.select("doi", F.lit(None).cast("long").alias("cluster_id"), F.lit(None).cast("double").alias("distance")).limit(0)
     ids = np.array([i for i, _ in short])
-    c, _ = _units(pd.Series([v for _, v in short]))
+    c, _ = units(pd.Series([v for _, v in short]))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, good = _units(b.embedding)
+            x, good = units(b.embedding)
             s = np.stack([(x * v).sum(axis=1) for v in c], axis=1)
             j = s.argmax(axis=1)
             yield pd.DataFrame({"doi": b.doi, "cluster_id": ids[j], "distance": 1 - s[np.arange(len(j)), j]})[good]

@@ -50,6 +50,14 @@ def signals(t):
     return G.candidate_signals(t.papers.filter("status = 'discovered'"), t.mentions, cites(t.papers), library(t.papers), t.mentions.select("doi", F.col("supplier").alias("author")), edges)
 
 
+def _gated(t):
+    """Names of researchers against author texts; a paper is one supplier's, so that texts are per paper."""
+    paper = F.concat_ws("/", "doi", "supplier").alias("doi")
+    text = F.concat(F.lit("Author "), "supplier", F.lit(" and Author "), F.col("supplier") % 7).alias("author")
+    names = t.mentions.select(F.concat(F.lit("Author "), F.col("supplier") % 100).alias("author"))
+    return G.researcher_gate(t.mentions.select(paper, text), t.mentions.select(paper, "canonical_id"), t.entities.filter("type = 'promo'"), 3, names)
+
+
 LIB = "lib as (select doi from papers where status is null or status <> 'discovered'), cand as (select doi from papers where status = 'discovered')"
 query("gr_candidate_signals", f"""with {EDGES}, {LIB}, a as (select doi, supplier as author from mentions)
 select c.doi, coalesce(s.n, 0) as n_shared_entities, coalesce(o.n, 0) as n_cites_out, coalesce(i.n, 0) as n_cites_in, coalesce(r.e, 0) as n_extends, coalesce(r.k, 0) as n_compares, coalesce(x.n, 0) as n_shared_authors, coalesce(x.some, '') as shared_authors_sample from cand c
@@ -59,8 +67,10 @@ left join (select target, count(*) as n from cites where source in (select doi f
 left join (select source, count(*) filter (length(source) % 2 = 0) as e, count(*) filter (length(source) % 2 = 1) as k from cites where target in (select doi from lib) group by 1) r on c.doi = r.source
 left join (select doi, count(distinct author) as n, array_to_string(list_sort(list(distinct author))[1:3], ',') as some from a where author in (select author from a where doi in (select doi from lib)) group by doi) x on c.doi = x.doi""")(
     lambda t: signals(t).withColumn("shared_authors_sample", F.array_join(F.transform("shared_authors_sample", lambda a: a.cast("string")), ",")))
-query("gr_researcher_gate", """select author from (select supplier as author, count(distinct canonical_id) as n from mentions where canonical_id in (select canonical_id from entities where type = 'promo') group by 1) where n >= 1""")(
-    lambda t: G.researcher_gate(t.mentions.select(F.concat_ws("/", "doi", "supplier").alias("doi"), F.col("supplier").alias("author")), t.mentions.select(F.concat_ws("/", "doi", "supplier").alias("doi"), "canonical_id"), t.entities.filter("type = 'promo'")))
+# "Author 1" is contained in the texts of authors 1, 10, 11 and so on.
+query("gr_researcher_gate", """with texts as (select distinct m.doi, m.canonical_id, concat('Author ', supplier, ' and Author ', supplier % 7) as text from mentions m join entities e on m.canonical_id = e.canonical_id where e.type = 'promo'),
+names as (select distinct concat('Author ', supplier % 100) as author from mentions)
+select author from (select author, count(distinct canonical_id) as n from names join (select distinct text, canonical_id from texts) on contains(text, author) group by 1) where n >= 3""")(lambda t: _gated(t))
 query("gr_trending", f"""with c as ({TRENDING}) select c.canonical_id, n_new, n_prev, n_new / greatest(n_prev, 1)::double - 1 as growth, type, surface, exists (select 1 from entities t where t.canonical_id % 3 = 0 and contains(lower(t.surface), lower(e.surface))) as in_topics
 from c join entities e on c.canonical_id = e.canonical_id where n_new >= 2 and n_new / greatest(n_prev, 1)::double - 1 >= 0.3 and lower(surface) not in (select lower(surface) from entities where canonical_id % 7 = 3 and brand = 'Brand#1')""")(
     lambda t: G.trending(trending_counts(t.mentions, "2000-06-01", top=None), t.entities, t.entities.filter("canonical_id % 7 = 3 and brand = 'Brand#1'").select(F.col("surface").alias("concept_text")), t.entities.filter("canonical_id % 3 = 0").select(F.col("surface").alias("topic")), 2))

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bibliodyne.plans.registry import query
+from bibliodyne.plans.registry import ORACLE_SQL, query
 from bibliodyne.plans.standins import cites
 from bibliodyne.plans.vectors import vecs
+from bibliodyne.session import shared_path
 from bibliodyne.sources import readers as R
 from bibliodyne.sources import sinks as K
+from bibliodyne.sources.buckets import BucketTable
 
-query("src_candidates", "select concat('10.1/', o_orderkey) as doi, concat('T', o_custkey) as title, 'A|B' as authors, cast(year(o_orderdate) as int) as year, 'db' as dbs from orders")(
-    lambda t: R.candidates(t.papers.selectExpr("doi", "concat(' T', author, ' ') as title", "array('A ', '', 'B') as authors", "concat(year, '-01-02') as publication_date", "journal", "cast(null as string) as abstract", "cast(null as array<string>) as keywords", "array('db') as databases"))
-    .select("doi", "title", F.array_join("authors", "|").alias("authors"), "year", F.array_join("source_databases", "|").alias("dbs")))
+query("src_candidates", "select case when o_orderkey % 5 = 0 then '' else concat('10.1/', o_orderkey) end as doi, concat('T', o_custkey) as title, 'A|B' as authors, cast(year(o_orderdate) as int) as year, case when o_orderkey % 4 = 0 then '' else concat('Journal ', o_custkey % 40) end as journal, 'db' as dbs from orders")(
+    lambda t: R.candidates(t.papers.selectExpr("case key % 5 when 0 then null when 1 then concat('https://doi.org/', doi, '/') when 2 then concat(' DOI: ', doi) else doi end as doi", "concat(' T', author, ' ') as title", "array('A ', '', 'B') as authors", "concat(year, '-01-02') as publication_date", "case when key % 4 <> 0 then journal end as journal", "cast(null as string) as abstract", "cast(null as array<string>) as keywords", "array('db') as databases"))
+    .select("doi", "title", F.array_join("authors", "|").alias("authors"), "year", "journal", F.array_join("source_databases", "|").alias("dbs")))
 query("src_openalex_works", "select doi, title, concat('Author ', author) as authors, year, journal, 'deep models' as abstract from papers")(
     lambda t: R.openalex_works(t.papers.select(F.from_json(F.to_json(F.struct(
         F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), "title", F.col("year").alias("publication_year"), F.array(F.struct(F.struct(F.concat(F.lit("Author "), "author").alias("display_name")).alias("author")), F.struct(F.struct(F.lit("").alias("display_name")).alias("author"))).alias("authorships"),
         F.struct(F.struct(F.col("journal").alias("display_name")).alias("source")).alias("primary_location"), F.create_map(F.lit("models"), F.array(F.lit(1)), F.lit("deep"), F.array(F.lit(0))).alias("abstract_inverted_index"))), R.WORK).alias("w")).select("w.*"))
     .select("doi", "title", F.array_join("authors", "|").alias("authors"), "year", "journal", "abstract"))
-query("src_s2_results", "select case when key % 2 = 0 then doi else '' end as doi, title, case when key % 3 = 0 then null else journal end as journal, 'Physics' as fields, key % 10 / 10.0 as relevance from papers")(
-    lambda t: R.s2_results(t.papers.selectExpr("title", "year", "case when key % 2 = 0 then map('DOI', upper(doi)) else map('ArXiv', 'x') end as externalIds", "case when key % 3 = 0 then ' ' else journal end as venue", "cast(null as string) as abstract", "array('Physics') as fieldsOfStudy", "array(struct('n' as name)) as authors", "key % 10 / 10.0D as score"))
-    .select("doi", "title", "journal", F.array_join("keywords", "|").alias("fields"), "relevance"))
+query("src_s2_results", "select case when key % 2 = 0 then doi else '' end as doi, title, 'n|m' as authors, case when key % 3 = 0 then '' else journal end as journal, 'Physics' as fields, key % 10 / 10.0 as relevance from papers")(
+    lambda t: R.s2_results(t.papers.selectExpr("title", "year", "case when key % 2 = 0 then map('DOI', upper(doi)) else map('ArXiv', 'x') end as externalIds", "case when key % 3 <> 0 then journal end as venue", "cast(null as string) as abstract", "array('Physics') as fieldsOfStudy", "array(struct('n' as name), struct('' as name), struct(cast(null as string) as name), struct('m' as name)) as authors", "key % 10 / 10.0D as score"))
+    .select("doi", "title", F.array_join("authors", "|").alias("authors"), "journal", F.array_join("keywords", "|").alias("fields"), "relevance"))
 query("src_vocab_tables", "select type, surface, min(canonical_id) as canonical from (select coalesce(type, 'none') as type, surface, canonical_id, canonical_id % 5 = 0 as dep, min(canonical_id % 5 = 0) over (partition by coalesce(type, 'none'), surface) as best from entities) where dep = best group by 1, 2")(
     lambda t: R.vocabulary(t.entities.select(F.coalesce("type", F.lit("none")).alias("type"), F.upper("surface").alias("surface"), F.col("canonical_id").alias("canonical"), (F.col("canonical_id") % 5 == 0).alias("deprecated"))).drop("deprecated"))
 query("src_vectors", "select concat('10.1/', vec_id) as doi, label from embeddings where vec_id in (select o_orderkey from orders where o_orderstatus = 'F')")(
@@ -41,6 +43,32 @@ query("sink_vectors_upsert", "select vec_id, label, false as fresh from embeddin
     lambda t: K.replace_by_key(vecs(t).select("vec_id", "label", F.lit(False).alias("fresh")), vecs(t).filter("vec_id % 6 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(True).alias("fresh")), "vec_id"))
 query("sink_edges_idempotent", "select doi, canonical_id, field, min(source) as source from mentions where canonical_id in (select canonical_id from entities where type is not null) and (doi, canonical_id, field) not in (select doi, canonical_id, field from mentions where line = 1) group by 1, 2, 3")(
     lambda t: K.insert_absent(t.mentions.filter("line = 1"), t.mentions.select("doi", "canonical_id", "field", "source"), ["doi", "canonical_id", "field"], [F.col("source")], [(t.entities.filter("type is not null"), "canonical_id", "canonical_id")]))
+
+
+def _buckets(t, kind):
+    """The same three writes into tables of hash buckets."""
+    root = shared_path(t.spark, "buckets")
+    if kind == "upsert":
+        table = BucketTable.create(t.papers.filter("key % 2 = 0").selectExpr("key as k", "title", "journal"), root, ["k"], 64)
+        due = t.papers.filter("key % 4 <> 1")
+        titles = due.selectExpr("key as k", "case when key % 3 = 0 then 'new title' end as title", "cast(null as string) as journal", "1 as o")
+        table.upsert(titles.unionByName(due.selectExpr("key as k", "cast(null as string) as title", "case when key % 5 = 0 then 'new journal' end as journal", "2 as o")), F.col("o"))
+    elif kind == "replace":
+        table = BucketTable.create(vecs(t).select("vec_id", "label", F.lit(False).alias("fresh")), root, ["vec_id"], 16)
+        table.replace(vecs(t).filter("vec_id % 6 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(True).alias("fresh")))
+    else:
+        old, keys = t.mentions.filter("line = 1").select("doi", "canonical_id", "field", "source"), ["doi", "canonical_id", "field"]
+        table = BucketTable.create(old.dropDuplicates(keys), root, keys, 64)
+        known = t.entities.filter("type is not null").select("canonical_id")
+        table.insert_absent(t.mentions.select("doi", "canonical_id", "field", "source").join(known, "canonical_id", "left_semi").select(*old.columns), [F.col("source")])
+        return table.read().join(old.select(*keys).distinct(), keys, "left_anti")
+    return table.read()
+
+
+for kind, name, like in (("upsert", "sink_upsert_buckets", "sink_upsert_coalesce"), ("replace", "sink_vectors_buckets", "sink_vectors_upsert"), ("insert", "sink_edges_buckets", "sink_edges_idempotent")):
+    query(name)(lambda t, kind=kind: _buckets(t, kind))
+    ORACLE_SQL[name] = ORACLE_SQL[like]
+
 query("sink_atomic_replace", """with n as (select n_nationkey as pos, case when n_nationkey % 2 = 0 then n_nationkey end as id, case when n_nationkey % 3 = 0 then n_name end as display_name from nation where n_nationkey < 8),
 l as (select coalesce(id, (select max(id) from clusters) + row_number() over (partition by id is null order by pos)) as id, display_name from n)
 select id, coalesce(display_name, 'Cluster ' || id) as display_name, false as archived from l union all select id, display_name, true from clusters where id not in (select id from l)""")(

@@ -11,6 +11,7 @@ from bibliodyne.plans.registry import Tables, query
 from bibliodyne.plans.standins import CONCEPTS
 from bibliodyne.plans.vectors import NOW, SIGN, vecs
 from bibliodyne.session import shared_path
+from bibliodyne.streaming import commit_log as C
 from bibliodyne.streaming import incremental as I
 from bibliodyne.streaming import jobs as J
 
@@ -52,7 +53,10 @@ def _masses(t):
 query("inc_frontier", "select id, case when status = 'F' and id % 60 <> 0 then greatest(started_at, timestamp '1998-01-01') else timestamp '1998-01-01' end as next_frontier from runs")(
     lambda t: I.next_frontier(t.runs.selectExpr("id", "timestamp_ntz '1998-01-01' as frontier", "started_at as covered_to", "status = 'F' as clean", "id % 60 = 0 as dry_run")).select("id", "next_frontier"))
 query("inc_version_poll", "select doi, key as version from papers where key > (select max(key) from papers where key % 5 = 0 and year < 1998)")(lambda t: _polled(t))
-query("inc_phase_flags", "select doi, true as text_indexed, true as graph_indexed from papers where chunks_indexed = false and embeddings_indexed = true")(
+query("inc_version_poll_snapshot", "select doi, key as version from papers where key > (select max(key) from papers where key % 5 = 0 and year < 1998)")(lambda t: _polled_snapshot(t))
+# What is due is indexed by micro-batches, then once more by a replay of the same batches.
+query("inc_phase_flags", "select doi, true as text_indexed, true as graph_indexed from papers where chunks_indexed = false and embeddings_indexed = true")(lambda t: _indexed(t))
+query("inc_phase_flags_snapshot", "select doi, true as text_indexed, true as graph_indexed from papers where chunks_indexed = false and embeddings_indexed = true")(
     lambda t: I.index_then_flag(t.papers.filter("chunks_indexed = false and embeddings_indexed = true"), shared_path(t.spark, "phases"), lambda p: p.select("doi", "title"), lambda p: p.select("doi", "author")))
 query("inc_embed_job", "select concat('10.1/', doc_id) as doi, 'm2' as model, 32 as dim from documents where trim(text) <> '' and doc_id % 3 <> 0")(
     lambda t: I.embed_due(t.raw("documents").select(F.concat(F.lit("10.1/"), "doc_id").alias("doi"), "text"), t.raw("documents").select(F.concat(F.lit("10.1/"), "doc_id").alias("doi"), F.expr("case when doc_id % 3 = 0 then 'm2' else 'm1' end").alias("model")), "m2", M.hashing_embedder()).select("doi", "model", F.size("embedding").alias("dim")))
@@ -64,6 +68,25 @@ query("udf_rerank")(lambda t: two_stage(vecs(t, 1), vecs(t, 0), t.raw("documents
 
 
 def _polled(t):
+    """Two pulls of a folder of item files: the first gives the baseline, the second what is newer."""
+    root, folder = shared_path(t.spark, "poll"), shared_path(t.spark, "items")
+    items = t.papers.select("doi", F.col("key").alias("version"))
+    pull = lambda: t.spark.readStream.schema(items.schema).parquet(folder)
+    t.papers.filter("key % 5 = 0 and year < 1998").select("doi", F.col("key").alias("version")).write.mode("append").parquet(folder)
+    C.poll_stream(pull(), root)
+    items.write.mode("append").parquet(folder)
+    return C.poll_stream(pull(), root).select("doi", "version")
+
+
+def _indexed(t):
+    root = shared_path(t.spark, "phases")
+    for _ in range(2):
+        due = stream(t, "papers").filter("chunks_indexed = false and embeddings_indexed = true")
+        C.index_stream(due, root, lambda p: p.select("doi", "title"), lambda p: p.select("doi", "author"))
+    return C.flags(t.spark, root)
+
+
+def _polled_snapshot(t):
     root = shared_path(t.spark, "poll")
     items = t.papers.select("doi", F.col("key").alias("version"))
     I.poll(t.spark, t.papers.filter("key % 5 = 0 and year < 1998").select("doi", F.col("key").alias("version")), root)

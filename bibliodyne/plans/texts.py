@@ -64,7 +64,10 @@ query("fn_strip_references", STRIP.format(WITH_REFS.format("' || chr(10) || '"),
     lambda t: t.raw("documents").select("doc_id", S.strip_references(F.expr(WITH_REFS.format("\n"))).alias("text")))
 query("fn_strip_end_matter", STRIP.format(WITH_END.format("' || chr(10) || '"), LINE.format(END_SQL)))(
     lambda t: t.raw("documents").select("doc_id", S.strip_end_matter(F.expr(WITH_END.format("\n"))).alias("text")))
-query("fn_basic_normalize", "select distinct surface, surface as normalized from entities")(lambda t: T.basic_normalize(t.entities.select(F.concat(F.upper("surface"), F.lit("s. ")).alias("raw"), "surface").distinct(), "raw").select("surface", "normalized"))
+# A stop before a blank is no trailing one, and keeps the plural.
+query("fn_basic_normalize", "select distinct surface, case when surface like '%ring' then surface || 's.' else surface end as normalized from entities")(
+    lambda t: T.basic_normalize(t.entities.select(F.concat(F.upper("surface"), F.when(F.endswith("surface", F.lit("ring")), "s. ").otherwise("s.;")).alias("raw"), "surface").distinct(), "raw").select("surface", "normalized")
+)
 query("fn_chunk_markdown")(lambda t: T.chunk_markdown(t.raw("documents").select(F.col("doc_id").cast("string").alias("doi"), "text")))
 query("fn_split_windows", "select doc_id, md5(text) as joined from documents where length(text) > 0")(
     lambda t: T.split_windows(t.raw("documents").select(F.col("doc_id").cast("string").alias("doi"), "text"), 2000).groupBy("doi").agg(F.array_sort(F.collect_list(F.struct("window", "text"))).alias("w"))
@@ -81,14 +84,18 @@ def vocab(t):
 
 query("er_fuzzy_ratio")(lambda t: Z.fuzzy_pairs(surfaces(t).select(F.col("term").alias("a")), surfaces(t).select(F.col("term").alias("b")), 90.0, same=True))
 query("er_keyword_canon")(lambda t: Z.keyword_groups(surfaces(t).withColumnRenamed("term", "keyword")))
-query("er_alias_proposals")(lambda t: Z.alias_proposals(t.entities.filter("type is not null").select("type", F.concat_ws(" ", "surface", "brand").alias("surface")), vocab(t).select("type", F.upper("canonical").alias("surface")), 88.0))
-query("er_topic_novelty")(lambda t: Z.novel_terms(surfaces(t).withColumn("o", F.reverse("term")), vocab(t).select(F.col("canonical").alias("name")), 92.0))
-query("er_alias_resolve")(lambda t: Z.resolve_aliases(surfaces(t).select(F.lit("topic").alias("type"), F.col("term").alias("surface")), vocab(t).filter("canonical like 's%'").select("type", F.col("canonical").alias("surface"), F.upper("canonical").alias("canonical")), vocab(t), 92.0))
-query("er_query_resolve")(lambda t: Z.query_entities(surfaces(t).withColumnRenamed("term", "query"), vocab(t).select("type", F.col("canonical").alias("surface"), "canonical"), vocab(t), ("method", "topic"), 92.0))
+query("er_alias_proposals")(lambda t: Z.alias_proposals(t.entities.filter("type is not null").select("type", F.concat_ws(" ", "surface", "brand").alias("surface")), vocab(t).select("type", F.upper("canonical").alias("surface"))))
+query("er_topic_novelty")(lambda t: Z.novel_terms(surfaces(t).withColumn("o", F.reverse("term")), vocab(t).select(F.col("canonical").alias("name"))))
+query("er_alias_resolve")(lambda t: Z.resolve_aliases(surfaces(t).select(F.lit("topic").alias("type"), F.col("term").alias("surface")), vocab(t).filter("canonical like 's%'").select("type", F.col("canonical").alias("surface"), F.upper("canonical").alias("canonical")), vocab(t)))
+query("er_query_resolve")(lambda t: Z.query_entities(surfaces(t).withColumnRenamed("term", "query"), vocab(t).select("type", F.col("canonical").alias("surface"), "canonical"), vocab(t), ("method", "topic")))
 query("er_realias")(lambda t: Z.realias(surfaces(t).select(F.lit("topic").alias("type"), F.col("term").alias("surface"), F.lower("term").alias("canonical_id")),
                                         Z.resolve_aliases(surfaces(t).select(F.lit("topic").alias("type"), F.col("term").alias("surface")), vocab(t).select("type", F.col("canonical").alias("surface"), F.upper("canonical").alias("canonical")), vocab(t), None)))
+# Chains of three names and cycles of two.
+RENAMED = "case canonical_id % 7 when 1 then canonical_id + 3 when 2 then canonical_id + 2 when 3 then canonical_id + 1 when 6 then canonical_id - 1 else canonical_id end"
+query("er_realias_folded", f"""select 'mention' as part, doi, {RENAMED} as id, field as detail from mentions group by 2, 3, 4 union all select distinct 'entity', '', {RENAMED}, '' from entities
+union all select distinct 'relation', doi, {RENAMED}, source from mentions where line = 1""")(lambda t: _folded(t))
 query("jn_title_match")(lambda t: Z.match_titles(surfaces(t).select(F.concat("term", F.lit(", 2nd ed.")).alias("citation")), vocab(t).select(F.md5("canonical").alias("doi"), F.col("canonical").alias("title"))))
-query("jn_keyword_theme")(lambda t: Z.keyword_themes(surfaces(t).withColumnRenamed("term", "keyword"), vocab(t).select(F.substring_index("canonical", " ", 1).alias("theme"), F.col("canonical").alias("term")), 88.0))
+query("jn_keyword_theme")(lambda t: Z.keyword_themes(surfaces(t).withColumnRenamed("term", "keyword"), vocab(t).select(F.substring_index("canonical", " ", 1).alias("theme"), F.col("canonical").alias("term"))))
 REFS = "refs as (select doi, line as pos, min(concat('10.1/', canonical_id)) as ref_doi from mentions group by doi, line)"
 query("jn_ref_numeric", f"with {REFS} select m.doi, m.ref_id, r.ref_doi as target, 'numeric' as resolution from (select doi, concat('[', max(line), ']') as ref_id, max(line) as n from mentions group by doi) m join refs r on m.doi = r.doi and m.n = r.pos")(
     lambda t: Z.numeric_references(t.mentions.groupBy("doi").agg(F.concat(F.lit("["), F.max("line"), F.lit("]")).alias("ref_id")), refs(t)))
@@ -128,6 +135,20 @@ query("flt_failed_phases", "select doi, 'a' as phases from papers where key % 8
 query("qa_schema_drift", """select 'missing' as side, 'journal' as column_name, count(journal) as n_filled from papers union all select 'unknown', 'extra', count(extraction) from papers union all select 'retyped', 'year', count(year) from papers""")(lambda t: _drift(t))
 
 
+def _folded(t):
+    """All three tables after renames 1 to 2 to 3 to 4 and 5 to 6 to 5 (by the rest modulo 7)."""
+    ids = t.mentions.select(F.col("canonical_id").alias("old")).union(t.entities.select("canonical_id")).distinct()
+    # The chains are whole whatever ids the tables hold.
+    steps = ids.select(F.explode(F.sequence(F.col("old") - F.col("old") % 7 + 1, F.col("old") - F.col("old") % 7 + 6)).alias("old")).distinct()
+    steps = steps.selectExpr("old", "case old % 7 when 5 then old + 1 when 6 then old - 1 when 4 then null else old + 1 end as new").filter("new is not null")
+    relations = t.mentions.filter("line = 1").selectExpr("doi", "source as predicate", "canonical_id as target_id", "'Entity' as target_kind", "confidence")
+    out = Z.fold_renamed(t.entities, t.mentions.select("doi", "canonical_id", "field", "confidence", "extracted_at"), relations, steps, F.desc("confidence"))
+    return (
+        out["mentions"].selectExpr("'mention' as part", "doi", "canonical_id as id", "field as detail").unionByName(out["entities"].selectExpr("'entity' as part", "'' as doi", "canonical_id as id", "'' as detail"))
+        .unionByName(out["relations"].selectExpr("'relation' as part", "doi", "target_id as id", "predicate as detail"))
+    )
+
+
 def _drift(t):
     """Differences between a changed projection of papers and the table itself, with the values at stake."""
     written = t.papers.drop("journal").withColumn("extra", F.col("extraction")).withColumn("year", F.col("year").cast("string"))

@@ -16,12 +16,13 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def candidates(hits: DataFrame, tracked: bool = False) -> DataFrame:
-    """Search hits to candidate rows; blank authors and keywords are dropped."""
-    from bibliodyne.functions.scalar import parse_year, strip
+    """Search hits to candidate rows: dois in normal form, empty strings for what is missing; blank authors and
+    keywords are dropped."""
+    from bibliodyne.functions.scalar import normalize_doi, parse_year, strip
 
     clean = lambda c: F.filter(F.transform(F.coalesce(c, F.expr("cast(array() as array<string>)")), strip), lambda x: x != "")
     return hits.select(
-        F.col("doi"), strip(F.col("title")).alias("title"), clean(F.col("authors")).alias("authors"), parse_year(F.col("publication_date")).alias("year"), F.col("journal"),
+        normalize_doi(F.col("doi")).alias("doi"), F.coalesce(strip(F.col("title")), F.lit("")).alias("title"), clean(F.col("authors")).alias("authors"), parse_year(F.col("publication_date")).alias("year"), F.coalesce("journal", F.lit("")).alias("journal"),
         F.coalesce("abstract", F.lit("")).alias("abstract"), clean(F.col("keywords")).alias("keywords"), clean(F.col("databases")).alias("source_databases"), F.lit(tracked).alias("tracked_author"),
     )
 
@@ -39,13 +40,14 @@ def openalex_works(works: DataFrame) -> DataFrame:
 
 
 def s2_results(results: DataFrame) -> DataFrame:
-    """Second provider's results to candidate rows with relevance (schema ``S2``)."""
+    """Second provider's results to candidate rows with relevance (schema ``S2``). Authors without a name are dropped; a
+    missing venue is an empty journal."""
     from bibliodyne.functions.scalar import normalize_doi
 
     empty = F.expr("cast(array() as array<string>)")
     return results.select(
-        normalize_doi(F.try_element_at("externalIds", F.lit("DOI"))).alias("doi"), "title", F.coalesce(F.transform("authors", lambda a: a["name"]), empty).alias("authors"), "year",
-        F.nullif(F.trim("venue"), F.lit("")).alias("journal"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("fieldsOfStudy", empty).alias("keywords"),
+        normalize_doi(F.try_element_at("externalIds", F.lit("DOI"))).alias("doi"), "title", F.coalesce(F.filter(F.transform("authors", lambda a: a["name"]), lambda x: F.coalesce(x, F.lit("")) != ""), empty).alias("authors"), "year",
+        F.coalesce("venue", F.lit("")).alias("journal"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("fieldsOfStudy", empty).alias("keywords"),
         F.array(F.lit("semantic_scholar")).alias("source_databases"), F.lit(False).alias("tracked_author"), F.col("score").alias("relevance"),
     )
 

@@ -202,27 +202,43 @@ def has_snapshot(spark: SparkSession, root: str) -> bool:
 
 
 def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a version below ``root`` and then a pointer file of the next number; returns the version's path.
+    """Write a version below ``root`` and then a pointer file of the next number; returns the version's path."""
+    import uuid
+
+    path = f"{root}/v-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    publish(df.sparkSession, root, path)
+    return path
+
+
+def publish(spark: SparkSession, root: str, text: str, after: int | None = None) -> None:
+    """Add a pointer file with ``text``, of the number after the last (or after ``after``, which must be the last).
 
     Pointers are never changed or deleted, only added, by a rename from a name that readers ignore: at any time
     the highest number is a whole pointer. Of two writers at once the second one's rename fails.
     """
     import uuid
 
-    spark = df.sparkSession
-    path = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     fs, jvm, numbers = _pointers(spark, root)
+    last = numbers[-1] if numbers else 0
+    if after is not None and after != last:
+        raise RuntimeError(f"another writer has published number {last}")
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(root))
     temp = jvm.org.apache.hadoop.fs.Path(f"{root}/.next-{uuid.uuid4().hex}")
     out = fs.create(temp, True)
-    out.write(bytearray(path.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/current-{(numbers[-1] if numbers else 0) + 1:012d}")
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/current-{last + 1:012d}")
     if not fs.rename(temp, target):
         raise RuntimeError(f"another writer has published {target}")
-    return path
+
+
+def pointer(spark: SparkSession, root: str) -> tuple[int, str]:
+    """Number and text of the last pointer."""
+    number = _pointers(spark, root)[2][-1]
+    return number, "\n".join(r.value for r in spark.read.text(f"{root}/current-{number:012d}").collect())
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The version that the highest pointer names."""
-    return spark.read.parquet(spark.read.text(f"{root}/current-{_pointers(spark, root)[2][-1]:012d}").first().value)
+    return spark.read.parquet(pointer(spark, root)[1])
