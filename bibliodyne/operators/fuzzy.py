@@ -304,10 +304,10 @@ def final_names(renames: DataFrame) -> DataFrame:
     return table.join(there, F.col("at") == F.col("_at"), "left").select("old", F.coalesce("_cycle", "at").alias("new")).filter("old <> new")
 
 
-def fold_renamed(entities: DataFrame, mentions: DataFrame, relations: DataFrame, renames: DataFrame, order: Column | None = None) -> dict[str, DataFrame]:
+def fold_renamed(entities: DataFrame, mentions: DataFrame, relations: DataFrame, renames: DataFrame, order: Column | None = None, relation_order: Column | None = None) -> dict[str, DataFrame]:
     """The graph after renames (old, new): entities (canonical_id, ...) that now share an id are one, the row that had
     it before or else the least; mentions and relations to entities are rewritten, and of edges that fall
-    together the first stays (by ``order``, then by all columns). No edge is left on a dead id."""
+    together the first stays (mentions by ``order``, relations by ``relation_order``, then by all columns). No edge is left on a dead id."""
     final = materialize(final_names(renames), "final-names")
 
     def moved(rows: DataFrame, column: str, which: Column | None = None) -> DataFrame:
@@ -322,14 +322,14 @@ def fold_renamed(entities: DataFrame, mentions: DataFrame, relations: DataFrame,
         return rows.withColumn("_place", place).filter("_place = 1").select(*kept)
 
     own = [F.col("_was") != F.col("canonical_id")]
-    given = [] if order is None else [order]
+    given = lambda by: [] if by is None else [by]
     edge = [c for c in ("doi", "canonical_id", "field", "source") if c in mentions.columns]
     typed = [c for c in ("source_doi", "doi", "predicate", "target_id", "target_kind", "prompt_version") if c in relations.columns]
     kind = F.col("target_kind") == "Entity" if "target_kind" in relations.columns else None
     return {
         "entities": once(moved(entities, "canonical_id"), ["canonical_id"], own),
-        "mentions": once(moved(mentions, "canonical_id"), edge, given),
-        "relations": once(moved(relations, "target_id", kind), typed, given),
+        "mentions": once(moved(mentions, "canonical_id"), edge, given(order)),
+        "relations": once(moved(relations, "target_id", kind), typed, given(relation_order)),
     }
 
 

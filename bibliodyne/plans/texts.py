@@ -142,7 +142,7 @@ def _folded(t):
     steps = ids.select(F.explode(F.sequence(F.col("old") - F.col("old") % 7 + 1, F.col("old") - F.col("old") % 7 + 6)).alias("old")).distinct()
     steps = steps.selectExpr("old", "case old % 7 when 5 then old + 1 when 6 then old - 1 when 4 then null else old + 1 end as new").filter("new is not null")
     relations = t.mentions.filter("line = 1").selectExpr("doi", "source as predicate", "canonical_id as target_id", "'Entity' as target_kind", "confidence")
-    out = Z.fold_renamed(t.entities, t.mentions.select("doi", "canonical_id", "field", "confidence", "extracted_at"), relations, steps, F.desc("confidence"))
+    out = Z.fold_renamed(t.entities, t.mentions.select("doi", "canonical_id", "field", "confidence", "extracted_at"), relations, steps, F.desc("confidence"), F.desc("confidence"))
     return (
         out["mentions"].selectExpr("'mention' as part", "doi", "canonical_id as id", "field as detail").unionByName(out["entities"].selectExpr("'entity' as part", "'' as doi", "canonical_id as id", "'' as detail"))
         .unionByName(out["relations"].selectExpr("'relation' as part", "doi", "target_id as id", "predicate as detail"))
