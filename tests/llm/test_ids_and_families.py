@@ -122,7 +122,7 @@ def test_sketch_keys_meet_pairs_at_the_bound(spark):
         for at in range(4, 404, 45):  # 9 words of 404 change 45 shingles: 355 of 445 stay
             copy[at] = f"v{rng.randrange(10**9)}"
         other = words[:160] + [f"u{rng.randrange(10**9)}" for _ in range(244)]
-        a, b, c = (simhash.sketch_of(" ".join(x))[1].reshape(6, 6) for x in (words, copy, other))
+        a, b, c = (simhash.sketch_of(" ".join(x))[1][:36].reshape(6, 6) for x in (words, copy, other))
         near += bool(((a == b).sum(axis=1) >= 5).any())
         far += bool(((a == c).sum(axis=1) >= 5).any())
     assert near >= 390 and far <= 12
