@@ -317,7 +317,7 @@ def fold_renamed(entities: DataFrame, mentions: DataFrame, relations: DataFrame,
 
     def once(rows: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
         kept = [c for c in rows.columns if c != "_was"]
-        rest = [F.col(c) for c in kept if c not in keys]
+        rest = [F.col(c) for c in kept]
         place = F.row_number().over(W.partitionBy(*keys).orderBy(*by, *rest))
         return rows.withColumn("_place", place).filter("_place = 1").select(*kept)
 
