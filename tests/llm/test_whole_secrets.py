@@ -28,3 +28,33 @@ def test_a_long_part_links_across_the_short_ones_inside_it():
     parts, others = [("weak_id", 1000, 1010)], [("assign", 0, 990), *[("hex", i, i + 32) for i in range(10, 400, 40)]]
     assert secret_scan.near(parts, others, []) == parts
     assert secret_scan.near(parts, others, [995]) == []
+
+
+def test_the_table_links_throughout_a_scope(spark):
+    gap = "filler words without meaning " * 400
+    texts = [f"user: maria {gap}auth: Zx9!pqrs77", f"user: maria\n\n{gap}auth: Zx9!pqrs77", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.secret_table(docs).collect()}
+    at = 12 + len(gap)
+    assert spans == {0: f"weak_id:0:11,weak_secret:{at}:{at + 16}", 1: "", 2: "", 3: ""}
+    assert {r.n_linked for r in secret_scan.secret_table(docs, reach=secret_scan.REACH).collect()} == {0}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert masked[0] == f"[SECRET] {gap}[SECRET]" and masked[1] == texts[1] and masked[2] is None
+
+
+def test_links_of_a_whole_scope_equal_all_pairs():
+    rng = random.Random(4)
+    pieces = ["user: maria", "login=abc", "auth: Zx9!pqrs77", "token: abcdefgh12", "https://example.com/a", "plain words " * 40, "\n\n", "AKIA" + "B" * 16, "host=db.example.org"]
+    for _ in range(200):
+        text = " ".join(rng.choices(pieces, k=rng.randint(2, 12)))
+        scopes = [m.start() for m in secret_scan.BLANK.finditer(text)]
+        block = lambda s: sum(b < s[1] for b in scopes)
+        base = secret_scan.base_spans(text)
+        free = [w for w in secret_scan.weak_parts(text) if all(w[2] <= s or w[1] >= e for _, s, e in base)]
+        of = lambda *kinds: [s for s in [*base, *free] if s[0] in kinds]
+        meets = lambda a, others: any(b[1:] != a[1:] and block(a) == block(b) for b in others)
+        ids = [a for a in of("weak_id", "access") if meets(a, of("weak_secret", "assign", "hex"))]
+        secrets = [a for a in of("weak_secret", "assign", "hex") if meets(a, of("weak_id", "access"))]
+        hosts = [a for a in of("endpoint") if meets(a, [*ids, *secrets])]
+        want = {s for s in [*ids, *secrets, *hosts] if s[0] in secret_scan.WEAK}
+        assert set(secret_scan.all_spans(text, reach=None)[1]) == want
