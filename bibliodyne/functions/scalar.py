@@ -48,9 +48,17 @@ def parse_authors(authors_json: Column) -> Column:
     return F.filter(F.transform(items, one), lambda x: x != "")
 
 
+def whole_json(text: Column) -> Column:
+    """The JSON of a text as a variant; null if it is none, or if something follows the first value.
+
+    Spark's parser stops after the first value. What follows a value cannot complete both an array and an object."""
+    in_array, in_object = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"v":'), text, F.lit("}"))
+    return F.when(F.try_parse_json(in_array).isNotNull() & F.try_parse_json(in_object).isNotNull(), F.try_parse_json(text))
+
+
 def parse_json_strings(text: Column) -> Column:
     """Trimmed strings of a JSON array; other kinds of items are dropped."""
-    items = F.variant_get(F.try_parse_json(text), "$", "array<variant>")
+    items = F.variant_get(whole_json(text), "$", "array<variant>")
     strings = F.transform(items, lambda v: F.when(F.schema_of_variant(v) == "STRING", strip(F.try_variant_get(v, "$", "string"))))
     return F.filter(strings, lambda x: x.isNotNull() & (x != ""))
 
@@ -119,7 +127,7 @@ def parse_model_json(text: Column) -> Column:
     """The JSON of a model's answer as a variant: think blocks and code fences go; null if invalid."""
     x = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
     x = F.regexp_replace(strip(x), r"(?s)^```[a-zA-Z]*\s*|\s*```$", "")
-    return F.try_parse_json(F.nullif(strip(x), F.lit("")))
+    return whole_json(F.nullif(strip(x), F.lit("")))
 
 
 def confidence_score(fields: Column) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -328,32 +327,16 @@ def stable_ids(new: DataFrame, old: DataFrame, within: float = 0.3) -> DataFrame
 
 
 def kmeans_auto(vectors: DataFrame, k_min: int = 5, k_max: int = 15, inits: int = 10, seed: int = 42) -> tuple[int, DataFrame, DataFrame] | None:
-    """(k, centroids, members) of the k with the best silhouette (squared Euclidean, as MLlib has it); the
-    cheapest of several starts counts for each k. None if there are fewer rows than ``k_min``."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = vectors.select("doi", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
-    n = rows.count()
-    if n < k_min:
-        rows.unpersist()
+    """(k, centroids, members) of the k with the best Euclidean silhouette; the cheapest of several starts counts for
+    each k. None if there are too few rows or no k gives two clusters (see ``clustering``)."""
+    from bibliodyne.operators.clustering import best_partition
+
+    found = best_partition(vectors, k_min, k_max, inits, seed)
+    if found is None:
         return None
-    best = None
-    for k in range(k_min, min(k_max, n - 1) + 1):
-        # Starts are independent and short of work each, so some run side by side.
-        with ThreadPoolExecutor(4) as pool:
-            models = list(pool.map(lambda i, k=k: KMeans(k=k, seed=seed + i, maxIter=20).fit(rows), range(inits)))
-        model = min(models, key=lambda m: m.summary.trainingCost)
-        quality = ClusteringEvaluator().evaluate(model.transform(rows))
-        if best is None or quality > best[0]:
-            best = (quality, k, model)
-    _, k, model = best
-    spark = vectors.sparkSession
-    rows.unpersist()
-    centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "pos int, centroid array<double>")
-    members = model.transform(rows).select("doi", F.col("prediction").alias("pos"), vector_to_array("features").alias("embedding"))
-    return k, centroids, members
+    best, members = found
+    centroids = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best.centers)], "pos int, centroid array<double>")
+    return best.k, centroids, members
 
 
 def recompute_clusters(vectors: DataFrame, papers: DataFrame, old: DataFrame, least: int = 100, k_min: int = 5, k_max: int = 15, inits: int = 10) -> dict[str, DataFrame] | None:

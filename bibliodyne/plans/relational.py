@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bibliodyne.operators import quarantine as Q
 from bibliodyne.operators import relational as R
+from bibliodyne.operators import sketches as K
 from bibliodyne.plans.registry import query
 from bibliodyne.plans.standins import cites
+from bibliodyne.session import shared_path
+from bibliodyne.sources import days as D
 
 OC = "cast(json_extract_string(extraction, '$._overall_confidence') as double)"
 
@@ -71,8 +75,8 @@ select source as doi, target as other, 0 as part, 0 as position from cites union
 select doi, other, 1, position from (select p.doi, concat('10.1/', (p.key * 3 + n.k) % 1000) as other, n.k as position from papers p, (values (1), (2), (3)) n(k)) s where (doi, other) not in (select source, target from cites))""")(
     lambda t: R.related_work(cites(t.papers).select(F.col("source").alias("doi"), F.col("target").alias("other"), F.lit(0).alias("position")),
                              t.papers.withColumn("position", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("doi", F.expr("concat('10.1/', (key * 3 + position) % 1000)").alias("other"), "position")))
-query("jn_unmapped", "select distinct surface as keyword from entities where surface not in (select surface from entities where canonical_id % 4 = 0)")(
-    lambda t: R.unmapped(t.entities.select(F.col("surface").alias("keyword")).distinct(), t.entities.filter("canonical_id % 4 = 0").select(F.col("surface").alias("keyword"))))
+query("jn_unmapped", "select distinct surface as keyword from entities where surface not in (select surface from entities where canonical_id % 4 = 0 and surface < 'm')")(
+    lambda t: R.unmapped(t.entities.select(F.col("surface").alias("keyword")).distinct(), t.entities.filter("canonical_id % 4 = 0 and surface < 'm'").select(F.col("surface").alias("keyword"))))
 query("jn_hydrate", "select r.doi, r.place, p.title, p.year, p.journal from (select concat('10.1/', c_custkey * 11) as doi, c_custkey as place from customer) r left join papers p on r.doi = p.doi")(
     lambda t: R.hydrate(t.raw("customer").selectExpr("concat('10.1/', c_custkey * 11) as doi", "c_custkey as place"), t.papers))
 
@@ -147,3 +151,32 @@ query("set_case_dedup", """with f as (select brand, lower(surface) as s, min(can
 k as (select * from (select *, row_number() over (partition by brand order by position) as r from f) where r <= 6),
 o as (select brand, s, position, row_number() over (partition by s order by brand, position) as r2 from k) select brand, s as surface, position from o where r2 = 1 order by brand, position limit 40""")(
     lambda t: R.case_dedup(t.entities.select("brand", F.initcap("surface").alias("surface"), F.col("canonical_id").alias("position")), "surface", "brand", 6, 40).withColumn("surface", F.lower("surface")))
+
+
+def _by_day(t):
+    """The papers laid out by the day of their last update."""
+    path = shared_path(t.spark, "papers-by-day")
+    D.write_days(t.papers.select("doi", "last_updated"), "last_updated", path)
+    return path
+
+
+# Days, quarantine and sketches. The feedback and answers are the tables' own, with every 17th signal, every 13th rating
+# and some answers spoilt.
+query("flt_window_days", "select doi from papers where last_updated >= timestamp '1997-03-01' and last_updated <= timestamp '1998-03-01'")(
+    lambda t: D.read_days(t.spark, _by_day(t), "last_updated", "1997-03-01", "1998-03-01").select("doi"))
+query("inc_newest_day", "select max(last_updated) as last_updated from papers")(lambda t: D.newest(t.spark, _by_day(t), "last_updated"))
+query("flt_feedback_quarantine", """select id, reasons = '' as accepted, reasons from (select id, concat_ws(',',
+case when not known then 'signal' end, case when known and s = 'rated' and not coalesce(r between 1 and 5, false) then 'rating' end,
+case when known and s <> 'rated' and r is not null then 'stray_rating' end) as reasons
+from (select *, coalesce(s in ('rated', 'opened', 'saved', 'dismissed', 'thumbs_up', 'thumbs_down'), false) as known
+from (select id, case when id % 17 = 0 then 'liked' when id % 19 <> 0 then signal_type end as s, case when id % 13 = 0 then 9 else rating end as r from feedback)))""")(
+    lambda t: Q.divide(t.feedback.selectExpr("id", "case when id % 17 = 0 then 'liked' when id % 19 <> 0 then signal_type end as signal_type", "case when id % 13 = 0 then 9 else rating end as rating"),
+                       Q.feedback_rules()).labelled("id"))
+query("flt_answer_quarantine", """select key, reasons = '' as accepted, reasons from (select key,
+case when coalesce(trim(a), '') = '' then 'empty' when not json_valid(a) then 'invalid' else '' end as reasons
+from (select key, case key % 7 when 0 then '  ' when 1 then extraction || ' and more' when 2 then 'none' else extraction end as a from papers))""")(
+    lambda t: Q.divide(t.papers.selectExpr("key", "case key % 7 when 0 then '  ' when 1 then extraction || ' and more' when 2 then 'none' else extraction end as answer"), Q.answer_rules()).labelled("key"))
+query("flt_item_quarantine", "select key, key % 11 <> 0 as accepted, case when key % 11 <> 0 then '' else 'title' end as reasons from papers")(
+    lambda t: Q.divide(t.papers.select("key", F.expr("case when key % 11 <> 0 then title else '  ' end").alias("title")), Q.item_rules()).labelled("key"))
+query("agg_mentions_by_source_sketch")(
+    lambda t: K.distinct_counts(K.daily_sketches(t.mentions, "extracted_at", "canonical_id", ["source"]), ["source"], "n_entities"))

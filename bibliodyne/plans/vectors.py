@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bibliodyne.operators import clustering as C
 from bibliodyne.operators import vectors as V
 from bibliodyne.operators.graph import similar_papers
 from bibliodyne.operators.neighbours import knn_approximate
@@ -135,6 +136,7 @@ query("ml_stable_ids", f"""with {VEC}, {CENT}, n as (select id as pos, centroid
 select pos, case when pos < 7 then pos + 100 else 106 + row_number() over (partition by pos < 7 order by pos) end as id, pos < 7 as inherited from n""")(
     lambda t: V.stable_ids(cents(t).filter("id <> 4").withColumnRenamed("id", "pos"), cents(t).filter("id < 7").withColumn("id", F.col("id") + 100)))
 query("ml_kmeans_auto_k")(lambda t: V.kmeans_auto(vecs(t))[2].select("doi", "pos"))
+query("ml_kmeans_silhouettes")(lambda t: _silhouettes(t))
 query("ml_recompute")(lambda t: V.recompute_clusters(vecs(t), t.papers, cents(t).select("id", "centroid"))["clusters"].select("id", "inherited", "display_name", F.size("sample_titles").alias("n_titles")))
 
 
@@ -148,3 +150,8 @@ def _state(t):
     listed = V.weight_list(weights, t.clusters)
     names = listed.agg(in_order([F.col("place")], F.concat("name", F.when(F.col("at_floor"), " at floor").otherwise(""))).alias("weights"))
     return state.join(F.broadcast(papers), F.lit(True)).join(F.broadcast(names), F.lit(True))  # one row each
+
+
+def _silhouettes(t):
+    rows = C.usable(vecs(t))
+    return C.silhouettes(rows, C.fit_grid(rows, list(range(5, 16)))[0])
