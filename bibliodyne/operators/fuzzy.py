@@ -289,18 +289,18 @@ def final_names(renames: DataFrame) -> DataFrame:
     take its least; of several new names of one the least counts.
 
     Pointer jumping: each round doubles the steps that a name has gone and keeps the least name it has passed, so
-    a chain of n renames takes log n rounds."""
+    a chain of n renames takes log n rounds. The table grows with the names, so its joins are never by broadcast."""
     table = renames.filter("old IS NOT NULL AND new IS NOT NULL AND old <> new").groupBy("old").agg(F.min("new").alias("at")).withColumn("least", F.col("at"))
     table = materialize(table, "renames")
     n, steps = table.count(), 1
     while steps < n:
-        ahead = table.select(F.col("old").alias("_at"), F.col("at").alias("_next"), F.col("least").alias("_least"))
+        ahead = table.select(F.col("old").alias("_at"), F.col("at").alias("_next"), F.col("least").alias("_least")).hint("merge")
         table = materialize(table.join(ahead, F.col("at") == F.col("_at"), "left").select("old", F.coalesce("_next", "at").alias("at"), F.least("least", F.coalesce("_least", "least")).alias("least")), "renames")
         steps *= 2
-        if table.join(table.select(F.col("old").alias("at")), "at", "left_semi").isEmpty():
+        if table.join(table.select(F.col("old").alias("at")).hint("merge"), "at", "left_semi").isEmpty():
             break
     # Who is still on the way has reached a cycle, and what its place there has passed is the whole cycle.
-    there = table.select(F.col("old").alias("_at"), F.col("least").alias("_cycle"))
+    there = table.select(F.col("old").alias("_at"), F.col("least").alias("_cycle")).hint("merge")
     return table.join(there, F.col("at") == F.col("_at"), "left").select("old", F.coalesce("_cycle", "at").alias("new")).filter("old <> new")
 
 
@@ -311,7 +311,7 @@ def fold_renamed(entities: DataFrame, mentions: DataFrame, relations: DataFrame,
     final = materialize(final_names(renames), "final-names")
 
     def moved(rows: DataFrame, column: str, which: Column | None = None) -> DataFrame:
-        to = final.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+        to = final.select(F.col("old").alias("_old"), F.col("new").alias("_new")).hint("merge")
         on = F.col(column).eqNullSafe(F.col("_old")) if which is None else (F.col(column) == F.col("_old")) & which
         return rows.join(to, on, "left").withColumn("_was", F.col(column)).withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 

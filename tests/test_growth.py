@@ -18,3 +18,13 @@ def test_unmapped_keywords_meet_the_whole_vocabulary(spark):
     names = duckdb.sql(f"select p_partkey, p_name from '{SF}/part.parquet'").fetchall()
     known = {name for key, name in names if key % 4 == 0}
     assert {r.keyword for r in catalog.QUERIES["jn_unmapped"](spark, SF).collect()} == {name for _, name in names} - known
+
+
+def test_renames_are_not_broadcast(spark):
+    entities = spark.createDataFrame([("a", "A"), ("b", "B")], "canonical_id string, surface string")
+    mentions = spark.createDataFrame([("p", "a"), ("q", None)], "doi string, canonical_id string")
+    relations = spark.createDataFrame([("p", "CITES", "a")], "doi string, predicate string, target_id string")
+    renames = spark.createDataFrame([("a", "b")], "old string, new string")
+    out = Z.fold_renamed(entities, mentions, relations, renames)
+    assert "Broadcast" not in plan(Z.final_names(renames)) and not any("Broadcast" in plan(df) for df in out.values())
+    assert {tuple(r) for r in out["mentions"].collect()} == {("p", "b"), ("q", None)}
