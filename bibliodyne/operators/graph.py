@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bibliodyne.session import dealt
+
 
 def shared_entity_pairs(mentions: DataFrame, seeds: DataFrame | None = None, max_degree: int | None = None) -> DataFrame:
     """(doi, other, n_shared): papers by the number of distinct entities that both mention."""
@@ -107,8 +109,10 @@ def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def papers_by_entities(mentions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, doi, n_shared) for a table of wanted entities (query_id, canonical_id)."""
-    return mentions.select("doi", "canonical_id").distinct().join(wanted, "canonical_id").groupBy("query_id", "doi").agg(F.countDistinct("canonical_id").alias("n_shared"))
+    """(query_id, doi, n_shared) for a table of wanted entities (query_id, canonical_id). Tasks hold some papers each, and
+    their number follows the mentions."""
+    met = mentions.select("doi", "canonical_id").join(wanted.select("query_id", "canonical_id").distinct(), "canonical_id")
+    return dealt(met, mentions.count(), "doi").distinct().groupBy("query_id", "doi").agg(F.count("*").alias("n_shared"))
 
 
 def find_by_entity(mentions: DataFrame, entities: DataFrame, papers: DataFrame, surface: str) -> DataFrame:
