@@ -394,6 +394,7 @@ def graph_rebuild(papers: DataFrame, mentions: DataFrame, cites: DataFrame) -> d
     doi = papers.select("doi").distinct()
     return {
         "graph_papers": papers.dropDuplicates(["doi"]),
-        "mentions": mentions.join(doi, "doi", "left_semi").dropDuplicates(["doi", "canonical_id", "field"]),
+        "mentions": known.dropDuplicates(["doi", "canonical_id", "field"]),
         "relations": cites.join(doi.withColumnRenamed("doi", "source"), "source", "left_semi").join(doi.withColumnRenamed("doi", "target"), "target", "left_semi").distinct(),
     }
+    known = dealt(mentions.join(doi, "doi", "left_semi"), mentions.count(), "doi")

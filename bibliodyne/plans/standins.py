@@ -50,8 +50,11 @@ def cites(papers: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
     from pyspark.sql import functions as F
 
+    from bibliodyne.session import dealt
+
+    of_author = dealt(papers.select("author", "last_updated", "key", "doi"), papers.count(), "author")
     before = F.lag("doi").over(W.partitionBy("author").orderBy("last_updated", "key"))
-    return papers.select(F.col("doi").alias("source"), before.alias("target")).filter("target IS NOT NULL")
+    return of_author.select(F.col("doi").alias("source"), before.alias("target")).filter("target IS NOT NULL")
 
 
 def with_concepts(sql: str) -> str:

@@ -28,3 +28,33 @@ def test_renames_are_not_broadcast(spark):
     out = Z.fold_renamed(entities, mentions, relations, renames)
     assert "Broadcast" not in plan(Z.final_names(renames)) and not any("Broadcast" in plan(df) for df in out.values())
     assert {tuple(r) for r in out["mentions"].collect()} == {("p", "b"), ("q", None)}
+
+
+def some_mentions(spark):
+    return spark.range(200).selectExpr("concat('d', id % 37) as doi", "id % 11 as canonical_id", "concat('f', id % 2) as field").union(spark.sql("select 'd1', 3L, null"))
+
+
+def test_tasks_of_papers_by_entities_follow_the_mentions(spark, monkeypatch):
+    monkeypatch.setattr("bibliodyne.session.TASK_ROWS", 20)
+    mentions = some_mentions(spark)
+    wanted = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 2), (None, 3)], "query_id string, canonical_id long")
+    got = G.papers_by_entities(mentions, wanted)
+    assert got.rdd.getNumPartitions() == 11  # 201 mentions
+    edges = {(r.doi, r.canonical_id) for r in mentions.collect()}
+    want = {}
+    for q, e in {("a", 1), ("a", 2), ("b", 2), (None, 3)}:
+        for d in {d for d, x in edges if x == e}:
+            want[q, d] = want.get((q, d), 0) + 1
+    assert {(r.query_id, r.doi): r.n_shared for r in got.collect()} == want
+
+
+def test_tasks_of_a_rebuilt_graph_follow_the_mentions(spark, monkeypatch):
+    monkeypatch.setattr("bibliodyne.session.TASK_ROWS", 20)
+    mentions = some_mentions(spark)
+    papers = spark.range(20).selectExpr("concat('d', id) as doi")
+    cites = spark.createDataFrame([("d1", "d2"), ("d1", "d99")], "source string, target string")
+    out = G.graph_rebuild(papers, mentions, cites)
+    assert out["mentions"].rdd.getNumPartitions() == 11
+    want = {(r.doi, r.canonical_id, r.field) for r in mentions.collect() if int(r.doi[1:]) < 20}
+    got = [tuple(r) for r in out["mentions"].collect()]
+    assert set(got) == want and len(got) == len(want) and {tuple(sorted(r)) for r in out["relations"].collect()} == {("d1", "d2")}
