@@ -43,33 +43,47 @@ def similar_papers(mentions: DataFrame, k: int = 10, seeds: DataFrame | None = N
     from bibliodyne.operators.skew import join_keys
     from bibliodyne.session import materialize
 
-    edges = mentions.select("doi", F.col("canonical_id").alias("e")).filter("doi IS NOT NULL AND e IS NOT NULL").distinct()
+    rows = mentions.select("doi", F.col("canonical_id").alias("e")).filter("doi IS NOT NULL AND e IS NOT NULL")
     if max_degree is not None:
-        small = edges.groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") <= max_degree)
-        edges = edges.join(small, "e", "left_semi")
-    edges = materialize(edges, "paper-entities")
+        small = rows.distinct().groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") <= max_degree)
+        rows = rows.join(small, "e", "left_semi")
+    n = mentions.count()
+    if seeds is not None:
+        # What is not an entity of a seed can be shared with none.
+        rows = materialize(rows.join(rows.join(seeds.select("doi"), "doi", "left_semi").select("e").distinct(), "e", "left_semi"), "mentions-met")
+        n = rows.count()
+    papers = dealt(rows, n, "doi").groupBy("doi").agg(F.array_sort(F.collect_set("e")).alias("es"))
+    papers = materialize(papers.withColumn("no", F.monotonically_increasing_id()), "papers")
+    edges = papers.select("doi", F.explode("es").alias("e"))
     asked = edges if seeds is None else edges.join(seeds.select("doi"), "doi", "left_semi")
 
     # One entity in common: the first papers of each entity.
     place = F.row_number().over(W.partitionBy("e").orderBy("doi"))
     first = edges.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("e").agg(F.collect_list("doi").alias("first"))
     lists = materialize(first.join(edges.groupBy("e").agg(F.count("*").alias("n")), "e").filter("n > 1"), "entity-lists")
-    met = join_keys(asked, lists, "e", "doi", "n").groupBy("doi").agg(F.array_distinct(F.flatten(F.collect_list("first"))).alias("others"))
-    filler = F.slice(F.array_sort(F.filter("others", lambda o: o != F.col("doi"))), 1, k)
-    singles = met.select("doi", F.explode(filler).alias("other"), F.lit(1).cast("long").alias("n_shared"))
+    met = join_keys(asked, lists, "e", "doi", "n").groupBy("doi").agg(F.flatten(F.collect_list("first")).alias("others")).select("doi", F.sort_array("others").alias("others"))
+    fresh = lambda o, i: (o != F.col("doi")) & ((i == 0) | (o != F.get("others", i - 1)))
+    singles = met.select("doi", F.slice(F.filter("others", fresh), 1, k).alias("singles"))
 
-    # Two or more: papers under each pair of entities.
-    papers = edges.groupBy("doi").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    narrow = papers.filter(F.size("es") <= WIDE)
+    # Two or more: papers, by their numbers, under each pair of entities. A pair of two papers is settled by its least and
+    # greatest number; only what more papers have is joined.
+    narrow = papers.filter((F.size("es") <= WIDE) & (F.size("es") > 1))
     pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    under = narrow.filter(F.size("es") > 1).select("doi", F.explode(pairs).alias("p"))
-    shared = materialize(under.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cuts", F.ceil(F.col("n") / MEETING)), "entity-pairs")
-    kept = materialize(join_keys(under, shared, "p", "doi", "n").select("doi", "p", "cuts"), "paper-pairs")
-    left = kept if seeds is None else kept.join(seeds.select("doi"), "doi", "left_semi")
-    left = left.select("doi", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
-    right = kept.select(F.col("doi").alias("other"), F.col("p").alias("q"), F.pmod(F.xxhash64("doi"), F.col("cuts")).alias("cut_q"))
-    times = left.join(right, (F.col("p") == F.col("q")) & (F.col("cut") == F.col("cut_q")) & (F.col("doi") != F.col("other"))).groupBy("doi", "other").agg(F.count("*").alias("t"))
-    more = times.select("doi", "other", F.round((1 + F.sqrt(1 + 8 * F.col("t"))) / 2).cast("long").alias("n_shared"))
+    under = narrow.select("no", F.explode(pairs).alias("p"))
+    shared = materialize(under.select("no", "p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("no").alias("low"), F.max("no").alias("high")).filter("n > 1"), "entity-pairs")
+    ways = F.explode(F.array(F.struct(F.col("low").alias("x"), F.col("high").alias("y")), F.struct(F.col("high").alias("x"), F.col("low").alias("y"))))
+    times = shared.filter("n = 2").select(ways.alias("w")).select("w.x", "w.y")
+    many = shared.filter("n > 2").select(F.struct("a", "b").alias("p"), "n", F.ceil(F.col("n") / MEETING).alias("cuts"))
+    if not many.isEmpty():
+        kept = materialize(join_keys(under, many, "p", "no", "n").select("no", "p", "cuts"), "paper-pairs")
+        left = kept.select(F.col("no").alias("x"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+        right = kept.select(F.col("no").alias("y"), F.col("p").alias("q"), F.pmod(F.xxhash64("no"), F.col("cuts")).alias("cut_q"))
+        times = times.unionByName(left.join(right, (F.col("p") == F.col("q")) & (F.col("cut") == F.col("cut_q")) & (F.col("x") != F.col("y"))).select("x", "y"))
+    if seeds is not None:
+        times = times.join(papers.join(seeds.select("doi"), "doi", "left_semi").select(F.col("no").alias("x")), "x", "left_semi")
+    times = materialize(times.groupBy("x", "y").agg(F.count("*").alias("t")), "paper-pairs-met")
+    named = lambda no, doi: papers.select(F.col("no").alias(no), F.col("doi").alias(doi))
+    more = times.join(named("x", "doi"), "x").join(named("y", "other"), "y").select("doi", "other", F.round((1 + F.sqrt(1 + 8 * F.col("t"))) / 2).cast("long").alias("n_shared"))
 
     # Papers of very many entities, with everybody.
     wide = papers.filter(F.size("es") > WIDE).select("doi", F.explode("es").alias("e"))
@@ -85,11 +99,14 @@ def similar_papers(mentions: DataFrame, k: int = 10, seeds: DataFrame | None = N
         met_wide = both.select(F.col("wide").alias("doi"), F.col("doi").alias("other"), "n_shared").unionByName(narrow_side)
         more = more.unionByName(met_wide if seeds is None else met_wide.join(seeds.select("doi"), "doi", "left_semi"))
 
-    # A paper's own best k suffice of each kind.
+    # A paper's own best k suffice of each kind; the two lists meet as arrays, so that no row a pair is shuffled for them.
     order = W.partitionBy("doi").orderBy(F.desc("n_shared"), "other")
-    best = more.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
-    counted = best.unionByName(singles).groupBy("doi", "other").agg(F.max("n_shared").alias("n_shared"))
-    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doi", "other", "n_shared", "rank")
+    best = more.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).groupBy("doi").agg(F.collect_list(F.struct((-F.col("n_shared")).alias("less"), "other")).alias("best"))
+    both = singles.join(best, "doi", "left").withColumn("best", F.coalesce("best", F.expr("cast(array() as array<struct<less:bigint,other:string>>)")))
+    seen = F.transform("best", lambda b: b["other"])
+    rest = F.transform(F.filter("singles", lambda o: ~F.array_contains(seen, o)), lambda o: F.struct(F.lit(-1).cast("long").alias("less"), o.alias("other")))
+    ranked = both.select("doi", F.posexplode(F.slice(F.sort_array(F.concat("best", rest)), 1, k)).alias("place", "o"))
+    return ranked.select("doi", F.col("o.other").alias("other"), (-F.col("o.less")).alias("n_shared"), (F.col("place") + 1).alias("rank"))
 
 
 def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -390,11 +407,12 @@ def judge_triples(triples: DataFrame, per_paper: int = 25) -> DataFrame:
 
 
 def graph_rebuild(papers: DataFrame, mentions: DataFrame, cites: DataFrame) -> dict[str, DataFrame]:
-    """All graph tables anew from papers, mentions and citations of known papers."""
+    """All graph tables anew from papers, mentions and citations of known papers. Mentions are told apart in tasks that hold
+    some papers each, and their number follows the mentions."""
     doi = papers.select("doi").distinct()
+    known = dealt(mentions.join(doi, "doi", "left_semi"), mentions.count(), "doi")
     return {
         "graph_papers": papers.dropDuplicates(["doi"]),
         "mentions": known.dropDuplicates(["doi", "canonical_id", "field"]),
         "relations": cites.join(doi.withColumnRenamed("doi", "source"), "source", "left_semi").join(doi.withColumnRenamed("doi", "target"), "target", "left_semi").distinct(),
     }
-    known = dealt(mentions.join(doi, "doi", "left_semi"), mentions.count(), "doi")

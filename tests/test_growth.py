@@ -58,3 +58,23 @@ def test_tasks_of_a_rebuilt_graph_follow_the_mentions(spark, monkeypatch):
     want = {(r.doi, r.canonical_id, r.field) for r in mentions.collect() if int(r.doi[1:]) < 20}
     got = [tuple(r) for r in out["mentions"].collect()]
     assert set(got) == want and len(got) == len(want) and {tuple(sorted(r)) for r in out["relations"].collect()} == {("d1", "d2")}
+
+
+def test_similar_papers_of_seeds_read_what_seeds_mention(spark, monkeypatch):
+    import bibliodyne.session as session
+
+    kept, write = {}, session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    mentions = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 2), ("x", 8), ("y", 8), ("y", 9), ("x", 9)], "doi string, canonical_id long")
+    got = {tuple(r) for r in G.similar_papers(mentions, 4, spark.createDataFrame([("a",)], "doi string")).collect()}
+    assert got == {("a", "b", 2, 1), ("a", "c", 1, 2)} and {r.doi for r in kept["papers"].collect()} == {"a", "b", "c"}
+
+
+def test_pairs_of_two_papers_are_settled_without_a_join(spark, monkeypatch):
+    import bibliodyne.session as session
+
+    kept, write = [], session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df, name: kept.append(name) or write(df, name))
+    mentions = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 2)], "doi string, canonical_id long")
+    got = {tuple(r) for r in G.similar_papers(mentions, 4).collect()}
+    assert got == {("a", "b", 2, 1), ("a", "c", 1, 2), ("b", "a", 2, 1), ("b", "c", 1, 2), ("c", "a", 1, 1), ("c", "b", 1, 2)} and "paper-pairs" not in kept
