@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 TINY = 1e-9
 #: Centroids that are sent to every task at most.
 MOST_CENTROIDS = 10_000
+#: Queries of a block whose products with its rows a task holds at once.
+SLAB = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,17 +53,19 @@ def best_of(rows: pd.DataFrame, asked: pd.DataFrame, k: int, exclude_self: bool)
         x, xg = units(rows.l_v)
         q, qg = units(asked.q_v)
         ids, names = rows.l_doi.to_numpy(), asked.q_doi.to_numpy()
-        if x.shape[1] == q.shape[1]:
-            near = np.where(xg[None], q @ x.T, -np.inf)
-            edges = -np.partition(-near, min(k, len(ids) - 1), axis=1)[:, min(k, len(ids) - 1)]
-            for i in np.nonzero(qg)[0]:
+        for at in range(0, len(q) if x.shape[1] == q.shape[1] else 0, SLAB):
+            near = q[at : at + SLAB] @ x.T
+            near[:, ~xg] = -np.inf
+            last = max(0, len(ids) - 1 - k)
+            edges = np.partition(near, last, axis=1)[:, last]
+            for i in np.nonzero(qg[at : at + SLAB])[0]:
                 # Rounding to 4 decimals may tie what the product tells apart.
                 some = np.nonzero(np.isfinite(near[i]) & (near[i] >= edges[i] - 2e-4))[0]
                 if exclude_self:
-                    some = some[ids[some] != names[i]]
-                s = np.round((x[some] * q[i]).sum(axis=1), 4)
+                    some = some[ids[some] != names[at + i]]
+                s = np.round((x[some] * q[at + i]).sum(axis=1), 4)
                 order = np.lexsort((ids[some].astype(str), -s))[:k]
-                out += [(names[i], ids[some[j]], float(s[j])) for j in order]
+                out += [(names[at + i], ids[some[j]], float(s[j])) for j in order]
     return pd.DataFrame(out, columns=["query", "doi", "score"])
 
 

@@ -78,3 +78,25 @@ def test_pairs_of_two_papers_are_settled_without_a_join(spark, monkeypatch):
     mentions = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 2)], "doi string, canonical_id long")
     got = {tuple(r) for r in G.similar_papers(mentions, 4).collect()}
     assert got == {("a", "b", 2, 1), ("a", "c", 1, 2), ("b", "a", 2, 1), ("b", "c", 1, 2), ("c", "a", 1, 1), ("c", "b", 1, 2)} and "paper-pairs" not in kept
+
+
+def test_a_block_of_neighbours_is_compared_in_slabs():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from bibliodyne.operators import vectors as V
+
+    x = np.random.default_rng(3).normal(size=(5000, 8))
+    rows = pd.DataFrame({"l_doi": [f"d{i}" for i in range(4000)], "l_v": list(x[:4000])})
+    asked = pd.DataFrame({"q_doi": [f"d{i}" for i in range(3900, 4900)], "q_v": list(x[3900:4900])})
+    tracemalloc.start()
+    got = V.best_of(rows, asked, 5, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # all products at once are 32 MB, and a copy each of them
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (3900, 3999, 4000, 4899):
+        want = sorted((-round(float((u[j] * u[n]).sum()), 4), f"d{j}") for j in range(4000) if j != n)[:5]
+        assert [(-r.score, r.doi) for r in got[got["query"] == f"d{n}"].itertuples()] == want
