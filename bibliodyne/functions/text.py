@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -163,6 +164,11 @@ def singular(word: str) -> str:
     return word[:-1] if word.endswith("s") else word
 
 
+#: Surfaces that a worker remembers.
+MEMO_SURFACES = 1 << 16
+
+
+@lru_cache(maxsize=MEMO_SURFACES)
 def _finished(surface: str) -> str:
     plain = unicodedata.normalize("NFKD", surface).encode("ascii", "ignore").decode()
     # Only what ends the string is stripped: a stop before a blank stays.
@@ -172,15 +178,15 @@ def _finished(surface: str) -> str:
 
 def basic_normalize(rows: DataFrame, column: str, to: str = "normalized") -> DataFrame:
     """Adds the normal form of a surface: lower case, Greek letters in Latin ones, ASCII, no trailing
-    punctuation, single blanks, last word singular. Python sees each distinct surface once."""
+    punctuation, single blanks, last word singular. Rows stay where they are, and are made once: a worker remembers
+    the surfaces it has seen."""
 
     @F.pandas_udf("string")
     def finish(s: pd.Series) -> pd.Series:
         return s.map(_finished, na_action="ignore")
 
-    distinct = rows.select(F.col(column).alias("_surface")).filter("_surface IS NOT NULL").distinct()
-    done = distinct.withColumn(to, finish(greek_transliterated(F.lower("_surface"))))
-    return rows.join(done, rows[column] == done["_surface"], "left").drop("_surface")
+    # Not taken for deterministic: a filter by the result must not make it once more.
+    return rows.withColumn(to, finish.asNondeterministic()(greek_transliterated(F.lower(column))))
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:

@@ -288,7 +288,7 @@ def extract_entities(papers: DataFrame, aliases: DataFrame | None = None) -> Dat
     item = lambda x: F.struct(strip(x).alias("surface"), none.alias("span_start"), none.alias("span_end"))
 
     def schema_field(field: str) -> Column:
-        raw = F.get_json_object("extraction", f"$.{field}")
+        raw = F.col(f"_{field}")
         listed = F.transform(F.from_json(raw, "array<string>"), item)
         whole = F.array(F.struct(strip(raw).alias("surface"), F.lit(0).alias("span_start"), F.length(strip(raw)).alias("span_end")))
         return F.when(raw.isNull() | F.startswith(F.ltrim(raw), F.lit("{")), F.expr(f"cast(array() as array<{text}>)")).when(F.startswith(F.ltrim(raw), F.lit("[")), listed).otherwise(whole)
@@ -296,7 +296,9 @@ def extract_entities(papers: DataFrame, aliases: DataFrame | None = None) -> Dat
     metadata = {"keyword": F.transform("keywords", item), "author": F.transform("authors", item), "journal": F.array(item(F.col("journal")))}
     parts = [(field, kind, schema_field(field)) for field, kind in SCHEMA_FIELDS.items()] + [(None, kind, items) for kind, items in metadata.items()]
     every = F.array(*[F.struct(F.lit(n).alias("part"), F.lit(kind).alias("type"), F.lit(field).cast("string").alias("field"), F.coalesce(items, F.expr(f"cast(array() as array<{text}>)")).alias("items")) for n, (field, kind, items) in enumerate(parts)])
-    rows = papers.select("doi", F.explode(every).alias("p")).select("doi", "p.part", "p.type", "p.field", F.posexplode("p.items").alias("place", "x"))
+    # The JSON is read once for all fields, and not again for each use of one.
+    read = papers.select("doi", "keywords", "authors", "journal", F.json_tuple("extraction", *SCHEMA_FIELDS).alias(*[f"_{c}" for c in SCHEMA_FIELDS]))
+    rows = read.select("doi", F.explode(every).alias("p")).select("doi", "p.part", "p.type", "p.field", F.posexplode("p.items").alias("place", "x"))
     live = rows.select("doi", "part", "type", "field", "place", "x.surface", "x.span_start", "x.span_end").filter(F.coalesce("surface", F.lit("")) != "")
     named = canonical_names(live, aliases)
     first = F.min_by(F.struct("surface", "span_start", "span_end"), F.struct("part", "place"))
@@ -323,10 +325,13 @@ def model_mentions(answers: DataFrame, aliases: DataFrame | None = None, confide
     and the surfaces it confirms, as materials without a span. Answers that are no JSON give none."""
     parsed = answers.select("doi", F.from_json("answer", MODEL_ANSWER).alias("a"))
     none = F.lit(None).cast("int")
-    both = F.col("x.span_start").isNotNull() & F.col("x.span_end").isNotNull()
-    new = parsed.select("doi", F.explode("a.new_entities").alias("x")).select("doi", "x.surface", "x.type", F.when(both, F.col("x.span_start")).alias("span_start"), F.when(both, F.col("x.span_end")).alias("span_end"))
-    kept = parsed.select("doi", F.explode("a.validations").alias("x")).filter("x.keep").select("doi", "x.surface", F.lit("material").alias("type"), none.alias("span_start"), none.alias("span_end"))
-    live = new.filter("type <> ''").unionByName(kept).filter("surface <> ''")
+    empty = F.expr("cast(array() as array<struct<surface:string,type:string,span_start:int,span_end:int>>)")
+    # One list an answer, so that answers are made and parsed once.
+    both = lambda x: x["span_start"].isNotNull() & x["span_end"].isNotNull()
+    new = F.transform("a.new_entities", lambda x: F.struct(x["surface"].alias("surface"), x["type"].alias("type"), F.when(both(x), x["span_start"]).alias("span_start"), F.when(both(x), x["span_end"]).alias("span_end")))
+    kept = F.transform(F.filter("a.validations", lambda x: x["keep"]), lambda x: F.struct(x["surface"].alias("surface"), F.lit("material").alias("type"), none.alias("span_start"), none.alias("span_end")))
+    items = F.concat(F.coalesce(F.filter(new, lambda x: x["type"] != ""), empty), F.coalesce(kept, empty))
+    live = parsed.select("doi", F.explode(items).alias("x")).select("doi", "x.*").filter("surface <> ''")
     return canonical_names(live, aliases).select("doi", "canonical_id", "type", F.lit("llm_cloud").alias("source"), F.lit(None).cast("string").alias("field"), "span_start", "span_end", F.lit(confidence).alias("confidence"))
 
 

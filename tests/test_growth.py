@@ -100,3 +100,14 @@ def test_a_block_of_neighbours_is_compared_in_slabs():
     for n in (3900, 3999, 4000, 4899):
         want = sorted((-round(float((u[j] * u[n]).sum()), 4), f"d{j}") for j in range(4000) if j != n)[:5]
         assert [(-r.score, r.doi) for r in got[got["query"] == f"d{n}"].itertuples()] == want
+
+
+def test_answers_and_extractions_are_read_once(spark):
+    answers = spark.createDataFrame([("p", '{"new_entities": [{"surface": "Resins", "type": "topic", "span_start": 1, "span_end": 7}], "validations": null}'), ("q", '{"validations": [{"surface": "Gels.", "keep": true}, {"surface": "x", "keep": null}]}'), ("r", None)], "doi string, answer string")
+    made = G.model_mentions(answers)
+    assert plan(made).count("ArrowEvalPython") == 1 and plan(made).count("Generate explode") == 1
+    assert {(r.doi, r.canonical_id, r.type, r.span_start) for r in made.collect()} == {("p", "resin", "topic", 1), ("q", "gel", "material", None)}
+    papers = spark.createDataFrame([("p", '{"methods_summary": "Assays", "discovered_topics": ["PCR"]}', ["k"], None, None), ("q", "{bad", None, ["A"], "J"), ("r", None, None, None, "K")], "doi string, extraction string, keywords array<string>, authors array<string>, journal string")
+    found = G.extract_entities(papers)
+    assert plan(found).count("json_tuple") == 1 and "get_json_object" not in plan(found)
+    assert {(r.doi, r.type, r.canonical_id) for r in found.collect()} == {("p", "method", "assay"), ("p", "topic", "pcr"), ("p", "keyword", "k"), ("q", "author", "a"), ("q", "journal", "j"), ("r", "journal", "k")}
