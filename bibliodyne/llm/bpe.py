@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
+from bibliodyne.llm.memory import release
+
 # Fixed value: the published split pattern of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct words a worker remembers before it starts over.
+#: Distinct words a task remembers before it starts over.
 MEMO_WORDS = 250_000
 #: Texts of one Arrow batch that are split together; bounds what a batch holds besides its rows.
 BLOCK = 128
@@ -160,6 +162,13 @@ class Encoder:
         memo = self.memo
         return [b"".join([memo[s] for s in x]) for x in split]
 
+    def forget(self) -> None:
+        """Drop the words and pairs of a task that is over: the worker lives on, beside and in other operators."""
+        self.memo = {}
+        self.vocab.adjacent.cache_clear()
+        Vocabulary.whole.cache_clear()
+        release()
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -184,6 +193,7 @@ def encode(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([np.frombuffer(p, dtype="<u4").astype("int32") for p in _encoded(path, texts)], dtype=object)
+        encoder(path).forget()
 
     return ids(text)
 
@@ -214,6 +224,10 @@ def _per_block(docs: DataFrame, path: str, others: list[str], made: StructType,
                 packed = coder.batch([t or "" for t in part.column(len(names) - 1).to_pylist()])
                 kept = [part.column(i) for i in range(len(others))]
                 yield pa.RecordBatch.from_arrays([*kept, *arrays(coder.vocab, packed)], names=schema.names)
+            part = packed = kept = None
+            release()
+        batch = None
+        coder.forget()
 
     return docs.select(*[F.col(f"`{c}`") for c in others], F.col("text")).mapInArrow(run, schema)
 
