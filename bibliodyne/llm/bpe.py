@@ -6,7 +6,7 @@ therefore the encoding of a shorter prefix plus one last token, and a trie node
 only that last token. Words that share a prefix share the nodes, so its states are computed once.
 
 Every Arrow batch inserts its new distinct words. Sorted words are the trie in depth-first order:
-going to the next word pops the path back to the shared prefix and pushes one state per new byte,
+going to the next word pops the path back to the shared prefix and adds the states that the new word asks for,
 which keeps one root-to-leaf path in memory however many words there are.
 
 Null and empty texts have no tokens. Long texts are encoded whole. Repeated rows give equal rows.
@@ -19,7 +19,6 @@ import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
-from os.path import commonprefix
 from struct import pack
 
 import numpy as np
@@ -32,9 +31,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from bibliodyne.llm.memory import release
 
-# Fixed value: the published split pattern of byte-level BPE.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct words a task remembers before it starts over.
+# Fixed value: the published split pattern of byte-level BPE, the commonest pieces first (no other starts as they do).
+SPLIT = regex.compile(r" ?\p{L}++|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+")
+#: Distinct words a task remembers before it forgets those that came once, or starts over.
 MEMO_WORDS = 250_000
 #: Texts of one Arrow batch that are split together; bounds what a batch holds besides its rows.
 BLOCK = 128
@@ -64,7 +63,11 @@ class Vocabulary:
         self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
         for (left, right), rank in self.ranks.items():
             self.made.setdefault(left + right, (rank, left, right))
-        self.longest = max(map(len, self.ids))
+        # Lengths that a token may have before a position, by the last bytes there, the longest first.
+        self.by_two = {t: (2, 1) for t in self.ids if len(t) == 2}
+        self.by_three: dict[bytes, tuple[int, ...]] = {}
+        for end, size in sorted({(t[-3:], len(t)) for t in self.ids if len(t) > 2}):
+            self.by_three[end] = (size, *self.by_three.get(end, self.by_two.get(end[1:], (1,))))
         self.text_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.adjacent = lru_cache(maxsize=1 << 17)(self._adjacent)
@@ -109,26 +112,40 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+#: Bytes of a word up to which states are sought from its end; in longer ones all are made in order.
+SHORT = 256
+
+
 def encode_words(vocab: Vocabulary, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
     """Encode distinct words by walking their trie depth first.
 
-    ``last[d]`` is the last token of the encoding of the current path's first ``d`` bytes.
+    ``last[d]`` is the last token of the encoding of the current path's first ``d`` bytes, None until it is asked for: a
+    word asks for the state at its end, and a state for those before the tokens that may end there.
     """
-    ids, adjacent, whole, longest = vocab.ids, vocab.adjacent, vocab.whole, vocab.longest
-    path, last = b"", [b""]
+    ids, adjacent, whole = vocab.ids, vocab.adjacent, vocab.whole
+    by_three, by_two, one = vocab.by_three.get, vocab.by_two.get, (1,)
+    path, word, last = b"", b"", [b""]
+
+    def state(d: int) -> bytes:
+        for size in (by_three(word[d - 3 : d]) if d > 2 else None) or by_two(word[d - 2 if d > 2 else 0 : d], one):
+            start = d - size
+            if start >= 0 and (token := word[start:d]) in ids and (adjacent(last[start] or state(start), token) if start else whole(token)):
+                last[d] = token
+                return token
+        raise ValueError(f"no token of the vocabulary ends the prefix {word[:d]!r}")
+
     for word in sorted(words):
-        shared = len(commonprefix((path, word)))
-        del last[shared + 1 :]
-        for d in range(shared + 1, len(word) + 1):
-            for start in range(d - 1, d - longest - 1 if d > longest else -1, -1):
-                if (token := word[start:d]) in ids and (adjacent(last[start], token) if start else whole(token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token of the vocabulary ends the prefix {word[:d]!r}")
-        path, d, out = word, len(word), []
+        shared, n = 0, len(word)
+        for a, b in zip(path, word, strict=False):
+            if a != b:
+                break
+            shared += 1
+        last[shared + 1 :] = [None] * (n - shared)
+        for d in range(1, n) if n > SHORT else ():
+            last[d] or state(d)
+        path, d, out = word, n, []
         while d:
-            token = last[d]
+            token = last[d] or state(d)
             out.append(ids[token])
             d -= len(token)
         yield word, out[::-1]
@@ -140,6 +157,8 @@ class Encoder:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
         self.memo: dict[str, bytes] = {}
+        #: Words of the memo that one block only has had.
+        self.fresh: set[str] = set()
 
     def pieces(self, text: str) -> list[str]:
         if self.vocab.cut is None:
@@ -151,10 +170,17 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
-        new = set().union(*split).difference(self.memo) if split else set()
+        words = set().union(*split)
+        new = words.difference(self.memo)
+        self.fresh -= words
         if new and len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {}
-            new = set().union(*split)
+            # Most words come once; those that came again stay.
+            for s in self.fresh:
+                del self.memo[s]
+            self.fresh = set()
+            if len(self.memo) + len(new) > MEMO_WORDS:
+                self.memo, new = {}, words
+        self.fresh |= new
         for s in new & self.vocab.added.keys():
             self.memo[s] = pack("<I", self.vocab.added[s])
         for word, out in encode_words(self.vocab, [s.encode() for s in new - self.vocab.added.keys()]):
@@ -164,7 +190,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Drop the words and pairs of a task that is over: the worker lives on, beside and in other operators."""
-        self.memo = {}
+        self.memo, self.fresh = {}, set()
         self.vocab.adjacent.cache_clear()
         Vocabulary.whole.cache_clear()
         release()
