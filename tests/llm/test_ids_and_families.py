@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from bibliodyne.llm import nndescent, simhash, warc
 
@@ -126,3 +127,42 @@ def test_sketch_keys_meet_pairs_at_the_bound(spark):
         near += bool(((a == b).sum(axis=1) >= 5).any())
         far += bool(((a == c).sum(axis=1) >= 5).any())
     assert near >= 390 and far <= 24
+
+
+def test_nodes_that_share_buckets_meet_in_the_first_one_only(spark):
+    rng = random.Random(12)
+    base = [rng.randrange(1000) for _ in range(36)]
+    sketches = [[v if rng.random() > share else rng.randrange(1000) for v in base] for share in (0, 0, 0.05, 0.1, 0.2, 0.3, 1) for _ in range(4)]
+    nodes = spark.createDataFrame([(i, 9, m) for i, m in enumerate(sketches)], "nid long, n int, m array<int>")
+    keys = {}
+    for r in simhash._sketch_index(nodes).collect():
+        keys.setdefault(r.nid, []).append(r.key)
+    p, q = (nodes.select(F.struct("nid", "m").alias(c)) for c in "pq")
+    for r in p.crossJoin(q).select("p.nid", F.col("q.nid").alias("other"), simhash._first_key("p", "q").alias("first")).collect():
+        both = set(keys[r.nid]) & set(keys[r.other])
+        assert r.first == next((k for k in keys[r.nid] if k in both), None)
+
+
+def test_rows_meet_their_class_with_large_ones_apart(spark):
+    from bibliodyne.llm.hot import join_class
+    from bibliodyne.session import materialize
+
+    rows = spark.createDataFrame([(1 if i < 40 else i, i) for i in range(60)] + [(None, 99)], "key long, nid long")
+    classes = materialize(spark.createDataFrame([(1, "a", 4000), *[(k, "b", 1) for k in range(40, 50)]], "key long, v string, copies long"), "classes")
+    plain, apart = (join_class(rows, classes, "key", "nid", twice=t) for t in (False, True))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, apart.collect())) and apart.count() == 61
+    # The broadcast join no longer writes a row for every row that belongs to no large class.
+    assert not [x for x in apart._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x and "_large_key" in x]
+
+
+def test_texts_are_fetched_once_and_whole_rows_are_dealt_for_repeated_ones_only(spark, monkeypatch):
+    fetched, fetch = [], simhash._texts
+    monkeypatch.setattr(simhash, "_texts", lambda *x: fetched.append(1) or fetch(*x))
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in (0, 59)]
+    rows = [(1, " ".join(words)), (2, near[0]), (3, near[1]), (4, "alone"), (None, "alone too"), (None, "alone too"), (None, near[0])]
+    once = simhash.keep_one(spark.createDataFrame([r for r in rows if r[0]], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in once.collect()) == [1, 4] and len(fetched) == 1
+    assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, rows[0][1]), (4, "alone"), (0, "alone too")])
