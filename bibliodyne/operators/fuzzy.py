@@ -371,10 +371,13 @@ def author_year_references(citations: DataFrame, references: DataFrame, least: f
 
 
 def resolve_references(citations: DataFrame, references: DataFrame) -> DataFrame:
-    """Every citation with its target: numeric, else fuzzy, else unresolved."""
-    numeric = numeric_references(citations, references)
-    rest = citations.join(numeric.select("doi", "ref_id"), ["doi", "ref_id"], "left_anti")
-    fuzzy = author_year_references(rest, references)
+    """Every citation with its target: numeric, else fuzzy, else unresolved.
+
+    What a later step asks of an earlier one is written once, so that nothing is made, joined or compared again for it."""
+    citations, references = materialize(citations, "citations"), materialize(references, "references")
+    numeric = materialize(numeric_references(citations, references), "references-numeric")
+    rest = materialize(citations.join(numeric.select("doi", "ref_id"), ["doi", "ref_id"], "left_anti"), "citations-rest")
+    fuzzy = materialize(author_year_references(rest, references), "references-fuzzy")
     none = rest.join(fuzzy.select("doi", "ref_id"), ["doi", "ref_id"], "left_anti").select("doi", "ref_id", F.lit(None).cast("string").alias("target"), F.lit("unresolved").alias("resolution"))
     return numeric.unionByName(fuzzy).unionByName(none)
 

@@ -111,3 +111,12 @@ def test_answers_and_extractions_are_read_once(spark):
     found = G.extract_entities(papers)
     assert plan(found).count("json_tuple") == 1 and "get_json_object" not in plan(found)
     assert {(r.doi, r.type, r.canonical_id) for r in found.collect()} == {("p", "method", "assay"), ("p", "topic", "pcr"), ("p", "keyword", "k"), ("q", "author", "a"), ("q", "journal", "j"), ("r", "journal", "k")}
+
+
+def test_references_are_resolved_in_steps_that_run_once(spark):
+    citations = spark.createDataFrame([("p", "[1]"), ("p", "Smith & Jones (2002)"), ("p", "Nobody 1951"), (None, "[1]")], "doi string, ref_id string")
+    references = spark.createDataFrame([("p", 1, "x", "Adams", 2001), ("p", 2, "y", "Smith", 2002)], "doi string, pos int, ref_doi string, surname string, year int")
+    out = Z.resolve_references(citations, references)
+    # No step reads the input, or what comes before it, again.
+    assert "ExistingRDD" not in plan(out) and "LocalTableScan" not in plan(out) and "Python" not in plan(out)
+    assert {(r.doi, r.ref_id): (r.target, r.resolution) for r in out.collect()} == {("p", "[1]"): ("x", "numeric"), ("p", "Smith & Jones (2002)"): ("y", "fuzzy"), ("p", "Nobody 1951"): (None, "unresolved"), (None, "[1]"): (None, "unresolved")}
