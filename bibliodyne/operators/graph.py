@@ -141,7 +141,10 @@ def neighborhood(mentions: DataFrame, entities: DataFrame, k: int = 25) -> DataF
     """(canonical_id, other, n_paths): co-entities of given entities by edge paths, not distinct papers."""
     mine = mentions.join(entities.select("canonical_id"), "canonical_id", "left_semi").select("canonical_id", "doi")
     others = mentions.select(F.col("canonical_id").alias("other"), "doi")
-    paths = mine.join(others, "doi").filter("canonical_id <> other").groupBy("canonical_id", "other").agg(F.count("*").alias("n_paths"))
+    # Some four pairs a mention; tasks hold a bounded number of them, and their number follows the mentions.
+    n = 4 * mentions.count()
+    pairs = dealt(mine.join(others, "doi").filter("canonical_id <> other").select("canonical_id", "other"), n, "canonical_id", "other")
+    paths = dealt(pairs.groupBy("canonical_id", "other").agg(F.count("*").alias("n_paths")), n, "canonical_id")
     return paths.withColumn("place", F.row_number().over(W.partitionBy("canonical_id").orderBy(F.desc("n_paths"), "other"))).filter(F.col("place") <= k)
 
 

@@ -113,6 +113,21 @@ def test_answers_and_extractions_are_read_once(spark):
     assert {(r.doi, r.type, r.canonical_id) for r in found.collect()} == {("p", "method", "assay"), ("p", "topic", "pcr"), ("p", "keyword", "k"), ("q", "author", "a"), ("q", "journal", "j"), ("r", "journal", "k")}
 
 
+def test_tasks_of_the_neighbourhood_follow_the_mentions(spark, monkeypatch):
+    monkeypatch.setattr("bibliodyne.session.TASK_ROWS", 20)
+    mentions = some_mentions(spark).select("doi", "canonical_id")
+    tasks = -(-4 * mentions.count() // 20)
+    out = G.neighborhood(mentions, mentions.select("canonical_id").distinct(), 3)
+    assert plan(out).count(f", {tasks}), REPARTITION_BY_NUM") == 2
+    rows, pairs = [tuple(r) for r in mentions.collect()], {}
+    for d, a in rows:
+        for e, b in rows:
+            if d == e and a != b:
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    want = {(a, b, n, p) for x in {a for a, _ in pairs} for p, (a, b, n) in enumerate(sorted(((a, b, n) for (a, b), n in pairs.items() if a == x), key=lambda t: (-t[2], t[1]))[:3], 1)}
+    assert {(r.canonical_id, r.other, r.n_paths, r.place) for r in out.collect()} == want
+
+
 def test_references_are_resolved_in_steps_that_run_once(spark):
     citations = spark.createDataFrame([("p", "[1]"), ("p", "Smith & Jones (2002)"), ("p", "Nobody 1951"), (None, "[1]")], "doi string, ref_id string")
     references = spark.createDataFrame([("p", 1, "x", "Adams", 2001), ("p", 2, "y", "Smith", 2002)], "doi string, pos int, ref_doi string, surname string, year int")
