@@ -200,23 +200,26 @@ def candidate_signals(candidates: DataFrame, mentions: DataFrame, cites: DataFra
     extends or compares to (``relations``: doi, predicate, target_id), authors shared regardless of case and the
     first three of their names; 0 or empty where there is none."""
     cand, lib = candidates.select("doi"), library.select("doi")
-    edges = mentions.select("doi", "canonical_id").distinct()
+    # Nulls meet nothing; left out for both sides alike, so that the mentions are dealt by paper once. A paper's rows are made
+    # distinct where they are counted, in one shuffle, and those of candidates only.
+    edges = mentions.select("doi", "canonical_id").filter("doi IS NOT NULL AND canonical_id IS NOT NULL")
     known = edges.join(lib, "doi", "left_semi").select("canonical_id").distinct()
-    shared = edges.join(cand, "doi", "left_semi").join(known, "canonical_id", "left_semi").groupBy("doi").agg(F.count("*").alias("n_shared_entities"))
+    met = edges.join(cand, "doi", "left_semi").join(known, "canonical_id", "left_semi").select("doi", "canonical_id")
+    shared = dealt(met, mentions.count(), "doi").distinct().groupBy("doi").agg(F.count("*").alias("n_shared_entities"))
     lib_target, lib_source = lib.withColumnRenamed("doi", "target"), lib.withColumnRenamed("doi", "source")
     out = cites.join(lib_target, "target", "left_semi").groupBy(F.col("source").alias("doi")).agg(F.count("*").alias("n_cites_out"))
     into = cites.join(lib_source, "source", "left_semi").groupBy(F.col("target").alias("doi")).agg(F.count("*").alias("n_cites_in"))
-    folded = authorship.withColumn("_a", F.lower(F.col("author").cast("string")))
+    folded = authorship.select("doi", "author").filter("doi IS NOT NULL AND author IS NOT NULL").withColumn("_a", F.lower(F.col("author").cast("string")))
     lib_authors = folded.join(lib, "doi", "left_semi").select("_a").distinct()
     names = folded.join(cand, "doi", "left_semi").join(lib_authors, "_a", "left_semi").groupBy("doi").agg(F.array_sort(F.collect_set("author")).alias("names"))
     authors = names.select("doi", F.size("names").cast("long").alias("n_shared_authors"), F.slice("names", 1, 3).alias("shared_authors_sample"))
     parts = [shared, out, into, authors]
-    for predicate, name in (("EXTENDS", "n_extends"), ("COMPARES_TO", "n_compares")):
-        if relations is None:
-            parts.append(cand.distinct().withColumn(name, F.lit(0).cast("long")))
-        else:
-            hit = relations.filter(F.col("predicate") == predicate).join(lib.withColumnRenamed("doi", "target_id"), "target_id", "left_semi")
-            parts.append(hit.groupBy("doi").agg(F.count("*").alias(name)))
+    kinds = {"n_extends": "EXTENDS", "n_compares": "COMPARES_TO"}
+    if relations is None:
+        parts.append(cand.distinct().select("doi", *[F.lit(0).cast("long").alias(name) for name in kinds]))
+    else:
+        hit = relations.filter(F.col("predicate").isin(*kinds.values())).join(lib.withColumnRenamed("doi", "target_id"), "target_id", "left_semi")
+        parts.append(hit.groupBy("doi").agg(*[F.count_if(F.col("predicate") == predicate).alias(name) for name, predicate in kinds.items()]))
     joined = cand.distinct()
     for part in parts:
         joined = joined.join(part, "doi", "left")

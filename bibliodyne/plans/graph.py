@@ -9,6 +9,7 @@ from bibliodyne.operators.relational import library, trending_counts
 from bibliodyne.plans.registry import query
 from bibliodyne.plans.relational import TRENDING
 from bibliodyne.plans.standins import cites
+from bibliodyne.session import materialize
 
 EDGES = "edges as (select distinct doi, canonical_id from mentions)"
 PAIRS = "pairs as (select a.doi, b.doi as other, count(*) as n_shared from edges a join edges b on a.canonical_id = b.canonical_id and a.doi <> b.doi where {0} group by 1, 2)"
@@ -46,8 +47,9 @@ left join (select source, string_agg(distinct target, ',' order by target) as n
 
 def signals(t):
     """Signals of discovered papers; what a paper cites it extends or compares to."""
-    edges = cites(t.papers).select(F.col("source").alias("doi"), F.expr("case when length(source) % 2 = 0 then 'EXTENDS' else 'COMPARES_TO' end").alias("predicate"), F.col("target").alias("target_id"))
-    return G.candidate_signals(t.papers.filter("status = 'discovered'"), t.mentions, cites(t.papers), library(t.papers), t.mentions.select("doi", F.col("supplier").alias("author")), edges)
+    cited = materialize(cites(t.papers), "cites")
+    edges = cited.select(F.col("source").alias("doi"), F.expr("case when length(source) % 2 = 0 then 'EXTENDS' else 'COMPARES_TO' end").alias("predicate"), F.col("target").alias("target_id"))
+    return G.candidate_signals(t.papers.filter("status = 'discovered'"), t.mentions, cited, library(t.papers), t.mentions.select("doi", F.col("supplier").alias("author")), edges)
 
 
 def _gated(t):

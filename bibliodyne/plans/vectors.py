@@ -11,6 +11,7 @@ from bibliodyne.operators.neighbours import knn_approximate
 from bibliodyne.operators.relational import last_surfaced
 from bibliodyne.plans.graph import EDGES, LIB, signals
 from bibliodyne.plans.registry import query
+from bibliodyne.session import materialize
 
 NOW = "2024-02-01"
 
@@ -68,10 +69,15 @@ left join (select source, count(*) as n from cites where target in (select doi f
 left join (select doi, count(distinct author) as n from a where author in (select author from a where doi in (select doi from lib)) group by doi) x on c.doi = x.doi)"""
 
 
+def _scored(found):
+    """Legs and a score of papers with their signals, which are found once."""
+    return V.graph_leg(found).join(found.select("doi", (1 - F.col("n_shared_entities") / 100).alias("score")), "doi")
+
+
 query("rank_graph_leg", f"with {SIG} select doi, round(0.15 * least(e / 5.0, 1.0), 6) as entities, round(0.1 * least(k / 3.0, 1.0), 6) as citations, round(0.05 * least(h / 3.0, 1.0), 6) as authors from sig")(
     lambda t: V.graph_leg(signals(t)).select("doi", *[F.round(c, 6).alias(c) for c in ("entities", "citations", "authors")]))
 query("rank_breakdown", f"""with {SIG} select doi, round(round(1 - e / 100.0, 3) - round(0.15 * least(e / 5.0, 1.0), 3) - round(0.1 * least(k / 3.0, 1.0), 3) - round(0.05 * least(h / 3.0, 1.0), 3), 3) as vector, round(0.1 * least(k / 3.0, 1.0), 3) as citations, 0.0::double as feedback from sig""")(
-    lambda t: V.breakdown(V.graph_leg(signals(t)).join(signals(t).select("doi", (1 - F.col("n_shared_entities") / 100).alias("score")), "doi")).select(
+    lambda t: V.breakdown(_scored(materialize(signals(t), "signals"))).select(
         "doi", F.col("breakdown")["vector"].alias("vector"), F.col("breakdown")["citations"].alias("citations"), F.col("breakdown")["feedback"].alias("feedback")))
 query("flt_domain_split", f"with {VEC}, {MEAN} select doi, {COS.format('embedding', 'vector')} >= 0.1 as in_domain from v, dom where vec_id % 2 = 1")(
     lambda t: V.domain_split(vecs(t, 1), liked(t), 0.1).select("doi", "in_domain"))

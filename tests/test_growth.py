@@ -135,3 +135,8 @@ def test_references_are_resolved_in_steps_that_run_once(spark):
     # No step reads the input, or what comes before it, again.
     assert "ExistingRDD" not in plan(out) and "LocalTableScan" not in plan(out) and "Python" not in plan(out)
     assert {(r.doi, r.ref_id): (r.target, r.resolution) for r in out.collect()} == {("p", "[1]"): ("x", "numeric"), ("p", "Smith & Jones (2002)"): ("y", "fuzzy"), ("p", "Nobody 1951"): (None, "unresolved"), (None, "[1]"): (None, "unresolved")}
+
+
+def test_the_breakdown_finds_its_signals_once(spark):
+    out = catalog.QUERIES["rank_breakdown"](spark, SF)
+    assert "testdata" not in plan(out) and out.count() == catalog.QUERIES["rank_graph_leg"](spark, SF).count()
