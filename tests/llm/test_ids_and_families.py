@@ -166,3 +166,45 @@ def test_texts_are_fetched_once_and_whole_rows_are_dealt_for_repeated_ones_only(
     assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, rows[0][1]), (4, "alone"), (0, "alone too")])
+
+
+def test_signatures_tell_pairs_just_below_the_bound(spark):
+    """Of pairs at 0.72 few are candidates, which 91 of 128 equal min-hashes let through in most cases; at 0.8 nearly all are."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(404)]
+        near, below = list(words), list(words)
+        for at in range(4, 404, 45):
+            near[at] = f"v{rng.randrange(10**9)}"
+        for at in range(4, 404, 30):
+            below[at] = f"v{rng.randrange(10**9)}"
+        rows += [(i, kind, " ".join(x)) for kind, x in (("base", words), ("near", near), ("below", below))]
+    assert 0.79 < len(simhash.shingles(rows[0][2]) & simhash.shingles(rows[1][2])) / len(simhash.shingles(rows[0][2]) | simhash.shingles(rows[1][2])) < 0.8
+    assert 0.69 < len(simhash.shingles(rows[0][2]) & simhash.shingles(rows[2][2])) / len(simhash.shingles(rows[0][2]) | simhash.shingles(rows[2][2])) < 0.73
+    signed = spark.createDataFrame(rows, "i long, kind string, text string").select("i", "kind", simhash.sketch(F.col("text")).alias("k"), simhash.signature(F.col("text")).alias("s")).select("i", "kind", F.struct("k.n", "s.e", "s.f").alias("p"))
+    base = signed.filter("kind = 'base'").select("i", F.col("p").alias("q"))
+    found = signed.join(base, "i").filter(simhash._alike(0.8)("p", "q")).groupBy("kind").count()
+    count = {r["kind"]: r["count"] for r in found.collect()}
+    assert count["base"] == 60 and count["near"] >= 58 and count.get("below", 0) <= 6
+
+
+def test_sieve_keeps_what_a_join_keeps_and_most_others_out(spark):
+    from bibliodyne.llm.hot import sieved
+    from bibliodyne.session import materialize
+
+    rows = spark.createDataFrame([*[(i, "t") for i in range(3000)], (None, "t")], "id long, text string")
+    wanted = materialize(spark.createDataFrame([*[(i,) for i in range(0, 3000, 30)], (None,)], "w long"), "wanted")
+    maybe, never = sieved(rows, "id", wanted, "w")
+    inside = {r.id for r in maybe.collect()}
+    assert {None, *range(0, 3000, 30)} <= inside and len(inside) < 400
+    assert len(inside) + never.count() == 3001 and not inside & {r.id for r in never.collect()}
+    assert sieved(rows, "id", wanted.limit(0), "w")[1].count() == 3001
+
+
+def test_whole_rows_of_ids_that_are_not_named_are_not_moved(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(words)), (1, " ".join(["other", *words[1:]])), *[(i, f"alone {i}") for i in range(2, 400)]]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(2, 400)]
+    assert "Union" in (plan := kept._jdf.queryExecution().optimizedPlan().toString()) and "_bits" in plan
