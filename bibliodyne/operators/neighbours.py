@@ -61,7 +61,10 @@ def _nearest_cells(vectors: DataFrame, centroids: np.ndarray, probes: int, name:
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x, good = units(b.embedding, centroids.shape[1])
-            order = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            far = -(x @ centroids.T)
+            # No whole order of the cells for a few of them.
+            some = np.sort(np.argpartition(far, probes - 1, axis=1)[:, :probes], axis=1) if 1 < probes < len(centroids) else np.argmin(far, axis=1)[:, None] if probes == 1 else np.tile(np.arange(len(centroids)), (len(x), 1))
+            order = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
             yield pd.DataFrame({"doi": b.doi, "embedding": b.embedding, name: list(order)})[good]
 
     kind = vectors.schema["embedding"].dataType.simpleString()
@@ -114,20 +117,33 @@ def tuned(index: CellIndex, queries: DataFrame, k: int, recall: float = 0.97) ->
     return index
 
 
-def search(index: CellIndex, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """(query, doi, score, rank) as ``knn`` gives them, from the probed cells."""
-    asked = _nearest_cells(queries, index.centroids, index.probes, "cells").select(F.col("doi").alias("q_doi"), F.col("embedding").alias("q_v"), F.explode("cells").alias("q_cell"))
-    asked = materialize(asked, "probes")
+def _searched(index: CellIndex, asked: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(query, doi, score): up to k rows for each block of a cell that a query is in ``asked`` (materialised) with."""
     visits = asked.groupBy(F.col("q_cell").alias("cell")).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("q_blocks"))
     held = index.rows.groupBy("cell").agg((F.max("block") + 1).alias("blocks"))
     cells = materialize(held.join(visits, "cell"), "cells-met")  # one row a cell
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = index.rows.join(F.broadcast(cells), "cell").select(F.col("doi").alias("l_doi"), F.col("embedding").alias("l_v"), F.col("cell").alias("l_c"), F.col("block").alias("l_r"), every("q_blocks").alias("l_q"))
     of_cell = F.broadcast(cells.withColumnRenamed("cell", "_c"))
-    right = asked.join(of_cell, F.col("q_cell") == F.col("_c")).select("q_doi", "q_v", "q_cell", every("blocks").alias("q_r"), F.pmod(F.xxhash64(F.lit(1), "q_doi"), F.col("q_blocks")).cast("int").alias("q_q"))
-    near = left.groupBy("l_c", "l_r", "l_q").cogroup(right.groupBy("q_cell", "q_r", "q_q")).applyInPandas(lambda rows, some: best_of(rows, some, k, exclude_self), "query string, doi string, score double")
-    order = W.partitionBy("query").orderBy(F.desc("score"), "doi")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    right = asked.join(of_cell, F.col("q_cell") == F.col("_c")).select("q_doi", "q_v", "q_f", "q_cell", every("blocks").alias("q_r"), F.pmod(F.xxhash64(F.lit(1), "q_doi"), F.col("q_blocks")).cast("int").alias("q_q"))
+    return left.groupBy("l_c", "l_r", "l_q").cogroup(right.groupBy("q_cell", "q_r", "q_q")).applyInPandas(lambda rows, some: best_of(rows, some, k, exclude_self), "query string, doi string, score double")
+
+
+def search(index: CellIndex, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+    """(query, doi, score, rank) as ``knn`` gives them, from the probed cells.
+
+    The nearest cell goes first: its k-th score is a floor under which rows of the other cells are not written."""
+    best = lambda near: near.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doi"))).filter(F.col("rank") <= k)
+    placed = materialize(_nearest_cells(queries, index.centroids, index.probes, "cells"), "probes")
+    none = F.lit(None).cast("double")
+    asked = placed.select(F.col("doi").alias("q_doi"), F.col("embedding").alias("q_v"), F.col("cells")[0].alias("q_cell"), none.alias("q_f"))
+    first = materialize(best(_searched(index, asked, k, exclude_self)), "near")
+    if index.probes == 1:
+        return first
+    floor = first.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("q_f"))
+    rest = placed.join(floor, F.col("doi") == F.col("query"), "left").select(F.col("doi").alias("q_doi"), F.col("embedding").alias("q_v"), F.explode(F.slice("cells", 2, index.probes)).alias("q_cell"), "q_f")
+    near = _searched(index, materialize(rest, "probes"), k, exclude_self)
+    return best(first.drop("rank").unionByName(near))
 
 
 def compared(index: CellIndex, queries: DataFrame) -> int:

@@ -20,6 +20,8 @@ TINY = 1e-9
 MOST_CENTROIDS = 10_000
 #: Queries of a block whose products with its rows a task holds at once.
 SLAB = 64
+#: Row products made at once.
+PRODUCTS = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,29 +46,38 @@ def units(v: pd.Series, size: int | None = None) -> tuple[np.ndarray, np.ndarray
 
 
 def best_of(rows: pd.DataFrame, asked: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
-    """(query, doi, score) of the k nearest ``rows`` (l_doi, l_v) of each of ``asked`` (q_doi, q_v).
+    """(query, doi, score) of the k nearest ``rows`` (l_doi, l_v) of each of ``asked`` (q_doi, q_v), of those with a score of ``q_f``
+    or more if ``asked`` has that column (null: all).
 
     A matrix product finds whoever may be among them; row products, which do not depend on the block a pair
     stands in, give the scores."""
-    out: list[tuple] = []
+    out: list[pd.DataFrame] = []
     if len(rows) and len(asked):
         x, xg = units(rows.l_v)
         q, qg = units(asked.q_v)
         ids, names = rows.l_doi.to_numpy(), asked.q_doi.to_numpy()
+        order_of = ids.astype(str)
+        floor = np.nan_to_num(asked.q_f.to_numpy(dtype=np.float64), nan=-np.inf) if "q_f" in asked else np.full(len(q), -np.inf)
         for at in range(0, len(q) if x.shape[1] == q.shape[1] else 0, SLAB):
             near = q[at : at + SLAB] @ x.T
             near[:, ~xg] = -np.inf
+            near[~qg[at : at + SLAB]] = -np.inf
             last = max(0, len(ids) - 1 - k)
-            edges = np.partition(near, last, axis=1)[:, last]
-            for i in np.nonzero(qg[at : at + SLAB])[0]:
-                # Rounding to 4 decimals may tie what the product tells apart.
-                some = np.nonzero(np.isfinite(near[i]) & (near[i] >= edges[i] - 2e-4))[0]
-                if exclude_self:
-                    some = some[ids[some] != names[at + i]]
-                s = np.round((x[some] * q[at + i]).sum(axis=1), 4)
-                order = np.lexsort((ids[some].astype(str), -s))[:k]
-                out += [(names[at + i], ids[some[j]], float(s[j])) for j in order]
-    return pd.DataFrame(out, columns=["query", "doi", "score"])
+            edges = np.maximum(np.partition(near, last, axis=1)[:, last], floor[at : at + SLAB])
+            # Rounding to 4 decimals may tie what the product tells apart.
+            i, j = np.nonzero(np.isfinite(near) & (near >= edges[:, None] - 2e-4))
+            i += at
+            if exclude_self:
+                other = ids[j] != names[i]
+                i, j = i[other], j[other]
+            s = np.concatenate([np.zeros(0), *[np.round((x[j[c : c + PRODUCTS]] * q[i[c : c + PRODUCTS]]).sum(axis=1), 4) for c in range(0, len(i), PRODUCTS)]])
+            over = s >= floor[i]
+            i, j, s = i[over], j[over], s[over]
+            order = np.lexsort((order_of[j], -s, i))
+            i, j, s = i[order], j[order], s[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pd.DataFrame({"query": names[i[first]], "doi": ids[j[first]], "score": s[first]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=["query", "doi", "score"])
 
 
 def knn(queries: DataFrame, library: DataFrame, k: int, block_rows: int = 8192, block_queries: int = 1024, exclude_self: bool = True) -> DataFrame:
