@@ -32,6 +32,8 @@ MOST_CELLS, SAMPLE_PER_CELL = 4096, 32
 #: Queries whose exact neighbours the audit counts.
 AUDITED = 256
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Rows at most of small cells that are searched together.
+BIN_ROWS = 4096
 
 
 @dataclass
@@ -55,8 +57,8 @@ def read_index(spark: SparkSession, path: str) -> CellIndex:
     return CellIndex(np.array(head["centroids"]), spark.read.parquet(f"{path}/rows"), head["probes"])
 
 
-def _nearest_cells(vectors: DataFrame, centroids: np.ndarray, probes: int, name: str) -> DataFrame:
-    """(doi, embedding, cells): the ``probes`` nearest cells of each usable vector, the nearest first."""
+def _nearest_cells(vectors: DataFrame, centroids: np.ndarray, probes: int, name: str, bins: np.ndarray | None = None) -> DataFrame:
+    """(doi, embedding, cells): the ``probes`` nearest cells of each usable vector, the nearest first; or their bins, once each."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -65,7 +67,8 @@ def _nearest_cells(vectors: DataFrame, centroids: np.ndarray, probes: int, name:
             # No whole order of the cells for a few of them.
             some = np.sort(np.argpartition(far, probes - 1, axis=1)[:, :probes], axis=1) if 1 < probes < len(centroids) else np.argmin(far, axis=1)[:, None] if probes == 1 else np.tile(np.arange(len(centroids)), (len(x), 1))
             order = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
-            yield pd.DataFrame({"doi": b.doi, "embedding": b.embedding, name: list(order)})[good]
+            found = list(order) if bins is None else [pd.unique(o) for o in bins[order]]
+            yield pd.DataFrame({"doi": b.doi, "embedding": b.embedding, name: found})[good]
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     return vectors.select("doi", "embedding").mapInPandas(near, f"doi string, embedding {kind}, {name} array<int>")
@@ -117,6 +120,24 @@ def tuned(index: CellIndex, queries: DataFrame, k: int, recall: float = 0.97) ->
     return index
 
 
+def _bins(index: CellIndex) -> np.ndarray:
+    """For each cell the number of its bin: near small cells that are searched together, so that a query of many cells
+    is not sent to each of them. A bin has a quarter of the rows that a query probes at most."""
+    counts = np.zeros(len(index.centroids), dtype=np.int64)
+    for r in index.rows.groupBy("cell").agg(F.count("*").alias("n")).collect():  # MOST_CELLS at most
+        counts[r["cell"]] = r.n
+    most = min(BIN_ROWS, counts.sum() * index.probes / len(counts) / 4)
+    bins, at, number, held = np.zeros(len(counts), dtype=np.int32), 0, 0, 0
+    left = np.ones(len(counts), dtype=bool)
+    while True:  # each cell is followed by the nearest one that is left
+        if held and held + counts[at] > most:
+            number, held = number + 1, 0
+        bins[at], left[at], held = number, False, held + counts[at]
+        if not left.any():
+            return bins
+        at = int(np.argmax(np.where(left, index.centroids @ index.centroids[at], -np.inf)))
+
+
 def _searched(index: CellIndex, asked: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """(query, doi, score): up to k rows for each block of a cell that a query is in ``asked`` (materialised) with."""
     visits = asked.groupBy(F.col("q_cell").alias("cell")).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("q_blocks"))
@@ -132,16 +153,20 @@ def _searched(index: CellIndex, asked: DataFrame, k: int, exclude_self: bool) ->
 def search(index: CellIndex, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """(query, doi, score, rank) as ``knn`` gives them, from the probed cells.
 
-    The nearest cell goes first: its k-th score is a floor under which rows of the other cells are not written."""
+    Cells are searched by bins, whole ones. The nearest cell's goes first: its k-th score is a floor under which rows of
+    the others are not written."""
     best = lambda near: near.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doi"))).filter(F.col("rank") <= k)
-    placed = materialize(_nearest_cells(queries, index.centroids, index.probes, "cells"), "probes")
+    bins = _bins(index)
+    of_cell = F.broadcast(queries.sparkSession.createDataFrame(list(enumerate(bins.tolist())), "cell int, bin int"))
+    index = replace(index, rows=index.rows.join(of_cell, "cell").select("doi", "embedding", F.col("bin").alias("cell"), "block"))
+    placed = materialize(_nearest_cells(queries, index.centroids, index.probes, "cells", bins), "probes")
     none = F.lit(None).cast("double")
     asked = placed.select(F.col("doi").alias("q_doi"), F.col("embedding").alias("q_v"), F.col("cells")[0].alias("q_cell"), none.alias("q_f"))
     first = materialize(best(_searched(index, asked, k, exclude_self)), "near")
     if index.probes == 1:
-        return first
+        return first.select("query", "doi", "score", "rank")
     floor = first.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("q_f"))
-    rest = placed.join(floor, F.col("doi") == F.col("query"), "left").select(F.col("doi").alias("q_doi"), F.col("embedding").alias("q_v"), F.explode(F.slice("cells", 2, index.probes)).alias("q_cell"), "q_f")
+    rest = placed.join(floor, F.col("doi") == F.col("query"), "left").select(F.col("doi").alias("q_doi"), F.col("embedding").alias("q_v"), F.explode(F.slice("cells", 2, len(bins))).alias("q_cell"), "q_f")
     near = _searched(index, materialize(rest, "probes"), k, exclude_self)
     return best(first.drop("rank").unionByName(near))
 

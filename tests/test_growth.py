@@ -1,6 +1,7 @@
 """Queries that have to keep to their limits on larger tables, and do their whole job."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from bibliodyne.operators import fuzzy as Z
@@ -140,3 +141,25 @@ def test_references_are_resolved_in_steps_that_run_once(spark):
 def test_the_breakdown_finds_its_signals_once(spark):
     out = catalog.QUERIES["rank_breakdown"](spark, SF)
     assert "testdata" not in plan(out) and out.count() == catalog.QUERIES["rank_graph_leg"](spark, SF).count()
+
+
+def test_queries_of_many_small_cells_are_sent_to_bins_of_them(spark, monkeypatch):
+    from bibliodyne.operators import neighbours as N
+    from bibliodyne.operators.vectors import knn
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(f"d{i}", rng.normal(size=8).tolist()) for i in range(600)], "doi string, embedding array<double>")
+    asked = rows.limit(100)
+    index = N.build_index(rows, 20)
+    sent, searched = [], N._searched
+
+    def counted(index, asked, k, exclude_self):
+        near = searched(index, asked, k, exclude_self)
+        sent.append((asked.count(), near.count()))
+        return near
+
+    monkeypatch.setattr(N, "_searched", counted)
+    found = sorted(map(tuple, N.search(index, asked, 5).select("query", "doi", "score", "rank").collect()))
+    assert found == sorted(map(tuple, knn(asked, rows, 5).select("query", "doi", "score", "rank").collect()))
+    # All 20 cells are probed, in 4 to 8 bins; behind the nearest only rows that may be among the 5 are written.
+    assert sent[0] == (100, 500) and sent[1][0] <= 700 and sent[1][1] < 0.6 * 5 * sent[1][0]
