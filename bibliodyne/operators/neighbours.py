@@ -4,7 +4,8 @@ into the cells nearest to it only.
 Centroids are k-means centres (MLlib) of a bounded sample of the unit vectors; every row is indexed, in the cell of
 its nearest centroid. A query probes its ``probes`` nearest cells, which is set by an audit: for some queries
 the exact neighbours are counted, and the least number of probes is taken under which ``recall`` of them lie in a
-probed cell. Rows of the probed cells are compared exactly, in blocks, so scores and ties are those of ``knn``.
+probed cell. Rows of the probed cells, and of what shares a bin with them, are compared exactly, in blocks, so scores
+and ties are those of ``knn``.
 
 Large cells are cut into blocks of ``BLOCK_ROWS`` rows, so no task gets a cell that holds a third of all rows. An index
 can be written as Parquet partitioned by cell and read again (``write``, ``read_index``); a search then opens the
